@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .jaccard_join import jaccard_groups
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .sharding import shard_rows
+from .token_files import read_token_files, write_token_files
 from .trie_bpe import encode_documents
 
 
-@F.pandas_udf("long")
-def crc32_of(data: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in data:
-        yield s.map(zlib.crc32)
+def op1_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files of all documents hold, read back from them."""
+    path = write_token_files(read_table(spark, sf_dir, "documents"))
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +51,18 @@ def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "token_entropy", "band")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return jaccard_groups(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rans": op1_rans,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op6_trie_bpe": op6_trie_bpe,
     "op7_fertility": op7_fertility,
+    "op10_jaccard": op10_jaccard,
 }
 
 SQL: dict[str, str] = {}
