@@ -14,6 +14,7 @@ from .quality_rules import quality_rules
 from .sharding import shard_rows
 from .token_files import read_token_files, write_token_files
 from .trie_bpe import encode_documents
+from .vector_files import exact_top_k
 
 
 def op1_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,12 @@ def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "token_entropy", "band")
 
 
+def op8_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of every hundredth vector."""
+    rows = exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return rows.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document."""
     return jaccard_groups(read_table(spark, sf_dir, "documents"))
@@ -62,7 +69,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op6_trie_bpe": op6_trie_bpe,
     "op7_fertility": op7_fertility,
+    "op8_va_file": op8_va_file,
     "op10_jaccard": op10_jaccard,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_va_file": """
+        WITH good AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 100 = 0
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+}
