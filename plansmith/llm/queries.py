@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .jaccard_join import jaccard_groups
+from .license_scan import scan_licenses
+from .lm_scoring import cross_entropy_difference
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .sharding import shard_rows
@@ -39,6 +41,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each document is like the documents labelled good."""
+    good = read_table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return cross_entropy_difference(read_table(spark, sf_dir, "documents"), good)
+
+
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and decoded text."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +66,13 @@ def op8_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices of every document."""
+    out = scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    return out.select("doc_id", F.size("matches").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.array_max(F.transform("matches", lambda m: m["coverage"])).alias("best_coverage"), F.get("matches", F.lit(0))["begin"].alias("first_begin"), F.get("matches", F.lit(0))["end"].alias("first_end"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document."""
     return jaccard_groups(read_table(spark, sf_dir, "documents"))
@@ -67,9 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans": op1_rans,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
+    "op5_cross_entropy": op5_cross_entropy,
     "op6_trie_bpe": op6_trie_bpe,
     "op7_fertility": op7_fertility,
     "op8_va_file": op8_va_file,
+    "op9_license_scan": op9_license_scan,
     "op10_jaccard": op10_jaccard,
 }
 
