@@ -81,3 +81,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         raise RuntimeError(f"connected_components: not settled after {max_rounds} rounds")
     stars = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionAll(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+BROADCAST_BYTES = 64 << 20
+
+
+def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a staged table, marked for broadcast if its rows of at most about ``row_bytes`` fit in ``limit``; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .jaccard_join import jaccard_groups
 from .license_scan import scan_licenses
+from .line_dedup import dedup_lines
 from .lm_scoring import cross_entropy_difference
 from .packing import pack_documents
 from .quality_rules import quality_rules
@@ -25,6 +26,12 @@ def op1_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without fuzzily repeated lines."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,6 +87,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans": op1_rans,
+    "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op5_cross_entropy": op5_cross_entropy,
