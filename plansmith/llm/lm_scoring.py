@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_side, stage
 from .counts import SCHEMA, gather, slices
 from .shingles import batches_of, mix, word_hashes
 
@@ -110,7 +111,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     without id is background. Without targets, or without background, that model knows its smoothing only. An empty table gives no rows.
     """
     key = F.col(f"`{id_col}`")
-    wanted = targets.select(key.alias("_target")).where(F.col("_target").isNotNull()).distinct()
+    wanted, _ = stage(targets.select(key.alias("_target")).where(F.col("_target").isNotNull()).distinct(), "targets")
+    wanted = small_side(wanted, 40)  # few ids are sent to the texts; many meet them in a shuffled join
     flagged = docs.select(key.alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted, F.col("id") == F.col("_target"), "left").select("text", F.col("_target").isNotNull().alias("is_target"))
     target, background = _counted(flagged)
     spark = docs.sparkSession
