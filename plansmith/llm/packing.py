@@ -13,7 +13,6 @@ sequences by its partition and a counter, so a repeated task gives the same rows
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -145,7 +144,3 @@ def pack_documents(docs: DataFrame, text_col: str = "text", vocabulary: str | No
     if not names:
         raise ValueError("give at least one column that names the document")
     return docs.select(*[f"`{n}`" for n in names], f"`{text_col}`").mapInArrow(run, schema)
-
-
-def ids_crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)

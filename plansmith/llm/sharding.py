@@ -80,8 +80,7 @@ def number_rows(df: DataFrame, order_by: list[str], name: str = "row_number") ->
     of each partition reaches the driver.
     """
     at = f"_{name}_at"
-    kept = df.where(F.lit(True))
-    ordered, _ = stage(kept.sort(*[F.col(f"`{c}`").asc_nulls_first() for c in order_by]).withColumn(at, F.monotonically_increasing_id()), "order")
+    ordered, _ = stage(df.sort(*[F.col(f"`{c}`").asc_nulls_first() for c in order_by]).withColumn(at, F.monotonically_increasing_id()), "order")
     part = F.shiftright(at, 33)
     counts = {r["part"]: r["n"] for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
     first, starts = 0, []
