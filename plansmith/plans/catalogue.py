@@ -174,7 +174,7 @@ def derived_workload(spark, sf_dir):
 @query("""
     WITH topics AS (SELECT p_partkey AS topic, CAST(p_size AS VARCHAR) AS number, p_name AS title, trim(regexp_replace(lower(p_name), '[^a-zа-я0-9]+', ' ', 'g')) AS norm FROM part),
     items AS (SELECT row_number() OVER (ORDER BY title) AS item, CAST(NULL AS VARCHAR) AS number, title, trim(regexp_replace(lower(title), '[^a-zа-я0-9]+', ' ', 'g')) AS norm
-              FROM (SELECT DISTINCT p_name || ' ' || p_type AS title FROM part WHERE p_partkey % 7 = 0 UNION SELECT DISTINCT upper(p_name) || '!' FROM part WHERE p_partkey % 5 = 0)),
+              FROM (SELECT DISTINCT p_name || ' ' || p_type AS title FROM part UNION SELECT DISTINCT upper(p_name) || '!' FROM part WHERE p_size < 40)),
     pairs AS (
         SELECT topic, item, 1 AS level FROM topics t JOIN items i ON t.title = i.title
         UNION ALL SELECT topic, item, 2 FROM topics t JOIN items i ON t.norm = i.norm AND t.norm <> ''
@@ -190,7 +190,7 @@ def priority_match(spark, sf_dir):
     """Part names to catalogue titles by the first level that has a candidate."""
     part = table(spark, sf_dir, "part")
     topics = part.select(F.col("p_partkey").alias("topic_id"), F.col("p_size").cast("string").alias("number"), F.col("p_name").alias("title"), tx.normalise_title(F.col("p_name")).alias("norm"))
-    titles = part.where("p_partkey % 7 = 0").select(F.concat_ws(" ", "p_name", "p_type").alias("title")).union(part.where("p_partkey % 5 = 0").select(F.concat(F.upper("p_name"), F.lit("!")))).distinct()
+    titles = part.select(F.concat_ws(" ", "p_name", "p_type").alias("title")).union(part.where("p_size < 40").select(F.concat(F.upper("p_name"), F.lit("!")))).distinct()
     # a small catalogue of titles: numbered by one ordered window
     items = titles.withColumn("item_id", F.row_number().over(Window.orderBy("title")).cast("long")).select("item_id", F.lit(None).cast("string").alias("number"), "title", tx.normalise_title(F.col("title")).alias("norm"))
     return matching.priority_match(topics, items)
@@ -282,11 +282,11 @@ def occurrence_index_count(spark, sf_dir):
 
 
 @query("""
-    SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN left(text, 40) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS section FROM conversations
+    SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS section FROM conversations
 """)
 def forward_fill_section(spark, sf_dir):
     """The last heading above each turn."""
-    heading = F.when(F.col("role") == "user", F.substring("text", 1, 40))
+    heading = F.when(F.col("role") == "user", F.col("text"))
     return sequences.forward_fill(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "text"], heading, "section").select("conv_id", "turn", "role", "section")
 
 
