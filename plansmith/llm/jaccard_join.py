@@ -5,11 +5,12 @@
    bitmap, and the first shingles in that order. Two sets of Jaccard similarity t share one of the first
    ``n - ceil(t n) + 1`` of each, whatever the order; as common shingles come last, few documents meet in one by chance.
 3. Classes that meet no other there are done. The others' sets are staged once.
-4. In each such shingle, every class is held against the first class there (its most frequent such leader). Bitmaps bound
-   the overlap from above: a bit that only one side has is an element that the other lacks. Pairs that the bound leaves are
-   intersected as sorted arrays. Links join classes to groups.
-5. Where classes of different groups still meet, tiles of one shingle and size band compare all of those pairs, by bitmaps and then exactly.
-   Pairs of one group are skipped, as their link changes no group. Large tiles are split in blocks and pairs of blocks.
+4. Classes that look alike are gathered in families: each class and the one that it meets most often, of those that lead a shingle, if bitmaps
+   leave the pair open. Bitmaps bound the overlap from above: a bit that only one side has is an element that the other lacks. A family's sets
+   come together once, in tiles of bounded size, where pairs that bitmaps leave open are intersected as sorted arrays;
+   pairs that are linked through others by then are skipped, as their link changes no group.
+5. Where classes of different families meet, tiles of one shingle and size band compare all of those pairs, by bitmaps, wider
+   bitmaps, and then exactly. Families only say where a pair is compared. Large tiles are split in blocks and pairs of blocks.
 No pair at or above the threshold is lost but those whose ends are linked otherwise.
 """
 
@@ -24,12 +25,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, drop_path, stage
+from .common import connected_components, drop_path, small_side, stage
+from .counts import SCHEMA, gather, slices
 from .shingles import shingle_lists, shingle_sets
 
 SKETCH_BITS = 20
 TILE_ROWS = 4096
-_SLICE = 1 << 14
+FOLLOWERS = 512
+FAMILY_ROWS = 2048
+TURNS, MORE_TURNS = 2, 6
+ROW_BITS = 2048
+WIDE = 4
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -37,9 +43,9 @@ def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n) // 100 + 1 if n else 0
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """A bit for each hash, in a width that is a power of two of at least 64 and about the number of hashes."""
-    bits = max(64, 1 << (max(len(hashes), 1) - 1).bit_length())
+def bitmap(hashes: np.ndarray, spread: int = 1, most: int = 1 << 62) -> bytes:
+    """A bit for each hash, in a width that is a power of two from 64 to ``most`` and else about ``spread`` times the number of hashes."""
+    bits = min(most, max(64, 1 << (max(spread * len(hashes), 1) - 1).bit_length()))
     out = np.zeros(bits, dtype=np.uint8)
     out[(hashes >> np.uint64(11)) & np.uint64(bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -73,24 +79,9 @@ def _sketch(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
             for i in range(0, batch.num_rows, 500):
                 found = [*shingle_lists(batch.column(0).slice(i, 500).to_pylist(), size)]
                 total += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
-        for i in range(0, cells, _SLICE):
-            part = total[i : i + _SLICE]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype("<u4" if part.max() < 1 << 32 else "<u8").tobytes()], pa.binary())], ["at", "counts"])
+        yield from slices(total)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw, dtype="<u4" if len(raw) == 4 * _SLICE else "<u8").astype(np.int64)
-                sums[at] = sums[at] + x if at in sums else x
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["at", "counts"])
-
-    out = np.zeros(cells, dtype=np.int64)
-    for r in docs.select(f"`{text_col}`").mapInArrow(run, "at int, counts binary").repartition("at").mapInArrow(add, "at int, counts binary").toLocalIterator():
-        out[r["at"] : r["at"] + _SLICE] = np.frombuffer(r["counts"], dtype=np.int64)
-    return out
+    return gather(docs.select(f"`{text_col}`").mapInArrow(run, SCHEMA), cells)
 
 
 def _class_of(hashes: np.ndarray) -> int:
@@ -98,22 +89,30 @@ def _class_of(hashes: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """One row a document: id, number of distinct shingles, class, first shingles, bitmap."""
+    """One row a document: id, number of distinct shingles, class, and, at a task's first row of the class, its first shingles and bitmap."""
     schema = T.StructType([docs.schema[id_col], *T.StructType.fromDDL("n long, cls long, first array<long>, bits binary").fields])
     order = np.minimum(sketch, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)
 
+    none = np.zeros(0, dtype=np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
                 n, cls, firsts, bits = [], [], [], []
-                for h in shingle_sets(batch.column(1).to_pylist(), size):
+                for key, h in zip(batch.column(0).is_valid().to_pylist(), shingle_sets(batch.column(1).to_pylist(), size), strict=True):
                     n.append(len(h))
                     cls.append(_class_of(h) if len(h) else None)
+                    if not len(h) or not key or cls[-1] in seen:
+                        firsts.append(none)
+                        bits.append(None)
+                        continue
+                    seen.add(cls[-1])
                     k = prefix_length(len(h), percent)
                     rank = order[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] | ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20))
                     firsts.append(h[np.argsort(rank, kind="stable")[:k]].view(np.int64))
-                    bits.append(bitmap(h) if len(h) else None)
+                    bits.append(bitmap(h, 1, ROW_BITS))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
                 flat = np.concatenate(firsts) if firsts else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(bits, pa.binary())], schema.fieldNames())
@@ -122,7 +121,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
-    """The whole sets of the wanted classes (columns ``rep`` and ``cls``), from the texts of their first documents."""
+    """The whole sets and wide bitmaps of the wanted classes (columns ``rep`` and ``cls``), from the texts of their first documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -130,26 +129,45 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFr
                 batch = whole.slice(i, 200)
                 found = [*shingle_sets(batch.column(1).to_pylist(), size)]
                 right = [k for k, (c, h) in enumerate(zip(batch.column(0).to_pylist(), found, strict=True)) if len(h) and _class_of(h) == c]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64())), pa.array([found[k].tobytes() for k in right], pa.binary())], ["cls", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64())), pa.array([found[k].tobytes() for k in right], pa.binary()), pa.array([bitmap(found[k], WIDE) for k in right], pa.binary())], ["cls", "items", "wide"])
 
-    texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").alias("text")).join(wanted, "rep").select("cls", "text")
-    return texts.mapInArrow(run, "cls long, items binary")
+    texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").alias("text")).join(small_side(wanted, 40), "rep").select("cls", "text")
+    return texts.mapInArrow(run, "cls long, items binary, wide binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose whole sets reach the similarity."""
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+    """Of the pairs (a, b), those whose whole sets reach the similarity.
+
+    Every b is sent once to each block of at most about FOLLOWERS of its a, which then pass by it one at a time.
+    """
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(FOLLOWERS)).cast("int").alias("blocks"))
+    dealt = pairs.join(many, "b").select("b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), "a")
+    members = dealt.select("b", "block", F.lit(1).alias("role"), F.col("a").alias("cls")).unionAll(dealt.select("b", "block", F.lit(0), F.col("b")).distinct())
+    members, _ = stage(members, "members")
+    met = sets.join(small_side(members, 60), "cls").select("b", "block", "role", "cls", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, items = None, None
         for batch in batches:
-            good = [similar(np.frombuffer(x.as_py(), dtype="<u8"), np.frombuffer(y.as_py(), dtype="<u8"), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs with both sizes and bitmaps, (a, b) of those that the bitmaps can't rule out."""
+            a, b = [], []
+            for g, block, role, cls, raw in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+                x = np.frombuffer(raw.as_py(), dtype="<u8")
+                if role == 0:
+                    lead, items = (g, block), x
+                elif lead == (g, block) and similar(x, items, percent):
+                    a.append(cls)
+                    b.append(g)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return met.repartition("b", "block").sortWithinPartitions("b", "block", "role").mapInArrow(run, "a long, b long")
+
+
+def _bounded(pairs: DataFrame, maps: DataFrame, percent: int, row_bytes: int = 200) -> DataFrame:
+    """Of pairs (a, b), those that the bitmaps can't rule out. ``maps``: cls, n and bits of every class in them."""
+    maps = small_side(maps, row_bytes)
+    left = maps.select(F.col("cls").alias("a"), "n", F.col("bits").alias("x"))
+    right = maps.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    both = pairs.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +180,79 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * most >= percent * (int(n[i]) + int(m[i]) - most))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _lead_pairs(rows: DataFrame, turns: int) -> DataFrame:
+    """For each class of ``rows`` (h, cls) and each turn one class that it meets, as distinct pairs (a, b).
+
+    At each h the classes are ordered by a hash that changes with the turn, and the first leads. Of a turn's leaders a class takes the one that
+    it has at most shingles, so the one that it shares most with.
+    """
+    leads = rows.groupBy("h").agg(F.array(*[F.min_by("cls", F.xxhash64("cls", F.lit(t))) for t in range(turns)]).alias("leads"))
+    met = rows.join(leads, "h").select(F.col("cls").alias("a"), F.posexplode("leads").alias("turn", "b")).where("a != b")
+    times = met.groupBy("a", "turn", "b").agg(F.count("*").alias("times"))
+    return times.groupBy("a", "turn").agg(F.max_by("b", F.struct("times", F.xxhash64("b"))).alias("b")).select("a", "b").distinct()
+
+
+def family_links(sets: list[tuple[int, np.ndarray]], own: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links that join the similar ones of some sets (class, sorted hashes): as few as keep all of their groups whole.
+
+    ``own``: the block of each set; pairs within a block are left out then.
+    """
+    order = sorted(range(len(sets)), key=lambda k: (len(sets[k][1]), sets[k][0]))
+    n = np.array([len(sets[k][1]) for k in order], dtype=np.int64)
+    blocks = None if own is None else own[order]
+    maps = [np.frombuffer(bitmap(sets[k][1], WIDE), dtype="<u8") for k in order]
+    cuts = [0, *(k for k in range(1, len(maps)) if len(maps[k]) != len(maps[k - 1])), len(maps)]
+    stacked = [(a, b, np.stack(maps[a:b])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]  # sizes ascend, so widths do
+    group = np.arange(len(order))
+    links = []
+    for y in range(len(order)):
+        first = int(np.searchsorted(n, -(-percent * n[y] // 100)))
+        open_ = group[first:y] != group[y]
+        if blocks is not None:
+            open_ &= blocks[first:y] != blocks[y]
+        x = first + np.flatnonzero(open_)
+        for a, b, rows in stacked:
+            some = x[(x >= a) & (x < b)]
+            if not len(some):
+                continue
+            most = overlap_bound(n[some], rows[some - a], int(n[y]), fold(maps[y], rows.shape[1]))
+            some = some[100 * most >= percent * (n[some] + n[y] - most)]
+            for k in some[::-1].tolist():
+                if group[k] != group[y] and similar(sets[order[k]][1], sets[order[y]][1], percent):
+                    links.append((sets[order[k]][0], sets[order[y]][0]))
+                    group[group == group[y]] = group[k]
+    return links
+
+
+def _within_families(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one family (``families``: cls, family); a large family is dealt to blocks, and each pair of blocks is a tile."""
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / F.lit(FAMILY_ROWS)).cast("int").alias("blocks"))
+    dealt = families.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cls", "family", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt, _ = stage(dealt, "families")
+    rows = sets.select("cls", "items").join(small_side(dealt, 60), "cls").select("family", "i", "j", "own", "cls", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, own = None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                found = family_links(held, np.array(own) if key[1] != key[2] else None, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for family, i, j, block, cls, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (family, i, j) != key:
+                    yield from close()
+                    key, held, own = (family, i, j), [], []
+                held.append((cls, np.frombuffer(raw, dtype="<u8")))
+                own.append(block)
+        yield from close()
+
+    return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "cls").mapInArrow(run, "a long, b long")
 
 
 def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -228,32 +318,49 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("percent must be from 50 to 100")
     signed, signed_path = stage(_signatures(docs, id_col, text_col, size, percent, _sketch(docs, text_col, size)), "signatures")
     key = F.col(f"`{id_col}`")
-    classes = signed.where(F.col("cls").isNotNull() & key.isNotNull()).groupBy("cls").agg(F.min(key).alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("first").alias("first"))
-    heads, heads_path = stage(classes, "classes")
+    reps, reps_path = stage(signed.where(F.col("cls").isNotNull() & key.isNotNull()).groupBy("cls").agg(F.min(key).alias("rep")), "classes")
     at_h = Window.partitionBy("h")
-    met = heads.select(F.explode("first").alias("h"), "cls").withColumn("met", F.count("*").over(at_h)).where("met > 1").withColumn("leader", F.min("cls").over(at_h))
+    met = signed.select(F.explode("first").alias("h"), "cls").withColumn("met", F.count("*").over(at_h)).where("met > 1")
+    met = met.withColumns({"first_cls": F.min("cls").over(at_h), "last_cls": F.max("cls").over(at_h)}).where("first_cls != last_cls").select("h", "cls", "met").distinct()
     met, met_path = stage(met, "met")
-    wanted = heads.join(met.select("cls").distinct(), "cls", "left_semi")
-    known, known_path = stage(wanted.select("cls", "rep", "n", "bits"), "known")
-    sets, sets_path = stage(_sets(docs, id_col, text_col, size, known.select("cls", "rep")).dropDuplicates(["cls"]), "sets")
-    # every class against the leader that it meets most often
-    led = met.where("cls != leader").groupBy("cls", "leader").agg(F.count("*").alias("times")).groupBy("cls").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("leader"))
-    left = known.select(F.col("cls").alias("a"), "n", F.col("bits").alias("x"))
-    right = known.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    first_pairs = _bounded(led.select(F.col("cls").alias("a"), F.col("leader").alias("b")).join(left, "a").join(right, "b"), percent)
-    links, links_path = stage(_verify(first_pairs, sets, percent), "links")
-    groups, groups_path = stage(connected_components(links), "groups")
-    # tiles where classes of different groups meet
-    label = F.coalesce("component", "cls").alias("label")
-    labelled = met.select("h", "cls", "met").join(groups, F.col("cls") == F.col("node"), "left").select("h", "cls", "met", label)
-    mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h")
-    open_rows, open_path = stage(labelled.join(mixed, "h", "left_semi"), "open")
-    more = _tile_pairs(open_rows.join(known.select("cls", "n", "bits"), "cls"), percent)
-    links2, links2_path = stage(_verify(more, sets, percent), "links")
+    wanted, wanted_path = stage(met.select("cls").distinct(), "wanted")
+    known = signed.where(F.col("bits").isNotNull()).select("cls", "n", "bits").join(small_side(wanted, 40), "cls", "left_semi").dropDuplicates(["cls"])
+    known, known_path = stage(known.join(reps, "cls").select("cls", "rep", "n", "bits"), "known")
+    spark, paths = docs.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out, path = stage(df, name)
+        paths.append(path)
+        return out
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        reps_of = kept(known.select("cls", "rep").join(small_side(wanted, 40), "cls", "left_semi"), "wanted")
+        return kept(_sets(docs, id_col, text_col, size, reps_of).dropDuplicates(["cls"]), "sets")
+
+    def families_of(alike: DataFrame) -> DataFrame:
+        return kept(connected_components(alike).select(F.col("node").alias("cls"), F.col("component").alias("family")), "families")
+
+    def open_rows(families: DataFrame) -> DataFrame:
+        """The rows of shingles where classes of different families meet."""
+        labelled = met.join(small_side(families, 40), "cls", "left").select("h", "cls", "met", F.coalesce("family", "cls").alias("label"))
+        mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h")
+        return kept(labelled.join(mixed, "h", "left_semi"), "open")
+
+    alike = kept(_bounded(_lead_pairs(met, TURNS), known, percent), "alike")
+    alike = alike.unionByName(kept(_bounded(_lead_pairs(open_rows(families_of(alike)), MORE_TURNS), known, percent), "alike"))
+    families = families_of(alike)
+    links = kept(_within_families(families, sets_of(families.select("cls")), percent), "links")
+    # tiles where classes of different families meet
+    rows = open_rows(families).join(known.select("cls", "n", "bits").hint("merge"), "cls")  # sorted by class, equal bitmaps pack well
+    more = kept(_tile_pairs(rows, percent), "pairs")
+    more_sets = sets_of(kept(more.select(F.col("a").alias("cls")).unionAll(more.select("b")).distinct(), "wanted"))
+    wide = kept(more_sets.join(known.select("cls", "n"), "cls").select("cls", "n", F.col("wide").alias("bits")), "wide")
+    more = kept(_bounded(more, wide, percent, 800), "pairs")
+    links2 = kept(_verify(more, more_sets, percent), "links")
     every = connected_components(links.unionByName(links2))
-    labels = heads.select("cls", "rep").join(every, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("group"))
+    labels = reps.join(every, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("group"))
     lowest = labels.groupBy("group").agg(F.min("rep").alias("component_id"))
     of_class, _ = stage(labels.join(lowest, "group").select("cls", "component_id"), "labels")
-    for p in (heads_path, met_path, known_path, sets_path, links_path, groups_path, open_path, links2_path):
-        drop_path(docs.sparkSession, p)
+    for p in (reps_path, wanted_path, met_path, known_path, *paths):
+        drop_path(spark, p)
     return signed.select(key, F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left").select(key, "n_shingles", F.when(key.isNotNull(), F.coalesce("component_id", key)).alias("component_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plansmith.llm import jaccard_join
 from plansmith.llm.common import connected_components
 from plansmith.llm.jaccard_join import bitmap, fold, jaccard_groups, overlap_bound, prefix_length
-from plansmith.llm.line_dedup import _lines, _majority, _bit_sums, dedup_lines, normalised
+from plansmith.llm.line_dedup import _counted, _lines, _signed, dedup_lines, words_of
 from plansmith.llm.shingles import shingle_sets
 
 from .data import documents, frame
@@ -81,6 +81,7 @@ def test_connected_components(spark):
 def test_jaccard_groups(spark, monkeypatch, tile):
     monkeypatch.setattr(jaccard_join, "TILE_ROWS", tile)
     monkeypatch.setattr(jaccard_join, "FOLLOWERS", tile)
+    monkeypatch.setattr(jaccard_join, "FAMILY_ROWS", tile)
     rows = documents() + [(1000 + i, t, "en", "s", 1, "e") for i, t in enumerate(chain(25))]
     rng = np.random.default_rng(4)
     base = [f"b{i}" for i in range(60)]
@@ -125,12 +126,13 @@ def test_line_dedup(spark):
     rows = [r for r in documents() if r[1] is None or len(r[1]) < 9000]
     long_line = " ".join(f"token{i}" for i in range(90))
     variants = [long_line, long_line.replace("token40", "tokem40"), long_line.replace("token80 ", ""), long_line.upper() + "!!", long_line.replace("token1 ", "tokens ").replace("token2 ", "tokez ")]
+    rows.append((600, " ".join(f"word{i % 211}" for i in range(700)), "en", "s", 1, "e"))
     rows += [(500 + i, f"unique {i} alpha{i} beta{i}\n{v}\nTail {i * 7919} line of its own {i}", "en", "s", 1, "e") for i, v in enumerate(variants)]
     docs = frame(spark, rows)
-    found = {(r["id"], r["of"], r["line"]): r["norm"] for r in _lines(docs, "doc_id", "text").collect()}
+    found = {(r["id"], r["of"], r["line"]): " ".join(r["words"]) for r in _lines(docs, "doc_id", "text").collect()}
     sims = spark.createDataFrame([(n,) for n in set(found.values())], "norm string")
     words = sims.select("norm", F.explode(F.split("norm", " ")).alias("w")).select("norm", F.xxhash64("w").alias("h"))
-    sim = {r["norm"]: r["sim"] for r in words.groupBy("norm").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in _bit_sums(F.col("h")).items()]).select("norm", _majority(F.col("n")).alias("sim")).collect()}
+    sim = {r["norm"]: r["sim"] for r in _signed(_counted(sims.withColumn("words", F.split("norm", " ")), ["norm"]), ["norm"]).collect()}
     hashes = {}
     for r in words.collect():
         hashes.setdefault(r["norm"], []).append(r["h"] % 2**64)
@@ -168,6 +170,6 @@ def test_line_dedup(spark):
         dedup_lines(docs.withColumnRenamed("extra", "n_lines"))
 
 
-def test_normalised(spark):
-    rows = spark.createDataFrame([("  Ä-b  C3!",), ("***",), ("",), (None,)], "x string").select(normalised(F.col("x"))).collect()
-    assert [r[0] for r in rows] == ["ä b c3", "", "", None]
+def test_words_of(spark):
+    rows = spark.createDataFrame([("  Ä-b  C3!",), ("***",), ("",), (None,)], "x string").select(words_of(F.col("x"))).collect()
+    assert [r[0] for r in rows] == [["ä", "b", "c3"], [], [], None]
