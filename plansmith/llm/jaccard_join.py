@@ -326,13 +326,20 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted, wanted_path = stage(met.select("cls").distinct(), "wanted")
     known = signed.where(F.col("bits").isNotNull()).select("cls", "n", "bits").join(small_side(wanted, 40), "cls", "left_semi").dropDuplicates(["cls"])
     known, known_path = stage(known.join(reps, "cls").select("cls", "rep", "n", "bits"), "known")
+    slim, _ = stage(signed.select(key, "n", "cls"), "sizes")
     spark, paths = docs.sparkSession, []
+    drop_path(spark, signed_path)  # first shingles and bitmaps are the bulk of what is staged
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         out, path = stage(df, name)
         paths.append(path)
         return out
 
+    def drop_kept() -> None:
+        for p in paths:
+            drop_path(spark, p)
+        paths.clear()
+
     def sets_of(wanted: DataFrame) -> DataFrame:
         reps_of = kept(known.select("cls", "rep").join(small_side(wanted, 40), "cls", "left_semi"), "wanted")
         return kept(_sets(docs, id_col, text_col, size, reps_of).dropDuplicates(["cls"]), "sets")
@@ -348,8 +355,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     alike = kept(_bounded(_lead_pairs(met, TURNS), known, percent), "alike")
     alike = alike.unionByName(kept(_bounded(_lead_pairs(open_rows(families_of(alike)), MORE_TURNS), known, percent), "alike"))
-    families = families_of(alike)
-    links = kept(_within_families(families, sets_of(families.select("cls")), percent), "links")
+    families, families_path = stage(families_of(alike), "families")
+    links, links_path = stage(_within_families(families, sets_of(families.select("cls")), percent), "links")
+    drop_kept()
     # tiles where classes of different families meet
     rows = open_rows(families).join(known.select("cls", "n", "bits").hint("merge"), "cls")  # sorted by class, equal bitmaps pack well
     more = kept(_tile_pairs(rows, percent), "pairs")
@@ -361,6 +369,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     labels = reps.join(every, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("group"))
     lowest = labels.groupBy("group").agg(F.min("rep").alias("component_id"))
     of_class, _ = stage(labels.join(lowest, "group").select("cls", "component_id"), "labels")
-    for p in (reps_path, wanted_path, met_path, known_path, *paths):
+    drop_kept()
+    for p in (reps_path, wanted_path, met_path, known_path, families_path, links_path):
         drop_path(spark, p)
-    return signed.select(key, F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left").select(key, "n_shingles", F.when(key.isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
+    return slim.select(key, F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left").select(key, "n_shingles", F.when(key.isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
