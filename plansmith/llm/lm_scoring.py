@@ -1,14 +1,19 @@
 """Cross-entropy difference: how much likelier a document is under a target model than under a background model.
 
-Both are word bigram models over one vocabulary of 2**WORD_BITS buckets of words; bigrams of bucket numbers are counted
-in 2**BIGRAM_BITS cells. All documents are counted: those that are targets in one model, all others in the other. The models are matched:
-same order, vocabulary and smoothing, and the background's counts are scaled to the target's number of tokens, so that both
-are smoothed alike. Neither model grows with the input, so every executor can hold both.
+Both are word bigram models over one open vocabulary. Every distinct word and every distinct pair (word before, word) is counted by its
+64-bit hash; nothing is folded into fewer cells, so the tables grow with the corpus. All documents are counted: those that are targets in
+one model, all others in the other. The models are matched: same order, vocabulary and smoothing, and the background's counts are scaled to
+the target's number of tokens, so that both are smoothed alike.
 
     P1(w)   = (c(w) + ALPHA) / (N + ALPHA * V)
     P(w|v)  = (c(v, w) + MU * P1(w)) / (c(v) + MU)
 
-A document's own counts are taken out of the model that it was counted in before it is scored.
+V is 2**WORD_BITS, or the number of distinct words and one for those never seen where that is more. A document's own counts are taken out of the
+model that it was counted in before it is scored.
+
+Words and pairs are counted by one grouping with partial sums, both sides as columns. Each document's distinct words and pairs then meet the counts
+in a join by key and their losses are summed by document. Keys that many documents have are salted in the join; only the list of these keys, of
+MAX_HOT rows at most, is broadcast.
 """
 
 from __future__ import annotations
@@ -22,84 +27,160 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_side, stage
-from .counts import SCHEMA, gather, slices
 from .shingles import batches_of, mix, word_hashes
 
 WORD_BITS = 18
-BIGRAM_BITS = 21
 ALPHA = 0.1
 MU = 4.0
-_V, _B = 1 << WORD_BITS, 1 << BIGRAM_BITS
+#: A key is salted if it holds more than one in MAX_HOT of the rows to be joined; it is then dealt over SALTS tasks.
+MAX_HOT, SALTS = 5000, 64
+_WORD, _PAIR, _DOCUMENTS, _HEAD = 0, 1, 2, 3
+_START = np.uint64(0xA0761D6478BD642F)
+_AT_ONCE = 1 << 20
 
 
 def word_lists(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """For each text the vocabulary numbers of its words in order: A-Z in lower case, parted by ASCII white space."""
+    """For each text the 64-bit numbers of its words in order: A-Z in lower case, parted by ASCII white space."""
     for _, some in batches_of(texts):
         h, starts = word_hashes(b"\n".join(some))
-        words = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        words = h.view(np.int64)
         a = 0
         for b in np.searchsorted(starts, np.cumsum([len(r) + 1 for r in some])).tolist():
             yield words[a:b]
             a = b
 
 
-def bigram_cells(words: np.ndarray) -> np.ndarray:
-    """The cell of each word with the word before it; the first word follows the start, number 2**WORD_BITS."""
-    if not len(words):
-        return words
-    before = np.concatenate([[_V], words[:-1]])
+def _pairs(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The number of each word with the word before it; where ``first`` is set, that is the start of a text."""
+    w = words.view(np.uint64)
+    before = np.concatenate([[_START], w[:-1]])
+    before[first] = _START
     with np.errstate(over="ignore"):
-        return (mix(before.astype(np.uint64) * np.uint64(_V) + words.astype(np.uint64)) >> np.uint64(64 - BIGRAM_BITS)).astype(np.int64)
-
-
-class Model:
-    """Counts of one side; ``scale`` brings them to the other side's size."""
-
-    def __init__(self, words: np.ndarray, bigrams: np.ndarray, documents: int, scale: float = 1.0):
-        self.words, self.bigrams, self.documents, self.scale = words, bigrams, documents, scale
-        self.total = int(words.sum())
-
-    def loss(self, words: np.ndarray, cells: np.ndarray, own: bool) -> float:
-        """Mean negative log probability of the words; ``own``: the document was counted here and is taken out."""
-        before = np.concatenate([[_V], words[:-1]])
-        c_word, c_pair, total, documents = self.words[words], self.bigrams[cells], self.total, self.documents
-        c_before = np.where(before < _V, self.words[np.minimum(before, _V - 1)], documents)
-        if own:
-            _, place, n = np.unique(words, return_inverse=True, return_counts=True)
-            mine = n[place]
-            c_word = np.maximum(c_word - mine, 0)
-            c_before = np.concatenate([[max(documents - 1, 0)], c_word[:-1]])
-            _, place, n = np.unique(cells, return_inverse=True, return_counts=True)
-            c_pair = np.maximum(c_pair - n[place], 0)
-            total -= len(words)
-        s = self.scale
-        p1 = (s * c_word + ALPHA) / (s * total + ALPHA * _V)
-        return float(-np.log((s * c_pair + MU * p1) / (s * c_before + MU)).mean())
-
-
-def _counted(flagged: DataFrame) -> tuple[Model, Model]:
-    """Both models from rows (text, is_target)."""
-    cells = _V + _B + max(1 << 14, 1)  # words, bigrams, and a slice for the number of documents
+        return mix(mix(before ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + w).view(np.int64)
+
+
+def bigram_cells(words: np.ndarray) -> np.ndarray:
+    """The 64-bit number of each word with the word before it, or the start."""
+    first = np.zeros(len(words), dtype=bool)
+    first[:1] = True
+    return _pairs(words, first) if len(words) else words
+
+
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Distinct rows of the keys (the last sorts first), the sums of the values over each, and the place of each row among them."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    starts = np.flatnonzero(new)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return [k[order[starts]] for k in keys], [np.add.reduceat(v[order], starts) if len(starts) else v for v in values], place
+
+
+def _tokens(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """About a megabyte of text at a time: first text, number of words of each text, each word's text, the words."""
+    for first, some in batches_of(texts):
+        h, starts = word_hashes(b"\n".join(some))
+        n = np.diff(np.searchsorted(starts, np.cumsum([len(r) + 1 for r in some])), prepend=0)
+        yield first, n, np.repeat(np.arange(len(some)), n), h.view(np.int64)
+
+
+def _firsts(n: np.ndarray) -> np.ndarray:
+    """Of all words, which are the first of their texts, as places."""
+    return (np.cumsum(n) - n)[n > 0]
+
+
+def _counts(flagged: DataFrame) -> DataFrame:
+    """Rows (kind, key, word, t, b): how often each word and pair stands in targets and in the background; a pair has its word, and one row the
+    numbers of documents with a word."""
+    names = ["kind", "key", "word", "t", "b"]
+
+    def batch_of(kind: int, key: np.ndarray, word: np.ndarray, t: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int8)), pa.array(key), pa.array(word), pa.array(t), pa.array(b)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, cells), dtype=np.int64)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, pairs, whether in a target
+        docs = np.zeros(2, dtype=np.int64)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words, pairs, target = (np.concatenate(x) for x in zip(*held, strict=True))
+            t = target.astype(np.int64)
+            (key,), (t_sum, b_sum), _ = _summed([words], [t, 1 - t])
+            yield batch_of(_WORD, key, key, t_sum, b_sum)
+            (word, key), (t_sum, b_sum), _ = _summed([words, pairs], [t, 1 - t])
+            yield batch_of(_PAIR, key, word, t_sum, b_sum)
+            held.clear()
+
         for batch in batches:
+            target = np.array(batch.column("is_target").to_pylist(), dtype=bool)
             for i in range(0, batch.num_rows, 500):
-                some = batch.slice(i, 500)
-                target = np.array(some.column(1).to_pylist(), dtype=bool)
-                found = [*word_lists(some.column(0).to_pylist())]
-                for side in (0, 1):
-                    lists = [w for w, t in zip(found, target, strict=True) if t == bool(side) and len(w)]
-                    if lists:
-                        tables[side, :_V] += np.bincount(np.concatenate(lists), minlength=_V)
-                        tables[side, _V : _V + _B] += np.bincount(np.concatenate([bigram_cells(w) for w in lists]), minlength=_B)
-                        tables[side, _V + _B] += len(lists)
-        yield from slices(tables.reshape(-1))
-
-    both = gather(flagged.mapInArrow(run, SCHEMA), 2 * cells).reshape(2, cells)
-    sides = [(x[:_V], x[_V : _V + _B], int(x[_V + _B])) for x in both]
-    n = [int(x[0].sum()) for x in sides]
-    return Model(*sides[1]), Model(*sides[0], scale=n[1] / n[0] if n[0] else 1.0)
+                for first, n, doc, words in _tokens(batch.column("text").slice(i, 500).to_pylist()):
+                    side = target[i + first : i + first + len(n)]
+                    docs += [int((side & (n > 0)).sum()), int((~side & (n > 0)).sum())]
+                    if len(words):
+                        held.append((words, _pairs(words, _firsts(n)), side[doc]))
+                    if sum(len(x[0]) for x in held) > _AT_ONCE:
+                        yield from flush()
+        if held:
+            yield from flush()
+        if docs.any():
+            yield batch_of(_DOCUMENTS, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), docs[:1], docs[1:])
+
+    parts = flagged.select("text", "is_target").mapInArrow(run, "kind byte, key long, word long, t long, b long")
+    return parts.groupBy("kind", "key", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def _uses(flagged: DataFrame) -> DataFrame:
+    """Each document's distinct words and pairs, and a row of kind _HEAD with its id and number of words.
+
+    ``n``: how often a pair stands in it, or a word before another word. ``own``: how often the word does; in a pair's row, the pair's word.
+    """
+    schema = T.StructType([flagged.schema["id"], *T.StructType.fromDDL("row long, is_target boolean, kind byte, key long, n int, own int, n_words int").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                rows = batch.column("row").to_numpy()
+                target = np.array(batch.column("is_target").to_pylist(), dtype=bool)
+                for first, n, doc, words in _tokens(batch.column("text").to_pylist()):
+                    at, m = np.arange(len(n)), len(n)
+                    starts = _firsts(n)
+                    ends = np.zeros(len(words), dtype=np.int64)
+                    ends[starts - 1 if len(starts) else starts] = 1  # the word before a first word is the last of its text, and -1 the last of all
+                    one = np.ones(len(words), dtype=np.int64)
+                    (w, w_doc), (w_n, w_last), place = _summed([words, doc], [one, ends])
+                    (p, p_doc, p_at), (p_n,), _ = _summed([_pairs(words, starts), doc, place], [one])
+                    used = w_n > w_last
+                    docs = np.concatenate([at, w_doc[used], p_doc])
+                    kind = np.repeat(np.array([_HEAD, _WORD, _PAIR], dtype=np.int8), [m, used.sum(), len(p)])
+                    with np.errstate(over="ignore"):
+                        head = mix(rows[first : first + m].astype(np.uint64) + np.uint64(1)).view(np.int64)  # spread over the tasks
+                    ids = batch.column("id").take(pa.array(np.where(np.arange(len(docs)) < m, docs + first, 0), mask=np.arange(len(docs)) >= m))
+                    numbers = [np.concatenate([n, (w_n - w_last)[used], p_n]), np.concatenate([n, w_n[used], w_n[p_at]]), n[docs]]
+                    columns = [rows[first + docs], target[first + docs], kind, np.concatenate([head, w[used], p]), *[x.astype(np.int32) for x in numbers]]
+                    out = pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], schema.fieldNames())
+                    for j in range(0, out.num_rows, 20_000):
+                        yield out.slice(j, 20_000)
+
+    return flagged.mapInArrow(run, schema)
+
+
+def _hot(counts: DataFrame, key: str, weight: str, name: str) -> DataFrame:
+    """The keys that hold more than one in MAX_HOT of the weight, so fewer than MAX_HOT of them."""
+    total = counts.agg(F.sum(weight)).first()[0] or 0
+    hot, _ = stage(counts.groupBy(F.col(key).alias("_hot")).agg(F.sum(weight).alias("_w")).where(F.col("_w") * MAX_HOT > total).select("_hot"), name)
+    return F.broadcast(hot)
+
+
+def _salted_join(left: DataFrame, right: DataFrame, hot: DataFrame, on: list[str], deal_by: str, how: str) -> DataFrame:
+    """Join on ``key`` and the other columns of ``on``, of which ``right`` has one row each; the rows of hot keys are dealt by a column of ``left`` and meet copies."""
+    a = left.join(hot, F.col("key") == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(deal_by), F.lit(SALTS))).cast("int")).drop("_hot")
+    salts = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    b = right.join(hot, F.col("key") == F.col("_hot"), "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return a.join(b, [*on, "_salt"], how).drop("_salt")
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,32 +192,40 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     without id is background. Without targets, or without background, that model knows its smoothing only. An empty table gives no rows.
     """
     key = F.col(f"`{id_col}`")
+    spark = docs.sparkSession
     wanted, _ = stage(targets.select(key.alias("_target")).where(F.col("_target").isNotNull()).distinct(), "targets")
     wanted = small_side(wanted, 40)  # few ids are sent to the texts; many meet them in a shuffled join
-    flagged = docs.select(key.alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted, F.col("id") == F.col("_target"), "left").select("text", F.col("_target").isNotNull().alias("is_target"))
-    target, background = _counted(flagged)
-    spark = docs.sparkSession
-    models = spark.sparkContext.broadcast((target, background))  # of a fixed size
-    names = ["t", "b", "t_own", "b_own"]
-    schema = T.StructType([docs.schema[id_col], T.StructField("n_words", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, b = models.value
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
-                n, out = [], []
-                for w in word_lists(batch.column(1).to_pylist()):
-                    n.append(len(w))
-                    if len(w):
-                        c = bigram_cells(w)
-                        out.append((t.loss(w, c, False), b.loss(w, c, False), t.loss(w, c, True) if t.total >= len(w) else None, b.loss(w, c, True) if b.total >= len(w) else None))
-                    else:
-                        out.append((None,) * 4)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array([x[k] for x in out], pa.float64()) for k in range(4)]], schema.fieldNames())
-
-    losses = docs.select(key, F.col(f"`{text_col}`")).mapInArrow(run, schema)
-    joined = losses.join(wanted, key == F.col("_target"), "left")
-    is_target: Column = F.col("_target").isNotNull()
-    t, b = F.when(is_target, F.col("t_own")).otherwise(F.col("t")), F.when(is_target, F.col("b")).otherwise(F.col("b_own"))
-    return joined.select(key, "n_words", is_target.alias("is_target"), t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))
+    rows = docs.select(key.alias("id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    flagged = rows.join(wanted, F.col("id") == F.col("_target"), "left").select("id", "text", "row", F.col("_target").isNotNull().alias("is_target"))
+    counts, counts_path = stage(_counts(flagged), "counts")
+    sums = {r["kind"]: r for r in counts.where(F.col("kind") != _PAIR).groupBy("kind").agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count("*").alias("n")).collect()}
+    tokens = {side: sums[_WORD][side] if sums else 0 for side in "tb"}
+    documents = {side: sums[_DOCUMENTS][side] if sums else 0 for side in "tb"}
+    v = max(1 << WORD_BITS, 1 + (sums[_WORD]["n"] if sums else 0))
+    scale = {"t": 1.0, "b": tokens["t"] / tokens["b"] if tokens["b"] else 1.0}
+
+    # to each word and pair the counts of its word
+    words = counts.where(F.col("kind") == _WORD).select("key", F.col("t").alias("wt"), F.col("b").alias("wb"))
+    pairs = counts.where(F.col("kind") == _PAIR).select(F.col("word").alias("key"), F.col("key").alias("pair"), "t", "b")
+    many = _hot(pairs.groupBy("key").agg(F.count("*").alias("n")), "key", "n", "hot-words")
+    known = _salted_join(pairs, words, many, ["key"], "pair", "inner").select(F.lit(_PAIR).cast("byte").alias("kind"), F.col("pair").alias("key"), "t", "b", "wt", "wb")
+    known = known.unionByName(words.select(F.lit(_WORD).cast("byte").alias("kind"), "key", F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("b"), "wt", "wb"))
+    # a word's or pair's row in a document stands for one or more of its occurrences, so frequent keys are hot whatever their documents
+    often = _hot(counts.where(F.col("kind") != _DOCUMENTS).select("key", (F.col("t") + F.col("b")).alias("n")), "key", "n", "hot-keys")
+    met = _salted_join(_uses(flagged), known, often, ["kind", "key"], "row", "left")
+
+    def loss(side: str) -> Column:
+        """What a row adds to the sum of its document's negative log probabilities; the first word follows the start, which stands once in a document."""
+        mine = F.col("is_target") if side == "t" else ~F.col("is_target")
+        n, own, all_own = (F.when(mine, F.col(c)).otherwise(0) for c in ("n", "own", "n_words"))
+        s, w = F.lit(float(scale[side])), F.col(f"w{side}") - own
+        p1 = (s * w + ALPHA) / (s * (F.lit(tokens[side]) - all_own) + ALPHA * v)
+        pair = -F.col("n") * F.log(s * (F.col(side) - n) + MU * p1)
+        # a word's own n leaves out the document's last word, c(v) does not
+        word = F.col("n") * F.log(s * w + MU)
+        start = F.when(F.col("n_words") > 0, F.log(s * (F.lit(documents[side]) - F.when(mine, 1).otherwise(0)) + MU))
+        return F.when(F.col("kind") == _PAIR, pair).when(F.col("kind") == _WORD, word).otherwise(start)
+
+    sums_of = met.groupBy("row").agg(F.max("id").alias("id"), F.max("n_words").cast("long").alias("n_words"), F.max("is_target").alias("is_target"), *[F.sum(loss(side)).alias(side) for side in "tb"])
+    t, b = F.col("t") / F.col("n_words"), F.col("b") / F.col("n_words")
+    return sums_of.select(F.col("id").alias(id_col), "n_words", "is_target", t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))

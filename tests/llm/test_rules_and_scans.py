@@ -140,6 +140,38 @@ def test_cross_entropy_difference(spark):
     assert lm_scoring.cross_entropy_difference(frame(spark), targets.limit(0)).where("is_target").count() == 0
 
 
+def test_cross_entropy_counts_exactly(spark):
+    """Losses from counts of the words themselves; so many pairs that a table of 2**21 cells would mix some, more words than 2**18."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 4000) % 3000) for _ in range(12)] + [" ".join(f"u{i}" for i in range(270_000)), "w1 w1 w2", "W1"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    wanted = {0, 3, 13}
+    out = lm_scoring.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(i,) for i in wanted], "doc_id long")).collect()
+    got = {r["doc_id"]: r for r in out}
+    assert len(out) == len(rows)
+    lists = [t.lower().split() for t in texts]
+    pairs = [list(zip([None, *w], w)) for w in lists]  # noqa: B905
+    v = len({x for w in lists for x in w}) + 1
+    assert v > 2**18
+    count = lambda side, of: Counter(x for i, xs in enumerate(of) if (i in wanted) == side for x in xs)
+    uni, bi = {k: count(k, lists) for k in (True, False)}, {k: count(k, pairs) for k in (True, False)}
+    total = {k: sum(uni[k].values()) for k in uni}
+    for i, (w, p) in enumerate(zip(lists, pairs, strict=True)):
+        losses = {}
+        for side in (True, False):
+            own = (i in wanted) == side
+            ow, op = (Counter(w), Counter(p)) if own else (Counter(), Counter())
+            s, docs = 1.0 if side else total[True] / total[False], len(wanted) if side else len(rows) - len(wanted)
+            loss = 0.0
+            for x, y in p:
+                p1 = (s * (uni[side][y] - ow[y]) + lm_scoring.ALPHA) / (s * (total[side] - own * len(w)) + lm_scoring.ALPHA * v)
+                prob = (s * (bi[side][x, y] - op[x, y]) + lm_scoring.MU * p1) / (s * (docs - own if x is None else uni[side][x] - ow[x]) + lm_scoring.MU)
+                assert 0 < prob <= 1
+                loss -= math.log(prob)
+            losses[side] = loss / len(w)
+        assert math.isclose(got[i]["target_loss"], losses[True], rel_tol=1e-9) and math.isclose(got[i]["background_loss"], losses[False], rel_tol=1e-9)
+
+
 def brute_top(rows, k):
     good = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
