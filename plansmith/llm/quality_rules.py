@@ -51,16 +51,24 @@ BANDS: dict[str, Band] = {
     "cjk": Band(0.3, 3.0, 0.80, 0.35),
     "other": Band(0.25, 9.0, 0.95, 0.30),
 }
-_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
-_CYRILLIC = re.compile(r"[Ѐ-ԯ]+")
-_CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]+")
+_NAMED = {
+    "latin": "A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u1d00-\u1d25\u1e00-\u1eff\u2c60-\u2c7f\ua722-\ua787\ufb00-\ufb06\uff21-\uff3a\uff41-\uff5a",
+    "cyrillic": "\u0400-\u052f\u1c80-\u1c8f\ua640-\ua69f",
+    "cjk": "\u1100-\u11ff\u3005-\u3007\u3040-\u312f\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\uff66-\uffdc\U00020000-\U000323af",
+}
+_LETTERS = {name: re.compile(f"[{chars}]+") for name, chars in _NAMED.items()}
+_ANY_NAMED = re.compile(f"[{''.join(_NAMED.values())}]+")
 
 
 def script_of(text: str) -> str:
-    """The script of most letters; Latin where there are none of the named scripts' letters and all is ASCII."""
+    """The script of most letters, where all letters of no named script count as "other"; Latin where all is ASCII, "other" without a letter.
+
+    At a tie a named script goes before "other".
+    """
     if text.isascii():
         return "latin"
-    found = [(sum(map(len, p.findall(text))), name) for p, name in ((_LATIN, "latin"), (_CYRILLIC, "cyrillic"), (_CJK, "cjk"))]
+    found = [(sum(map(len, p.findall(text))), name) for name, p in _LETTERS.items()]
+    found.append((sum(map(str.isalpha, _ANY_NAMED.sub("", text))), "other"))
     n, name = max(found, key=lambda x: x[0])
     return name if n else "other"
 

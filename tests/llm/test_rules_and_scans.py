@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plansmith.llm import lm_scoring
 from plansmith.llm.license_scan import TEMPLATES, align, longest_increasing, make_templates, scan_licenses, scan_text
-from plansmith.llm.quality_rules import quality_rules
+from plansmith.llm.quality_rules import quality_rules, script_of
 from plansmith.llm.sharding import FeistelPermutation, shard_rows, write_shards
 from plansmith.llm.vector_files import ApproximationFile, exact_top_k
 
@@ -49,6 +49,31 @@ def test_quality_rules(spark):
         quality_rules(frame(spark).withColumnRenamed("extra", "kept"))
 
 
+OTHER_SCRIPTS = {
+    "greek": "Η βιβλιοθήκη της πόλης ανοίγει κάθε πρωί στις οκτώ και κλείνει αργά το βράδυ, όταν φεύγουν και οι τελευταίοι αναγνώστες. Πολλοί φοιτητές διαβάζουν εκεί για τις εξετάσεις τους.",
+    "arabic": "تفتح مكتبة المدينة أبوابها كل صباح في الساعة الثامنة وتغلق في وقت متأخر من المساء عندما يغادر آخر القراء. يدرس هناك كثير من الطلاب استعدادا للامتحانات النهائية في نهاية كل عام",
+    "hebrew": "ספריית העיר נפתחת בכל בוקר בשעה שמונה ונסגרת מאוחר בערב כאשר אחרוני הקוראים עוזבים את המקום. סטודנטים רבים לומדים שם לקראת הבחינות שלהם בסוף השנה וגם במשך הקיץ",
+    "thai": "ห้องสมุด ของ เมือง เปิด ทุก เช้า เวลา แปด โมง และ ปิด ตอน ค่ำ เมื่อ ผู้อ่าน คน สุดท้าย กลับ บ้าน นักเรียน หลาย คน อ่าน หนังสือ ที่นั่น ก่อน สอบ ปลาย ปี",
+    "hindi": "शहर का पुस्तकालय हर सुबह आठ बजे खुलता है और देर शाम को बंद होता है जब आखिरी पाठक घर चले जाते हैं। बहुत से छात्र वहाँ अपनी परीक्षाओं की तैयारी करते हैं",
+    "armenian": "Քաղաքի գրադարանը բացվում է ամեն առավոտ ժամը ութին և փակվում է ուշ երեկոյան, երբ վերջին ընթերցողները տուն են գնում։ Շատ ուսանողներ այնտեղ պատրաստվում են իրենց քննություններին տարվա վերջում",
+}
+
+
+def test_script_of_most_letters(spark):
+    rows = []
+    for i, text in enumerate(OTHER_SCRIPTS.values()):
+        rows += [(10 * i + k, text + tail, [None, "el"][k % 2], "s", 1, "e") for k, tail in enumerate(["", " x", " www.example.org", " Anna"])]
+    out = quality_rules(frame(spark, rows)).collect()
+    assert len(out) == 24 and all(r["band"] == "other" and r["kept"] for r in out)
+    long = "The library of the town opens every morning at eight and closes late when all have left. "
+    for text in OTHER_SCRIPTS.values():
+        assert script_of(text + 4 * long) == "latin"
+        assert script_of(text + 8 * "Городская библиотека открывается каждое утро. ") == "cyrillic"
+        assert script_of(text + 40 * "図書館は毎朝開く。") == "cjk"
+    assert script_of("Thư viện của thành phố mở cửa mỗi buổi sáng") == "latin" and script_of("ỗẫậợự ế") == "latin"
+    assert script_of("αβ ab") == "latin" and script_of("αβγ ab") == "other" and script_of("… 12 —") == "other" and script_of("12") == "latin"
+
+
 def test_license_alignment():
     assert longest_increasing([3, 1, 2, 9, 4, 5]) == [1, 2, 4, 5] and longest_increasing([]) == []
     assert align("a b x c".split(), ("a", "b", "c")) == [(0, 0), (1, 1), (3, 2)]
