@@ -198,16 +198,12 @@ def priority_match(spark, sf_dir):
 
 @query()
 def fuzzy_match_topband(spark, sf_dir):
-    """Benchmark items to the document lines most like them, if one stands out (J3, O2, F6); candidates share a run of four words."""
-    def grams(df: DataFrame, key: str) -> DataFrame:
-        words = F.split(F.col("norm"), " ")
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 4), " "))
-        return df.select(key, "norm", F.explode(F.array_distinct(runs)).alias("gram"))
-
-    items = table(spark, sf_dir, "benchmark").select("item_id", tx.normalise_title(F.element_at(F.split("text", "\n"), 1)).alias("norm")).where("norm != ''")
-    docs = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select(tx.normalise_title(F.col("line")).alias("norm")).where("norm != ''").distinct().withColumn("line_id", F.xxhash64("norm"))
-    pairs = grams(items, "item_id").join(grams(docs, "line_id").withColumnRenamed("norm", "line_norm"), "gram").select("item_id", "line_id", "norm", "line_norm").distinct()
-    return matching.fuzzy_match(pairs, "item_id", "line_id", "norm", "line_norm")
+    """Each line of the benchmark texts to the document line most like it, if one stands out."""
+    lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("item_id", "line", tx.normalise_title(F.col("raw")).alias("norm")).where("norm != ''")
+    docs = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select(tx.normalise_title(F.col("line")).alias("line_norm")).where("line_norm != ''").distinct().withColumn("line_id", F.xxhash64("line_norm"))
+    pairs = matching.near_pairs(lines.select("norm").distinct(), docs, "norm", "line_norm")
+    matched = matching.fuzzy_match(pairs, "norm", "line_id", "norm", "line_norm")
+    return lines.join(matched, "norm").select("item_id", "line", "item", "ratio", "n_near")
 
 
 @query("""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import random
+import re
 import zipfile
+from difflib import SequenceMatcher
 from xml.sax.saxutils import escape
 
 import pytest
@@ -14,6 +16,7 @@ from plansmith.functions import calendar as cal
 from plansmith.functions import text as tx
 from plansmith.operators import allocation
 from plansmith.plans import schedule as sch
+from plansmith.plans.catalogue import QUERIES
 from plansmith.plans.planning import in_force, verdict, workload_provenance
 from plansmith.sources import docx
 from plansmith.sources.plan_tables import parse_plans, plan_metadata, score_tables, table_rows
@@ -163,3 +166,30 @@ def test_week_grid(spark):
     assert grid[2026, 5]["date_range"] == "28.09–04.10" and grid[2026, 5]["month_label"] == "Сентябрь / Октябрь" and grid[2026, 18]["month_label"] == "Декабрь"
     assert str(grid[2027, 1]["start_day"]) == "2027-09-01" and str(grid[2027, 1]["end_day"]) == "2027-09-05"
     assert all((grid[2027, w + 1]["start_day"] - grid[2027, w]["end_day"]).days == 1 for w in range(1, 36))
+
+
+def test_fuzzy_match_all_pairs(spark, tmp_path):
+    """Every line of the benchmark texts against every document line, as difflib scores them."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 8))) for _ in range(60)]
+    base = [" ".join(rng.choices(words, k=k)) for k in (1, 2, 3, 5, 8, 13, 20, 40, 60) for _ in range(4)] + ["that and onesen erblest it hein ti", "план занятий на год"]
+
+    def changed(line, share):
+        return "".join(rng.choice(["", c + "x", "z"]) if rng.random() < share else c for c in line)
+
+    docs = [changed(line, share) for line in base for share in (0, 0.03, 0.1, 0.2)[rng.randint(0, 1) :: 2]] + ["that and onesen erblezt it hein ti"]
+    items = [(i, "\n".join(base[k : k + 3])) for i, k in enumerate(range(0, len(base), 3))]
+    spark.createDataFrame([(i, "\n".join(docs[i::5])) for i in range(5)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    norm = lambda s: re.sub("[^a-zа-я0-9]+", " ", s.lower()).strip()
+    lines = sorted({norm(d) for d in docs} - {""})
+    want = {}
+    for i, text in items:
+        for k, line in enumerate(text.split("\n")):
+            ratios = sorted(((SequenceMatcher(None, norm(line), d).ratio(), d) for d in lines), reverse=True)
+            near = [d for r, d in ratios if ratios[0][0] - r < 0.08]
+            if ratios[0][0] >= 0.82:
+                want[i, k] = (near[0] if len(near) == 1 else None, round(ratios[0][0], 6), len(near))
+    ids = {r["id"]: r["d"] for r in spark.createDataFrame([(d,) for d in lines], "d string").select("d", F.xxhash64("d").alias("id")).collect()}
+    got = {(r["item_id"], r["line"]): (ids.get(r["item"]), r["ratio"], r["n_near"]) for r in QUERIES["fuzzy_match_topband"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) > 25 and len({v[2] for v in want.values()}) > 1
