@@ -2,7 +2,8 @@
 
 Words of the text and a template are matched at anchors, the words that occur once in either; of the anchors the longest
 increasing subsequence is kept, and the gaps between them are aligned in the same way, until a gap has no anchor; there only equal words
-at its ends match. The share of the template's words that match is its coverage. A notice may stand anywhere, more than once and with changed
+at its ends match. The share of the template's words that match is its coverage. The words that tell a license from others, its name and
+version, must be among the matched ones and stand together as in the template. A notice may stand anywhere, more than once and with changed
 words: the alignment runs over each region of the text that holds enough of the template's words close together.
 """
 
@@ -18,7 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Short public notices by the name of their license.
+_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_NEITHER = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+#: Public notices by the name of their license, and whole texts of MIT, BSD, ISC and Zlib. The opening of the BSD texts alone
+#: doesn't say which of them it is.
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -28,6 +41,23 @@ TEMPLATES: dict[str, list[str]] = {
         "Released under the MIT License.",
         "This project is licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "ISC": [
+        "Released under the ISC License.",
+        "This project is licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "Zlib": [
+        "Released under the Zlib License.",
+        "This project is licensed under the Zlib License.",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -37,18 +67,42 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
+    "LGPL-2.1": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
     "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        _BSD + _NEITHER + _WARRANTY,
     ],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", _BSD + _WARRANTY],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
 }
+#: What tells a license from others: where a template holds such words, its first place of them must be matched as it stands.
+DISTINGUISHING: dict[str, list[str]] = {
+    "Apache-2.0": ["apache", "2 0"],
+    "MIT": ["mit"],
+    "ISC": ["isc"],
+    "Zlib": ["zlib"],
+    "GPL-3.0": ["gnu general public", "version 3"],
+    "GPL-2.0": ["gnu general public", "version 2"],
+    "LGPL-2.1": ["gnu lesser general public", "version 2 1"],
+    "LGPL-3.0": ["gnu lesser general public", "version 3"],
+    "AGPL-3.0": ["gnu affero general public", "version 3"],
+    "BSD-3-Clause": ["bsd 3 clause", "neither the name", "endorse or promote"],
+    "BSD-2-Clause": ["bsd 2 clause"],
+    "MPL-2.0": ["mozilla public", "2 0"],
+    "CC-BY-4.0": ["cc by 4 0", "commons attribution 4 0"],
+    "CC-BY-SA-4.0": ["cc by sa 4 0", "commons attribution sharealike 4 0"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0", "commons attribution noncommercial 4 0"],
+}
 MIN_COVERAGE = 0.8
 SPREAD = 2
 _WORD = re.compile(r"[a-z0-9]+")
@@ -56,12 +110,18 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 @dataclass(frozen=True)
 class Template:
-    """The words of a notice, and how many of them a match needs."""
+    """The words of a notice, how many of them a match needs, and the places (first, after last) of those that it can't do without."""
 
     name: str
     words: tuple[str, ...]
     counts: Counter
     need: int
+    must: tuple[tuple[int, int], ...] = ()
+
+    def named(self, pairs: list[tuple[int, int]]) -> bool:
+        """Whether the distinguishing words are matched, each run of them without a word between."""
+        at = {y: x for x, y in pairs}
+        return all(a in at and all(at.get(y) == at[a] + y - a for y in range(a, b)) for a, b in self.must)
 
 
 def make_templates(notices: dict[str, list[str]] | None = None, min_coverage: float = MIN_COVERAGE) -> list[Template]:
@@ -71,7 +131,9 @@ def make_templates(notices: dict[str, list[str]] | None = None, min_coverage: fl
             words = tuple(_WORD.findall(t.lower()))
             if words:
                 need = next(k for k in range(1, len(words) + 1) if k / len(words) >= min_coverage)
-                out.append(Template(name, words, Counter(words), need))
+                runs = [tuple(r.split()) for r in DISTINGUISHING.get(name, [])]
+                firsts = [next(((i, i + len(r)) for i in range(len(words)) if words[i : i + len(r)] == r), None) for r in runs]
+                out.append(Template(name, words, Counter(words), need, tuple(f for f in firsts if f)))
     return out
 
 
@@ -160,8 +222,8 @@ def scan_text(text: str | None, templates: list[Template], vocabulary: frozenset
         for a, b in regions(hits, t.need, spread * len(t.words)):
             while b - a >= t.need:
                 pairs = align(words[a:b], t.words)
-                if len(pairs) < t.need:
-                    # two copies side by side leave no word unique: take the shortest windows one by one
+                if len(pairs) < t.need or not t.named(pairs):
+                    # two copies side by side leave no word unique, or another license's notice lies beside: take the shortest windows one by one
                     break
                 begin, end = a + pairs[0][0], a + pairs[-1][0] + 1
                 found.append((len(pairs), len(pairs) / len(t.words), t.name, begin, end))
@@ -186,7 +248,7 @@ def _windows(words: list[str], hits: list[int], t: Template, spread: int) -> Ite
         if sum(shared.values()) < t.need:
             continue
         pairs = align(window, t.words)
-        if len(pairs) >= t.need:
+        if len(pairs) >= t.need and t.named(pairs):
             after = h + pairs[-1][0] + 1
             yield len(pairs), len(pairs) / len(t.words), t.name, h + pairs[0][0], after
 

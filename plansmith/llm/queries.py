@@ -77,7 +77,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The license notices of every document."""
     out = scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
-    return out.select("doc_id", F.size("matches").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.array_max(F.transform("matches", lambda m: m["coverage"])).alias("best_coverage"), F.get("matches", F.lit(0))["begin"].alias("first_begin"), F.get("matches", F.lit(0))["end"].alias("first_end"))
+    return out.select("doc_id", F.size("matches").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.array_max(F.transform("matches", lambda m: m["coverage"])).alias("best_coverage"), F.get("matches", F.lit(0))["begin"].alias("first_begin"), F.get("matches", F.lit(0))["end"].alias("first_end"), "matches")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,21 @@ def test_license_alignment():
     assert scan(None) == scan("") == scan("the public is licensed to work under version of this") == []
 
 
+def test_license_names_must_match():
+    templates = make_templates()
+    vocabulary = frozenset(w for t in templates for w in t.words)
+    found = lambda t: [m["license"] for m in scan_text(t, templates, vocabulary)]
+    assert found("Released under the ISC License.") == ["ISC"] and found("This project is licensed under the Zlib License.") == ["Zlib"]
+    assert found("Released under the Foo License.") == found("This project is licensed under the Foo License.") == []
+    assert found("Licensed under the BSD 2-Clause License.") == ["BSD-2-Clause"] and found("Licensed under CC BY-ND 4.0.") == []
+    assert found("This work is licensed under the GNU Lesser General Public License, version 2.1.") == ["LGPL-2.1"]
+    assert found("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0"]
+    assert found("This project is licensed under the Foo License. This project is licensed under the MIT License.") == ["MIT"]
+    whole = TEMPLATES["MIT"][-1]
+    (m,) = scan_text("Copyright 2020 A B\n" + whole + " End.", templates, vocabulary)
+    assert m["license"] == "MIT" and m["coverage"] == 1.0 and m["end"] - m["begin"] > 900
+
+
 def test_license_rows(spark):
     rows = [*documents(), (200, "Intro text\nReleased under the MIT License.\nmore", "en", "s", 1, "e")]
     out = {r["doc_id"]: r["matches"] for r in scan_licenses(frame(spark, rows)).collect()}
@@ -225,3 +240,12 @@ def test_bounds_hold():
     for bits in (1, 3, 6, 12):
         f = ApproximationFile(np.arange(200), v, bits)
         assert (f.bounds(q) >= (q @ v.T)).all()
+
+
+def test_license_query_has_all_matches(spark, tmp_path):
+    from plansmith.llm.queries import op9_license_scan
+
+    text = "Released under the MIT License. Then other words here. Licensed under the Apache License, Version 2.0."
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    (r,) = op9_license_scan(spark, str(tmp_path)).collect()
+    assert [m["license"] for m in r["matches"]] == ["MIT", "Apache-2.0"] and text[r["matches"][1]["begin"] :].startswith("Licensed under the Apache")
