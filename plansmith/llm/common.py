@@ -2,44 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import new_path, shared_dir, stage  # noqa: F401
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Where it is unset (tests on one machine) a temporary folder is set for this session.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="plansmith-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/plansmith-{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str, path: str | None = None) -> tuple[DataFrame, str]:
-    """Write ``df`` once as Parquet in the shared folder and read it back: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = path or new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a staged table that no later plan reads."""
     jvm = spark.sparkContext._jvm

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stage
+from ..staging import new_path, number_rows
 
 ROUNDS = 6
 _M1, _M2, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -73,26 +73,6 @@ class FeistelPermutation:
         return int(self.row(np.array([slot * shards + shard]))[0])
 
 
-def number_rows(df: DataFrame, order_by: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
-    """Add dense global row numbers in the order of ``order_by`` (nulls first) and return them with the number of rows.
-
-    One range partitioning sorts the rows, which are staged so that both reads see the same order; only the count
-    of each partition reaches the driver.
-    """
-    at = f"_{name}_at"
-    ordered, _ = stage(df.sort(*[F.col(f"`{c}`").asc_nulls_first() for c in order_by]).withColumn(at, F.monotonically_increasing_id()), "order")
-    part = F.shiftright(at, 33)
-    counts = {r["part"]: r["n"] for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    first, starts = 0, []
-    for p in sorted(counts):
-        starts.append((p, first))
-        first += counts[p]
-    spark = df.sparkSession
-    offsets = spark.createDataFrame(starts, "_part int, _first long")  # one row a partition
-    numbered = ordered.join(F.broadcast(offsets), part.cast("int") == F.col("_part")).withColumn(name, F.col("_first") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
-    return numbered.drop("_part", "_first", at), first
-
-
 def shard_rows(df: DataFrame, order_by: list[str], shards: int = 24, seed: int = 0) -> DataFrame:
     """All columns of ``df`` with ``row_number``, ``shard`` and ``slot``.
 

@@ -14,6 +14,7 @@ from ..functions import calendar as cal
 from ..functions import text as tx
 from ..operators import allocation, matching, rollups, sequences
 from ..session import table
+from ..staging import number_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -191,8 +192,8 @@ def priority_match(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     topics = part.select(F.col("p_partkey").alias("topic_id"), F.col("p_size").cast("string").alias("number"), F.col("p_name").alias("title"), tx.normalise_title(F.col("p_name")).alias("norm"))
     titles = part.select(F.concat_ws(" ", "p_name", "p_type").alias("title")).union(part.where("p_size < 40").select(F.concat(F.upper("p_name"), F.lit("!")))).distinct()
-    # a small catalogue of titles: numbered by one ordered window
-    items = titles.withColumn("item_id", F.row_number().over(Window.orderBy("title")).cast("long")).select("item_id", F.lit(None).cast("string").alias("number"), "title", tx.normalise_title(F.col("title")).alias("norm"))
+    numbered, _ = number_rows(titles, ["title"])
+    items = numbered.select((F.col("row_number") + 1).alias("item_id"), F.lit(None).cast("string").alias("number"), "title", tx.normalise_title(F.col("title")).alias("norm"))
     return matching.priority_match(topics, items)
 
 

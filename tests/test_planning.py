@@ -193,3 +193,9 @@ def test_fuzzy_match_all_pairs(spark, tmp_path):
     ids = {r["id"]: r["d"] for r in spark.createDataFrame([(d,) for d in lines], "d string").select("d", F.xxhash64("d").alias("id")).collect()}
     got = {(r["item_id"], r["line"]): (ids.get(r["item"]), r["ratio"], r["n_near"]) for r in QUERIES["fuzzy_match_topband"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) > 25 and len({v[2] for v in want.values()}) > 1
+
+
+def test_priority_match_sorts_in_many_tasks(spark, tmp_path):
+    spark.createDataFrame([(i, f"part {i % 90}", f"type {i}", i % 60) for i in range(200)], "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    out = QUERIES["priority_match"](spark, str(tmp_path))
+    assert "row_number()" not in out._jdf.queryExecution().toString() and out.count() == 200
