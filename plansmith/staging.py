@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Where it is unset (tests on one machine) a temporary folder is set for this session.
+    Where it is unset and the master is local (tests on one machine) a temporary folder is set for this session; a cluster
+    must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="plansmith-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -27,11 +31,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plansmith-{name}-{uuid.uuid4().hex}"
 
 
+#: A setting of Spark: the shuffle files of a finished query go at once, not when the driver next collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str, path: str | None = None) -> tuple[DataFrame, str]:
-    """Write ``df`` once as Parquet in the shared folder and read it back: it cuts the lineage and survives lost executors."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: it cuts the lineage and survives lost executors.
+
+    The written table is all that later plans read, so the write's own shuffle files are dropped when it ends.
+    """
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
