@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import new_path, shared_dir, stage  # noqa: F401
@@ -20,14 +20,31 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+BROADCAST_BYTES = 32 << 20
+
+
+def array_bytes(column: str, each: int, rest: int) -> Column:
+    """About how many bytes a row takes with an array of so large elements and so much else."""
+    return F.greatest(F.size(column), F.lit(0)).cast("long") * each + rest
+
+
+def small_side(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a staged table, marked for broadcast if its rows sum up to at most ``limit`` bytes; else as it is, for a shuffled join.
+
+    ``row_bytes`` is a number for rows of a fixed width, a column that measures each row for others.
+    """
+    size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Label every node of an undirected graph with the smallest node it can reach.
 
     ``edges`` has two columns of one orderable type; edges from a node to itself and repeated
     edges are allowed, rows with a null end are ignored. Returns ``node`` and ``component`` for every
-    node that has an edge. Large-star and small-star rounds run until the edge set no longer changes;
-    each round is one grouping on each side with partial minima, so a hub's neighbours are
-    never collected in one task, and each round is staged in the shared folder.
+    node that has an edge. Large-star and small-star rounds run until the edge set no longer changes.
+    Each half round stages one smallest neighbour for each node, a grouping with partial minima, and joins it to the edges: by
+    broadcast while it is small, else as a plain join of two shuffled sides, of which Spark splits a hub's edges over tasks.
     """
     spark = edges.sparkSession
     cur = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct()
@@ -35,17 +52,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     last = None
     for _ in range(max_rounds):
         both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every larger neighbour is tied to the smallest of the neighbourhood
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where(F.col("u") != F.col("v")).distinct()
+        low, low_path = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-low")
+        large = both.join(small_side(low, 24), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large, large_path = stage(large.where(F.col("u") != F.col("v")).distinct(), "cc-large")
         # small star: a node and its smaller neighbours are tied to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        small = small.where(F.col("u") != F.col("v")).distinct()
-        nxt, nxt_path = stage(small, "cc")
+        least, least_path = stage(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        small = large.join(small_side(least, 24), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        nxt, nxt_path = stage(small.where(F.col("u") != F.col("v")).distinct(), "cc")
         seen = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        drop_path(spark, path)
+        for p in (path, low_path, large_path, least_path):
+            drop_path(spark, p)
         cur, path = nxt, nxt_path
         if (seen["n"], seen["h"]) == last:
             break
@@ -54,11 +71,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         raise RuntimeError(f"connected_components: not settled after {max_rounds} rounds")
     stars = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionAll(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-BROADCAST_BYTES = 64 << 20
-
-
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df``, a staged table, marked for broadcast if its rows of at most about ``row_bytes`` fit in ``limit``; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
