@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from plansmith.llm import jaccard_join
 from plansmith.llm.common import connected_components
 from plansmith.llm.jaccard_join import bitmap, fold, jaccard_groups, overlap_bound, prefix_length
-from plansmith.llm.line_dedup import _counted, _lines, _signed, dedup_lines, words_of
+from plansmith.llm import line_dedup
+from plansmith.llm.line_dedup import ARCS, _lines, dedup_lines, with_blocks, words_of
 from plansmith.llm.shingles import shingle_sets
 
 from .data import documents, frame
@@ -122,6 +123,47 @@ def edit_distance(a, b):
     return last[-1]
 
 
+def features(line):
+    """The three kinds of features of a normalised line, as tuples of strings, and how many of them vote in a block."""
+    words = line.split(" ")
+    long_words = [w for w in words if len(w) >= 4]
+    n = len(long_words)
+    out = []
+    if n < 8:
+        out.append(({tuple(line[i : i + 3]) for i in range(len(line) - 2)}, 5))
+    if 6 <= n < 32:
+        out.append(({(w,) for w in long_words}, 3))
+    if n >= 24:
+        out.append((set(zip(long_words, long_words[1:])), 3))  # noqa: B905
+    return out
+
+
+def brute_blocks(spark, lines):
+    """For each line the set of its SimHash blocks: bits counted one by one over the first voters from each arc's start."""
+    wanted = sorted({f for x in lines for fs, _ in features(x) for f in fs})
+    hashed = {}
+    for k in (1, 2, 3):
+        some = [f for f in wanted if len(f) == k]
+        if some:
+            df = spark.createDataFrame(some, ", ".join(f"c{i} string" for i in range(k)))
+            hashed.update({tuple(r)[:k]: r["h"] | 1 for r in df.select("*", F.xxhash64(*df.columns).alias("h")).collect()})
+    out = {}
+    for x in lines:
+        out[x] = set()
+        for fs, voters in features(x):
+            ring = sorted(hashed[f] for f in fs)
+            for b in range(ARCS if ring else 0):
+                at = sum(h < b * 2**64 // ARCS - 2**63 for h in ring)
+                votes = [ring[(at + i) % len(ring)] % 2**64 for i in range(voters)]
+                bits = sum(1 << i for i in range(64) if 2 * sum(v >> i & 1 for v in votes) > voters)
+                out[x].add(bits - 2**64 if bits >= 2**63 else bits)
+    return out
+
+
+def near(a, b):
+    return edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+
+
 def test_line_dedup(spark):
     rows = [r for r in documents() if r[1] is None or len(r[1]) < 9000]
     long_line = " ".join(f"token{i}" for i in range(90))
@@ -129,19 +171,14 @@ def test_line_dedup(spark):
     rows.append((600, " ".join(f"word{i % 211}" for i in range(700)), "en", "s", 1, "e"))
     rows += [(500 + i, f"unique {i} alpha{i} beta{i}\n{v}\nTail {i * 7919} line of its own {i}", "en", "s", 1, "e") for i, v in enumerate(variants)]
     docs = frame(spark, rows)
-    found = {(r["id"], r["of"], r["line"]): " ".join(r["words"]) for r in _lines(docs, "doc_id", "text").collect()}
-    sims = spark.createDataFrame([(n,) for n in set(found.values())], "norm string")
-    words = sims.select("norm", F.explode(F.split("norm", " ")).alias("w")).select("norm", F.xxhash64("w").alias("h"))
-    sim = {r["norm"]: r["sim"] for r in _signed(_counted(sims.withColumn("words", F.split("norm", " ")), ["norm"]), ["norm"]).collect()}
-    hashes = {}
-    for r in words.collect():
-        hashes.setdefault(r["norm"], []).append(r["h"] % 2**64)
-    for norm, hs in hashes.items():
-        want = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hs) > len(hs))
-        assert sim[norm] % 2**64 == want
+    found = {(*r["place"],): " ".join(r["words"]) for r in _lines(docs, "doc_id", "text").collect()}
+    blocks = brute_blocks(spark, set(found.values()))
+    lines = spark.createDataFrame([(x,) for x in blocks], "norm string").withColumn("words", F.split("norm", " "))
+    for r in with_blocks(lines).collect():
+        assert len(r["blocks"]) == len(set(r["blocks"])) and set(r["blocks"]) == blocks[r["norm"]]
     g = Groups(set(found.values()))
-    for a, b in combinations(sorted(set(found.values())), 2):
-        if bin((sim[a] ^ sim[b]) % 2**64).count("1") <= 3 and edit_distance(a, b) <= 0.2 * max(len(a), len(b)):
+    for a, b in combinations(sorted(blocks), 2):
+        if blocks[a] & blocks[b] and near(a, b):
             g.join(a, b)
     first = {}
     for k, norm in found.items():
@@ -170,6 +207,55 @@ def test_line_dedup(spark):
         dedup_lines(docs.withColumnRenamed("extra", "n_lines"))
 
 
+def reworded(rng, words, k, pool):
+    out = list(words)
+    for i in rng.choice(len(words), k, replace=False):
+        out[i] = pool[rng.integers(len(pool))]
+    return out
+
+
+def test_line_dedup_recall(spark):
+    """Of edited copies within the edit similarity at least nine in ten are found at each length, and lines on other matters stay."""
+    rng = np.random.default_rng(11)
+    pool = ["".join(rng.choice(list("abcdefghiklmnoprstu"), rng.integers(2, 11))) for _ in range(4000)]
+    lines, pairs = [], {}
+    for n, k in ((7, 1), (10, 1), (15, 1), (15, 2), (25, 2), (40, 1), (40, 3), (80, 6), (160, 12), (400, 25)):
+        for _ in range(30):
+            words = [pool[i] for i in rng.integers(0, len(pool), n)]
+            other = reworded(rng, words, k, pool)
+            a, b = " ".join(words), " ".join(other)
+            if n > 100 or near(a, b):
+                pairs.setdefault(n, []).append((len(lines), len(lines) + 1))
+                lines += [a, b]
+    cjk = ["".join(chr(x) for x in rng.integers(0x4E00, 0x5E00, 40)) for _ in range(20)]
+    for x in cjk:
+        pairs.setdefault("cjk", []).append((len(lines), len(lines) + 1))
+        lines += [x, x[:9] + "\u4e00" + x[10:]]
+    out = dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)).collect()
+    gone = {r["doc_id"] for r in out if r["n_removed"]}
+    for n, some in pairs.items():
+        assert len(some) >= 15 and sum(b in gone for _, b in some) >= 0.9 * len(some), n
+    assert not gone & {a for some in pairs.values() for a, _ in some}
+
+
+def test_line_dedup_rounds_and_vast_lines(spark, monkeypatch):
+    """A crowd in which many lines share blocks but few are near, and lines compared by words."""
+    monkeypatch.setattr(line_dedup, "LETTERS", 300)
+    rng = np.random.default_rng(12)
+    head = [f"common{i}" for i in range(30)]
+    crowd = [" ".join([*head, *(f"own{i}x{j}" for j in range(22))]) for i in range(20)]
+    crowd += [" ".join(reworded(rng, x.split(" "), 2, ["other"])) for x in crowd[:5]]
+    g = Groups(crowd)
+    for a, b in combinations(crowd, 2):
+        x, y = a.split(" "), b.split(" ")
+        if edit_distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9):
+            g.join(*sorted((a, b)))
+    out = dedup_lines(spark.createDataFrame(list(enumerate(crowd)), "doc_id long, text string").repartition(3)).collect()
+    assert sum(r["n_removed"] for r in out) == len(crowd) - len({g.find(x) for x in crowd}) == 5
+    clash = spark.createDataFrame([(1, "one line here", 2, "x")], "id long, text string, `of` int, `gone` string")
+    assert dedup_lines(clash, id_col="id").select("id", "of", "gone", "n_lines").first()[:] == (1, 2, "x", 1)
+
+
 def test_words_of(spark):
     rows = spark.createDataFrame([("  Ä-b  C3!",), ("***",), ("",), (None,)], "x string").select(words_of(F.col("x"))).collect()
     assert [r[0] for r in rows] == [["ä", "b", "c3"], [], [], None]
