@@ -6,8 +6,9 @@
    ``n - ceil(t n) + 1`` of each, whatever the order; as common shingles come last, few documents meet in one by chance.
 3. Classes that meet no other there are done. The others' sets are staged once.
 4. Classes that look alike are gathered in families: each class and the one that it meets most often, of those that lead a shingle, if bitmaps
-   leave the pair open. Bitmaps bound the overlap from above: a bit that only one side has is an element that the other lacks. A family's sets
-   come together once, in tiles of bounded size, where pairs that bitmaps leave open are intersected as sorted arrays;
+   leave the pair open. Bitmaps bound the overlap from above: a bit that only one side has is an element that the other lacks. These pairs are
+   intersected first, as sorted arrays. Where that joins a whole family it is done. In the others the largest group stays as it is, and the strays meet each other
+   and that group in tiles of bounded size, so sets are copied as often as strays fill tiles;
    pairs that are linked through others by then are skipped, as their link changes no group.
 5. Where classes of different families meet, tiles of one shingle and size band compare all of those pairs, by bitmaps, wider
    bitmaps, and then exactly. Families only say where a pair is compared. Large tiles are split in blocks and pairs of blocks.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,7 +132,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFr
                 right = [k for k, (c, h) in enumerate(zip(batch.column(0).to_pylist(), found, strict=True)) if len(h) and _class_of(h) == c]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64())), pa.array([found[k].tobytes() for k in right], pa.binary()), pa.array([bitmap(found[k], WIDE) for k in right], pa.binary())], ["cls", "items", "wide"])
 
-    texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").alias("text")).join(small_side(wanted, 40), "rep").select("cls", "text")
+    texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").alias("text")).join(small_side(wanted, F.octet_length(F.col("rep").cast("string")).cast("long") + 40), "rep").select("cls", "text")
     return texts.mapInArrow(run, "cls long, items binary, wide binary")
 
 
@@ -162,9 +163,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.repartition("b", "block").sortWithinPartitions("b", "block", "role").mapInArrow(run, "a long, b long")
 
 
-def _bounded(pairs: DataFrame, maps: DataFrame, percent: int, row_bytes: int = 200) -> DataFrame:
+def _bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those that the bitmaps can't rule out. ``maps``: cls, n and bits of every class in them."""
-    maps = small_side(maps, row_bytes)
+    maps = small_side(maps, F.octet_length("bits").cast("long") + 60)
     left = maps.select(F.col("cls").alias("a"), "n", F.col("bits").alias("x"))
     right = maps.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -195,10 +196,10 @@ def _lead_pairs(rows: DataFrame, turns: int) -> DataFrame:
     return times.groupBy("a", "turn").agg(F.max_by("b", F.struct("times", F.xxhash64("b"))).alias("b")).select("a", "b").distinct()
 
 
-def family_links(sets: list[tuple[int, np.ndarray]], own: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+def family_links(sets: list[tuple[int, np.ndarray]], own: np.ndarray | None, percent: int, groups: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that join the similar ones of some sets (class, sorted hashes): as few as keep all of their groups whole.
 
-    ``own``: the block of each set; pairs within a block are left out then.
+    ``own``: the block of each set; pairs within a block are left out then. ``groups``: sets of equal numbers are linked already.
     """
     order = sorted(range(len(sets)), key=lambda k: (len(sets[k][1]), sets[k][0]))
     n = np.array([len(sets[k][1]) for k in order], dtype=np.int64)
@@ -206,7 +207,7 @@ def family_links(sets: list[tuple[int, np.ndarray]], own: np.ndarray | None, per
     maps = [np.frombuffer(bitmap(sets[k][1], WIDE), dtype="<u8") for k in order]
     cuts = [0, *(k for k in range(1, len(maps)) if len(maps[k]) != len(maps[k - 1])), len(maps)]
     stacked = [(a, b, np.stack(maps[a:b])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]  # sizes ascend, so widths do
-    group = np.arange(len(order))
+    group = np.arange(len(order)) if groups is None else np.unique(np.array(groups, dtype=np.int64)[order], return_inverse=True)[1]
     links = []
     for y in range(len(order)):
         first = int(np.searchsorted(n, -(-percent * n[y] // 100)))
@@ -227,29 +228,43 @@ def family_links(sets: list[tuple[int, np.ndarray]], own: np.ndarray | None, per
     return links
 
 
-def _within_families(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes of one family (``families``: cls, family); a large family is dealt to blocks, and each pair of blocks is a tile."""
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / F.lit(FAMILY_ROWS)).cast("int").alias("blocks"))
-    dealt = families.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cls", "family", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt, _ = stage(dealt, "families")
-    rows = sets.select("cls", "items").join(small_side(dealt, 60), "cls").select("family", "i", "j", "own", "cls", "items")
+def _strays(families: DataFrame, groups: DataFrame) -> DataFrame:
+    """The classes of families that hold more than one group (``families``: cls, family; ``groups``: node, component): cls, family, label, and
+    whether the class is a stray, outside its family's largest group."""
+    labelled = families.join(small_side(groups, 24), F.col("cls") == F.col("node"), "left").select("cls", "family", F.coalesce("component", "cls").alias("label"))
+    labelled, _ = stage(labelled, "labelled")
+    sizes = labelled.groupBy("family", "label").agg(F.count("*").alias("n"))
+    largest, _ = stage(sizes.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").select("family", "largest"), "largest")
+    return labelled.join(small_side(largest, 24), "family").select("cls", "family", "label", (F.col("label") != F.col("largest")).alias("stray"))
+
+
+def _within_families(strays: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one family and different groups. Strays and others are dealt to blocks; each pair of blocks with strays is a tile."""
+    blocks = lambda stray: F.ceil(F.count_if(F.col("stray") == stray) / F.lit(FAMILY_ROWS)).cast("int")
+    sizes, _ = stage(strays.groupBy("family").agg(blocks(True).alias("stray_blocks"), blocks(False).alias("other_blocks")), "sizes")
+    dealt = strays.join(small_side(sizes, 24), "family")
+    own = F.when(F.col("stray"), F.pmod(F.xxhash64("cls"), F.col("stray_blocks"))).otherwise(F.col("stray_blocks") + F.pmod(F.xxhash64("cls"), F.col("other_blocks"))).cast("int")
+    last = F.when(F.col("stray"), F.col("stray_blocks") + F.col("other_blocks")).otherwise(F.col("stray_blocks")) - 1
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    dealt, _ = stage(dealt.select("cls", "family", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "families")
+    rows = sets.select("cls", "items").join(small_side(dealt, 60), "cls").select("family", "i", "j", "own", "label", "cls", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, own = None, [], []
+        key, held, own, labels = None, [], [], []
 
         def close() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                found = family_links(held, np.array(own) if key[1] != key[2] else None, percent)
+                found = family_links(held, np.array(own) if key[1] != key[2] else None, percent, labels)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for family, i, j, block, cls, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for family, i, j, block, label, cls, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (family, i, j) != key:
                     yield from close()
-                    key, held, own = (family, i, j), [], []
+                    key, held, own, labels = (family, i, j), [], [], []
                 held.append((cls, np.frombuffer(raw, dtype="<u8")))
                 own.append(block)
+                labels.append(label)
         yield from close()
 
     return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "cls").mapInArrow(run, "a long, b long")
@@ -319,10 +334,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     signed, signed_path = stage(_signatures(docs, id_col, text_col, size, percent, _sketch(docs, text_col, size)), "signatures")
     key = F.col(f"`{id_col}`")
     reps, reps_path = stage(signed.where(F.col("cls").isNotNull() & key.isNotNull()).groupBy("cls").agg(F.min(key).alias("rep")), "classes")
-    at_h = Window.partitionBy("h")
-    met = signed.select(F.explode("first").alias("h"), "cls").withColumn("met", F.count("*").over(at_h)).where("met > 1")
-    met = met.withColumns({"first_cls": F.min("cls").over(at_h), "last_cls": F.max("cls").over(at_h)}).where("first_cls != last_cls").select("h", "cls", "met").distinct()
-    met, met_path = stage(met, "met")
+    firsts = signed.select(F.explode("first").alias("h"), "cls")
+    shared, shared_path = stage(firsts.groupBy("h").agg(F.count("*").alias("met"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("h", "met"), "shared")
+    met, met_path = stage(firsts.join(small_side(shared, 32), "h").select("h", "cls", "met").distinct(), "met")
+    drop_path(docs.sparkSession, shared_path)
     wanted, wanted_path = stage(met.select("cls").distinct(), "wanted")
     known = signed.where(F.col("bits").isNotNull()).select("cls", "n", "bits").join(small_side(wanted, 40), "cls", "left_semi").dropDuplicates(["cls"])
     known, known_path = stage(known.join(reps, "cls").select("cls", "rep", "n", "bits"), "known")
@@ -356,20 +371,24 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alike = kept(_bounded(_lead_pairs(met, TURNS), known, percent), "alike")
     alike = alike.unionByName(kept(_bounded(_lead_pairs(open_rows(families_of(alike)), MORE_TURNS), known, percent), "alike"))
     families, families_path = stage(families_of(alike), "families")
-    links, links_path = stage(_within_families(families, sets_of(families.select("cls")), percent), "links")
+    sets = sets_of(families.select("cls"))
+    led, led_path = stage(_verify(alike.distinct(), sets, percent), "links")
+    strays = kept(_strays(families, kept(connected_components(led), "groups")), "strays")
+    links, links_path = stage(_within_families(strays, sets, percent), "links")
+    links = links.unionByName(led)
     drop_kept()
     # tiles where classes of different families meet
     rows = open_rows(families).join(known.select("cls", "n", "bits").hint("merge"), "cls")  # sorted by class, equal bitmaps pack well
     more = kept(_tile_pairs(rows, percent), "pairs")
     more_sets = sets_of(kept(more.select(F.col("a").alias("cls")).unionAll(more.select("b")).distinct(), "wanted"))
     wide = kept(more_sets.join(known.select("cls", "n"), "cls").select("cls", "n", F.col("wide").alias("bits")), "wide")
-    more = kept(_bounded(more, wide, percent, 800), "pairs")
+    more = kept(_bounded(more, wide, percent), "pairs")
     links2 = kept(_verify(more, more_sets, percent), "links")
     every = connected_components(links.unionByName(links2))
     labels = reps.join(every, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("group"))
     lowest = labels.groupBy("group").agg(F.min("rep").alias("component_id"))
     of_class, _ = stage(labels.join(lowest, "group").select("cls", "component_id"), "labels")
     drop_kept()
-    for p in (reps_path, wanted_path, met_path, known_path, families_path, links_path):
+    for p in (reps_path, wanted_path, met_path, known_path, families_path, led_path, links_path):
         drop_path(spark, p)
     return slim.select(key, F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left").select(key, "n_shingles", F.when(key.isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
