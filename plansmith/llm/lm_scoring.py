@@ -1,19 +1,18 @@
 """Cross-entropy difference: how much likelier a document is under a target model than under a background model.
 
-Both are word bigram models over one open vocabulary. Every distinct word and every distinct pair (word before, word) is counted by its
-64-bit hash; nothing is folded into fewer cells, so the tables grow with the corpus. All documents are counted: those that are targets in
-one model, all others in the other. The models are matched: same order, vocabulary and smoothing, and the background's counts are scaled to
-the target's number of tokens, so that both are smoothed alike.
+Both are word bigram models over one vocabulary, the distinct words of all documents and one for words never seen. All documents are counted: those that
+are targets in one model, all others in the other. The models are matched: same order, vocabulary and smoothing.
 
     P1(w)   = (c(w) + ALPHA) / (N + ALPHA * V)
-    P(w|v)  = (c(v, w) + MU * P1(w)) / (c(v) + MU)
+    P(w|v)  = (c(v, w) + MU * P1(w)) / (h(v) + MU)
 
-V is 2**WORD_BITS, or the number of distinct words and one for those never seen where that is more. A document's own counts are taken out of the
-model that it was counted in before it is scored.
+h(v) is how often v stands before another word, so P1 and P(.|v) sum to one over the V words. A text's first word follows a start. A document's own counts
+are taken out of the model that it was counted in before it is scored.
 
-Words and pairs are counted by one grouping with partial sums, both sides as columns. Each document's distinct words and pairs then meet the counts
-in a join by key and their losses are summed by document. Keys that many documents have are salted in the join; only the list of these keys, of
-MAX_HOT rows at most, is broadcast.
+How the counts meet the documents: tasks cut documents into batches of about BATCH_BYTES of text, staged as word numbers. Each batch asks for its distinct
+words and pairs, with its own counts, by ranges of their 64-bit hashes. A range's task adds up what all batches have and answers each of them; the answers are
+put back together by batch, where the losses of its documents are summed. So a word that is everywhere costs a batch one entry, all tables grow
+with the corpus, and only a few sums reach the driver.
 """
 
 from __future__ import annotations
@@ -22,210 +21,268 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_side, stage
-from .shingles import batches_of, mix, word_hashes
+from .common import drop_path, small_side, stage
+from .shingles import mix, word_hashes
 
-WORD_BITS = 18
-ALPHA = 0.1
-MU = 4.0
-#: A key is salted if it holds more than one in MAX_HOT of the rows to be joined; it is then dealt over SALTS tasks.
-MAX_HOT, SALTS = 5000, 64
-_WORD, _PAIR, _DOCUMENTS, _HEAD = 0, 1, 2, 3
+ALPHA, MU = 0.1, 4.0
+BATCH_BYTES = 4 << 20
+#: About so many words and pairs of all batches meet in a range; the number of ranges follows the input.
+RANGE_ENTRIES = 1 << 20
 _START = np.uint64(0xA0761D6478BD642F)
-_AT_ONCE = 1 << 20
+#: A range's counts: of pairs in targets and background, of words, and of words before another word.
+_COUNTS = ["pt", "pb", "wt", "wb", "ht", "hb"]
 
 
-def word_lists(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """For each text the 64-bit numbers of its words in order: A-Z in lower case, parted by ASCII white space."""
-    for _, some in batches_of(texts):
-        h, starts = word_hashes(b"\n".join(some))
-        words = h.view(np.int64)
-        a = 0
-        for b in np.searchsorted(starts, np.cumsum([len(r) + 1 for r in some])).tolist():
-            yield words[a:b]
-            a = b
-
-
-def _pairs(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The number of each word with the word before it; where ``first`` is set, that is the start of a text."""
-    w = words.view(np.uint64)
-    before = np.concatenate([[_START], w[:-1]])
-    before[first] = _START
+def pair_keys(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word with the word before it, and the place of that word; texts have n words each, and the first of each follows the start (-1)."""
+    before = np.arange(-1, len(words) - 1)
+    before[(np.cumsum(n) - n)[n > 0]] = -1
+    left = np.where(before < 0, _START, words[before])
     with np.errstate(over="ignore"):
-        return mix(mix(before ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + w).view(np.int64)
+        return mix(mix(left ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + words), before
 
 
-def bigram_cells(words: np.ndarray) -> np.ndarray:
-    """The 64-bit number of each word with the word before it, or the start."""
-    first = np.zeros(len(words), dtype=bool)
-    first[:1] = True
-    return _pairs(words, first) if len(words) else words
+def _small(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as hold the largest."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if top <= np.iinfo(k).max)).tobytes()
 
 
-def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Distinct rows of the keys (the last sorts first), the sums of the values over each, and the place of each row among them."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), dtype=bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
-    starts = np.flatnonzero(new)
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.cumsum(new) - 1
-    return [k[order[starts]] for k in keys], [np.add.reduceat(v[order], starts) if len(starts) else v for v in values], place
+def _unsmall(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, dtype=np.int64)
 
 
-def _tokens(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """About a megabyte of text at a time: first text, number of words of each text, each word's text, the words."""
-    for first, some in batches_of(texts):
-        h, starts = word_hashes(b"\n".join(some))
-        n = np.diff(np.searchsorted(starts, np.cumsum([len(r) + 1 for r in some])), prepend=0)
-        yield first, n, np.repeat(np.arange(len(some)), n), h.view(np.int64)
+def _deltas(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte by byte, so that their high bytes, which are zero in crowded ranges, pack well."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _firsts(n: np.ndarray) -> np.ndarray:
-    """Of all words, which are the first of their texts, as places."""
-    return (np.cumsum(n) - n)[n > 0]
+def _undeltas(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, len(raw) // 8).T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _counts(flagged: DataFrame) -> DataFrame:
-    """Rows (kind, key, word, t, b): how often each word and pair stands in targets and in the background; a pair has its word, and one row the
-    numbers of documents with a word."""
-    names = ["kind", "key", "word", "t", "b"]
+def _summed(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct keys in ascending order, the sums of the values over each, and the place of each row among them."""
+    found, place = np.unique(keys, return_inverse=True)
+    return found, [np.bincount(place, weights=v, minlength=len(found)).astype(np.int64) for v in values], place
 
-    def batch_of(kind: int, key: np.ndarray, word: np.ndarray, t: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int8)), pa.array(key), pa.array(word), pa.array(t), pa.array(b)], names)
+
+def _batches(flagged: DataFrame) -> DataFrame:
+    """One row per batch of documents: their ids, sides and lengths, the batch's distinct words' hashes, and all documents' words as numbers among these."""
+    schema = T.StructType([T.StructField("ids", T.ArrayType(flagged.schema["id"].dataType)), *T.StructType.fromDDL("target array<boolean>, n array<int>, batch long, words binary, tokens binary, t long, b long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, pairs, whether in a target
-        docs = np.zeros(2, dtype=np.int64)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            words, pairs, target = (np.concatenate(x) for x in zip(*held, strict=True))
-            t = target.astype(np.int64)
-            (key,), (t_sum, b_sum), _ = _summed([words], [t, 1 - t])
-            yield batch_of(_WORD, key, key, t_sum, b_sum)
-            (word, key), (t_sum, b_sum), _ = _summed([words, pairs], [t, 1 - t])
-            yield batch_of(_PAIR, key, word, t_sum, b_sum)
-            held.clear()
+        from pyspark import TaskContext
+
+        made = TaskContext.get().partitionId() << 32
+        ids, target, texts, held = [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            words, starts = word_hashes(b"\n".join(texts))
+            n = np.diff(np.searchsorted(starts, np.cumsum([len(r) + 1 for r in texts])), prepend=0)
+            distinct, tokens = np.unique(words, return_inverse=True)
+            in_target = int(n[np.array(target, dtype=bool)].sum())
+            columns = [pa.array([ids], pa.list_(id_type)), pa.array([target], pa.list_(pa.bool_())), pa.array([n.tolist()], pa.list_(pa.int32())), pa.array([made], pa.int64())]
+            columns += [pa.array([x], pa.binary()) for x in (distinct.astype("<u8").tobytes(), _small(tokens))]
+            columns += [pa.array([x], pa.int64()) for x in (in_target, int(n.sum()) - in_target)]
+            return pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
         for batch in batches:
-            target = np.array(batch.column("is_target").to_pylist(), dtype=bool)
+            id_type = batch.schema.field("id").type
             for i in range(0, batch.num_rows, 500):
-                for first, n, doc, words in _tokens(batch.column("text").slice(i, 500).to_pylist()):
-                    side = target[i + first : i + first + len(n)]
-                    docs += [int((side & (n > 0)).sum()), int((~side & (n > 0)).sum())]
-                    if len(words):
-                        held.append((words, _pairs(words, _firsts(n)), side[doc]))
-                    if sum(len(x[0]) for x in held) > _AT_ONCE:
-                        yield from flush()
-        if held:
-            yield from flush()
-        if docs.any():
-            yield batch_of(_DOCUMENTS, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), docs[:1], docs[1:])
-
-    parts = flagged.select("text", "is_target").mapInArrow(run, "kind byte, key long, word long, t long, b long")
-    return parts.groupBy("kind", "key", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-
-def _uses(flagged: DataFrame) -> DataFrame:
-    """Each document's distinct words and pairs, and a row of kind _HEAD with its id and number of words.
-
-    ``n``: how often a pair stands in it, or a word before another word. ``own``: how often the word does; in a pair's row, the pair's word.
+                for key, text, side in zip(*(batch.column(c).slice(i, 500).to_pylist() for c in ("id", "text", "is_target")), strict=True):
+                    raw = (text or "").encode().lower()
+                    if texts and held + len(raw) > BATCH_BYTES:
+                        yield close()
+                        made += 1
+                        ids, target, texts, held = [], [], [], 0
+                    ids.append(key)
+                    target.append(side)
+                    texts.append(raw)
+                    held += len(raw) + 1
+        if texts:
+            yield close()
+
+    return flagged.select("id", "text", "is_target").mapInArrow(run, schema)
+
+
+class _Batch:
+    """A batch's documents as arrays."""
+
+    def __init__(self, target: list[bool], n: list[int], words: bytes, tokens: bytes):
+        self.n = np.array(n, dtype=np.int64)
+        self.words = np.frombuffer(words, dtype="<u8")
+        self.tokens = _unsmall(tokens, int(self.n.sum()))
+        self.doc = np.repeat(np.arange(len(n)), self.n)
+        self.target = np.array(target, dtype=bool)
+        self.last = np.cumsum(self.n)[self.n > 0] - 1
+        self.pairs, self.before = pair_keys(self.words[self.tokens], self.n)
+        self.start = int(np.searchsorted(self.words, _START))  # the start's place among the words
+
+
+def _ranges(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+
+
+def _asked(batches: DataFrame, bits: int) -> DataFrame:
+    """What each batch has in each range: distinct pairs and words, with its counts of them."""
+    names = ["range", "batch", "pairs", "words", *_COUNTS]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for several in rows:
+            for i, batch in enumerate(several.column(0).to_pylist()):
+                x = _Batch(*(several.column(k)[i].as_py() for k in range(1, 5)))
+                side = x.target[x.doc]
+                pairs, (pt, pb), _ = _summed(x.pairs, [side, ~side])
+                count = [np.bincount(x.tokens[s], minlength=len(x.words)) for s in (side, ~side)]
+                before = [c - np.bincount(x.tokens[x.last[s[x.last]]], minlength=len(x.words)) for c, s in zip(count, (side, ~side), strict=True)]
+                begun = [int((s & (x.n > 0)).sum()) for s in (x.target, ~x.target)]
+                words = np.insert(x.words, x.start, _START)
+                values = [np.insert(v, x.start, extra) for v, extra in zip([*count, *before], [0, 0, *begun], strict=True)]
+                p_of, w_of = _ranges(pairs, bits), _ranges(words, bits)
+                out = []
+                for r in np.union1d(p_of, w_of).tolist():
+                    p, w = (slice(*np.searchsorted(of, [r, r + 1])) for of in (p_of, w_of))
+                    out.append((r, batch, _deltas(pairs[p]), _deltas(words[w]), _small(pt[p]), _small(pb[p]), *(_small(v[w]) for v in values)))
+                for k in range(0, len(out), 256):
+                    columns = [*zip(*out[k : k + 256], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], names)
+
+    return batches.select("batch", "target", "n", "words", "tokens").mapInArrow(run, "range int, batch long, " + ", ".join(f"{c} binary" for c in names[2:]))
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """For each batch and range the sums over all batches, in the order of the batch's keys; one row of a range has its number of distinct words."""
+    names = ["batch", "range", *_COUNTS, "distinct"]
+
+    def answer(cells: list[tuple]) -> Iterator[pa.RecordBatch]:
+        out: list[list[bytes]] = [[] for _ in cells]
+        distinct = 0
+        for key_at, counts_at in ((2, (4, 5)), (3, (6, 7, 8, 9))):
+            keys = [_undeltas(c[key_at]) for c in cells]
+            sizes = [len(k) for k in keys]
+            values = [np.concatenate([_unsmall(c[k], n) for c, n in zip(cells, sizes, strict=True)]) for k in counts_at]
+            found, sums, place = _summed(np.concatenate(keys), values)
+            distinct = len(found) - int((found == _START).any()) if key_at == 3 else 0
+            for cell, at in zip(out, np.split(place, np.cumsum(sizes)[:-1]), strict=True):
+                cell.extend(_small(s[at]) for s in sums)
+        for k in range(0, len(cells), 256):
+            part = range(k, min(k + 256, len(cells)))
+            columns = [pa.array([cells[i][1] for i in part], pa.int64()), pa.array([cells[i][0] for i in part], pa.int32()), *(pa.array([out[i][j] for i in part], pa.binary()) for j in range(6))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([distinct if i == 0 else 0 for i in part], pa.int64())], names)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: list[tuple] = []
+        for several in rows:
+            for cell in zip(*(c.to_pylist() for c in several.columns), strict=True):
+                if cells and cells[0][0] != cell[0]:
+                    yield from answer(cells)
+                    cells = []
+                cells.append(cell)
+        if cells:
+            yield from answer(cells)
+
+    return asked.repartition("range").sortWithinPartitions("range", "batch").mapInArrow(run, "batch long, range int, " + ", ".join(f"{c} binary" for c in _COUNTS) + ", distinct long")
+
+
+def losses(x: _Batch, counts: dict[str, np.ndarray], totals: dict[str, int], v: int) -> dict[str, np.ndarray]:
+    """The sum of negative log probabilities of each document under either model, its own counts taken out of its own.
+
+    ``counts``: of the batch's distinct pairs (pt, pb) and words with the start among them (wt, wb, ht, hb), over all documents.
     """
-    schema = T.StructType([flagged.schema["id"], *T.StructType.fromDDL("row long, is_target boolean, kind byte, key long, n int, own int, n_words int").fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
-                rows = batch.column("row").to_numpy()
-                target = np.array(batch.column("is_target").to_pylist(), dtype=bool)
-                for first, n, doc, words in _tokens(batch.column("text").to_pylist()):
-                    at, m = np.arange(len(n)), len(n)
-                    starts = _firsts(n)
-                    ends = np.zeros(len(words), dtype=np.int64)
-                    ends[starts - 1 if len(starts) else starts] = 1  # the word before a first word is the last of its text, and -1 the last of all
-                    one = np.ones(len(words), dtype=np.int64)
-                    (w, w_doc), (w_n, w_last), place = _summed([words, doc], [one, ends])
-                    (p, p_doc, p_at), (p_n,), _ = _summed([_pairs(words, starts), doc, place], [one])
-                    used = w_n > w_last
-                    docs = np.concatenate([at, w_doc[used], p_doc])
-                    kind = np.repeat(np.array([_HEAD, _WORD, _PAIR], dtype=np.int8), [m, used.sum(), len(p)])
-                    with np.errstate(over="ignore"):
-                        head = mix(rows[first : first + m].astype(np.uint64) + np.uint64(1)).view(np.int64)  # spread over the tasks
-                    ids = batch.column("id").take(pa.array(np.where(np.arange(len(docs)) < m, docs + first, 0), mask=np.arange(len(docs)) >= m))
-                    numbers = [np.concatenate([n, (w_n - w_last)[used], p_n]), np.concatenate([n, w_n[used], w_n[p_at]]), n[docs]]
-                    columns = [rows[first + docs], target[first + docs], kind, np.concatenate([head, w[used], p]), *[x.astype(np.int32) for x in numbers]]
-                    out = pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], schema.fieldNames())
-                    for j in range(0, out.num_rows, 20_000):
-                        yield out.slice(j, 20_000)
-
-    return flagged.mapInArrow(run, schema)
-
-
-def _hot(counts: DataFrame, key: str, weight: str, name: str) -> DataFrame:
-    """The keys that hold more than one in MAX_HOT of the weight, so fewer than MAX_HOT of them."""
-    total = counts.agg(F.sum(weight)).first()[0] or 0
-    hot, _ = stage(counts.groupBy(F.col(key).alias("_hot")).agg(F.sum(weight).alias("_w")).where(F.col("_w") * MAX_HOT > total).select("_hot"), name)
-    return F.broadcast(hot)
-
-
-def _salted_join(left: DataFrame, right: DataFrame, hot: DataFrame, on: list[str], deal_by: str, how: str) -> DataFrame:
-    """Join on ``key`` and the other columns of ``on``, of which ``right`` has one row each; the rows of hot keys are dealt by a column of ``left`` and meet copies."""
-    a = left.join(hot, F.col("key") == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(deal_by), F.lit(SALTS))).cast("int")).drop("_hot")
-    salts = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    b = right.join(hot, F.col("key") == F.col("_hot"), "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return a.join(b, [*on, "_salt"], how).drop("_salt")
+    _, _, place = _summed(x.pairs, [])
+    word = x.tokens + (x.tokens >= x.start)  # the start lies among the words
+    left = np.where(x.before < 0, x.start, word[x.before])
+    ends = np.zeros(len(word), dtype=bool)
+    ends[x.last] = True
+    width = len(x.words) + 1
+
+    def own(keys: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+        return n[at] if weight is None else np.bincount(at, weights=weight)[at].astype(np.int64)
+
+    own_pair = own(x.doc * max(1, len(counts["pt"])) + place)
+    own_word = own(x.doc * width + word)
+    before = own(x.doc * width + word, ~ends)
+    own_left = np.where(x.before < 0, 1, before[x.before])
+    out = {}
+    for side, p, w, h in (("t", "pt", "wt", "ht"), ("b", "pb", "wb", "hb")):
+        mine = (x.target if side == "t" else ~x.target)[x.doc]
+        first = (counts[w][word] - mine * own_word + ALPHA) / (totals[side] - mine * x.n[x.doc] + ALPHA * v)
+        loss = -np.log((counts[p][place] - mine * own_pair + MU * first) / (counts[h][left] - mine * own_left + MU))
+        out[side] = np.bincount(x.doc, weights=loss, minlength=len(x.n)).astype(np.float64)  # without words they are of integers
+    return out
+
+
+def _scored(batches: DataFrame, answers: DataFrame, id_type: T.DataType, totals: dict[str, int], v: int) -> DataFrame:
+    empty = {c: F.lit(None).cast(k) for c, k in {**{f.name: f.dataType for f in batches.schema.fields}, **{f.name: f.dataType for f in answers.schema.fields}}.items() if c not in ("batch", "range")}
+    order = ["batch", "range", "ids", "target", "n", "words", "tokens", *_COUNTS]
+    heads = batches.withColumn("range", F.lit(-1)).withColumns({c: empty[c] for c in _COUNTS}).select(*order)
+    rows = heads.unionByName(answers.withColumns({c: empty[c] for c in ("ids", "target", "n", "words", "tokens")}).select(*order))
+    schema = T.StructType().add("id", id_type).add("n_words", "long").add("is_target", "boolean").add("t", "double").add("b", "double")
+
+    def run(several: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, ids, cells = None, None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            n_pairs, n_words = len(np.unique(x.pairs)), len(x.words) + 1
+            counts = {}
+            for k, c in enumerate(_COUNTS):
+                counts[c] = np.concatenate([_unsmall(cell[k], cell[6 if k < 2 else 7]) for cell in cells])
+                assert len(counts[c]) == (n_pairs if k < 2 else n_words)
+            found = losses(x, counts, totals, v)
+            columns = [ids, pa.array(x.n), pa.array(x.target), pa.array(found["t"]), pa.array(found["b"])]
+            for i in range(0, len(x.n), 5000):
+                yield pa.RecordBatch.from_arrays([c[i : i + 5000] for c in columns], schema.fieldNames())
+
+        bits = (totals["ranges"] - 1).bit_length()
+        for batch in several:
+            for i in range(batch.num_rows):
+                r = batch.column(1)[i].as_py()
+                if r < 0:
+                    if x is not None:
+                        yield from close()
+                    x, ids, cells = _Batch(*(batch.column(k)[i].as_py() for k in range(3, 7))), batch.column(2)[i].values, []
+                    p_of, w_of = _ranges(np.unique(x.pairs), bits), _ranges(np.insert(x.words, x.start, _START), bits)
+                else:
+                    sizes = [int(np.diff(np.searchsorted(of, [r, r + 1]))[0]) for of in (p_of, w_of)]
+                    cells.append((*(batch.column(k)[i].as_py() for k in range(7, 13)), *sizes))
+        if x is not None:
+            yield from close()
+
+    return rows.repartition("batch").sortWithinPartitions("batch", "range").mapInArrow(run, schema)
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, ``n_words``, ``is_target``, ``target_loss`` and ``background_loss`` per word in nats, and
     ``score``, their difference: the lower, the more like the targets.
 
+    Words are runs of characters other than ASCII white space with A-Z in lower case, known by 64-bit hashes.
     ``targets`` has the ids of the target documents in ``id_col``; repeats and null ids in it count for nothing. A document without
     words, or with a null text, has null losses and score. Rows that repeat an id are all counted and scored; one
     without id is background. Without targets, or without background, that model knows its smoothing only. An empty table gives no rows.
     """
     key = F.col(f"`{id_col}`")
     spark = docs.sparkSession
-    wanted, _ = stage(targets.select(key.alias("_target")).where(F.col("_target").isNotNull()).distinct(), "targets")
-    wanted = small_side(wanted, 40)  # few ids are sent to the texts; many meet them in a shuffled join
-    rows = docs.select(key.alias("id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
-    flagged = rows.join(wanted, F.col("id") == F.col("_target"), "left").select("id", "text", "row", F.col("_target").isNotNull().alias("is_target"))
-    counts, counts_path = stage(_counts(flagged), "counts")
-    sums = {r["kind"]: r for r in counts.where(F.col("kind") != _PAIR).groupBy("kind").agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count("*").alias("n")).collect()}
-    tokens = {side: sums[_WORD][side] if sums else 0 for side in "tb"}
-    documents = {side: sums[_DOCUMENTS][side] if sums else 0 for side in "tb"}
-    v = max(1 << WORD_BITS, 1 + (sums[_WORD]["n"] if sums else 0))
-    scale = {"t": 1.0, "b": tokens["t"] / tokens["b"] if tokens["b"] else 1.0}
-
-    # to each word and pair the counts of its word
-    words = counts.where(F.col("kind") == _WORD).select("key", F.col("t").alias("wt"), F.col("b").alias("wb"))
-    pairs = counts.where(F.col("kind") == _PAIR).select(F.col("word").alias("key"), F.col("key").alias("pair"), "t", "b")
-    many = _hot(pairs.groupBy("key").agg(F.count("*").alias("n")), "key", "n", "hot-words")
-    known = _salted_join(pairs, words, many, ["key"], "pair", "inner").select(F.lit(_PAIR).cast("byte").alias("kind"), F.col("pair").alias("key"), "t", "b", "wt", "wb")
-    known = known.unionByName(words.select(F.lit(_WORD).cast("byte").alias("kind"), "key", F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("b"), "wt", "wb"))
-    # a word's or pair's row in a document stands for one or more of its occurrences, so frequent keys are hot whatever their documents
-    often = _hot(counts.where(F.col("kind") != _DOCUMENTS).select("key", (F.col("t") + F.col("b")).alias("n")), "key", "n", "hot-keys")
-    met = _salted_join(_uses(flagged), known, often, ["kind", "key"], "row", "left")
-
-    def loss(side: str) -> Column:
-        """What a row adds to the sum of its document's negative log probabilities; the first word follows the start, which stands once in a document."""
-        mine = F.col("is_target") if side == "t" else ~F.col("is_target")
-        n, own, all_own = (F.when(mine, F.col(c)).otherwise(0) for c in ("n", "own", "n_words"))
-        s, w = F.lit(float(scale[side])), F.col(f"w{side}") - own
-        p1 = (s * w + ALPHA) / (s * (F.lit(tokens[side]) - all_own) + ALPHA * v)
-        pair = -F.col("n") * F.log(s * (F.col(side) - n) + MU * p1)
-        # a word's own n leaves out the document's last word, c(v) does not
-        word = F.col("n") * F.log(s * w + MU)
-        start = F.when(F.col("n_words") > 0, F.log(s * (F.lit(documents[side]) - F.when(mine, 1).otherwise(0)) + MU))
-        return F.when(F.col("kind") == _PAIR, pair).when(F.col("kind") == _WORD, word).otherwise(start)
-
-    sums_of = met.groupBy("row").agg(F.max("id").alias("id"), F.max("n_words").cast("long").alias("n_words"), F.max("is_target").alias("is_target"), *[F.sum(loss(side)).alias(side) for side in "tb"])
+    wanted, wanted_path = stage(targets.select(key.alias("_target")).where(F.col("_target").isNotNull()).distinct(), "targets")
+    wide = F.octet_length(F.col("_target").cast("string")).cast("long") + 24
+    wanted = small_side(wanted, wide)  # few ids are sent to the texts; many meet them in a shuffled join
+    rows = docs.select(key.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    flagged = rows.join(wanted, F.col("id") == F.col("_target"), "left").select("id", "text", F.col("_target").isNotNull().alias("is_target"))
+    batches, batches_path = stage(_batches(flagged), "batches")
+    sums = batches.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
+    totals = {"t": sums["t"] or 0, "b": sums["b"] or 0}
+    bits = max(0, ((totals["t"] + totals["b"]) // RANGE_ENTRIES).bit_length())
+    totals["ranges"] = 1 << bits
+    answers, answers_path = stage(_answered(_asked(batches, bits)), "answers")
+    v = 1 + (answers.agg(F.sum("distinct")).first()[0] or 0)
+    scored, _ = stage(_scored(batches, answers, docs.schema[id_col].dataType, totals, v), "scores")
+    for p in (wanted_path, batches_path, answers_path):
+        drop_path(spark, p)
     t, b = F.col("t") / F.col("n_words"), F.col("b") / F.col("n_words")
-    return sums_of.select(F.col("id").alias(id_col), "n_words", "is_target", t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))
+    some = F.col("n_words") > 0
+    return scored.select(F.col("id").alias(id_col), "n_words", "is_target", F.when(some, t).alias("target_loss"), F.when(some, b).alias("background_loss"), F.when(some, t - b).alias("score"))

@@ -143,73 +143,67 @@ def test_sharding(spark):
         shard_rows(docs.withColumnRenamed("extra", "slot"), ["doc_id"])
 
 
-def test_cross_entropy_difference(spark):
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_losses(rows, wanted):
+    """Losses of each row under both models, from counts of the words themselves, and a check that probabilities sum to one."""
+    lists = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    pairs = [list(zip([None, *w], w)) for w in lists]  # noqa: B905
+    words = {x for w in lists for x in w}
+    v = len(words) + 1
+    count = lambda side, of: Counter(x for (i, _), xs in zip(rows, of, strict=True) if (i in wanted) == side for x in xs)
+    uni, bi = {k: count(k, lists) for k in (True, False)}, {k: count(k, pairs) for k in (True, False)}
+    before = {k: count(k, [[x for x, _ in p] for p in pairs]) for k in (True, False)}
+    total = {k: sum(uni[k].values()) for k in uni}
+    out = []
+    for n, ((i, _), w, p) in enumerate(zip(rows, lists, pairs, strict=True)):
+        losses = []
+        for side in (True, False):
+            own = (i in wanted) == side
+            ow, op, ob = (Counter(w), Counter(p), Counter(x for x, _ in p)) if own else (Counter(), Counter(), Counter())
+            first = lambda y: (uni[side][y] - ow[y] + lm_scoring.ALPHA) / (total[side] - own * len(w) + lm_scoring.ALPHA * v)  # noqa: B023, E731
+            prob = lambda x, y: (bi[side][x, y] - op[x, y] + lm_scoring.MU * first(y)) / (before[side][x] - ob[x] + lm_scoring.MU)  # noqa: B023, E731
+            if n < 3:
+                for x in [None, *list(words)[:3]]:
+                    assert math.isclose(sum(prob(x, y) for y in [*words, "never seen"]), 1.0, rel_tol=1e-9)
+            losses.append(-sum(math.log(prob(x, y)) for x, y in p) / len(w) if w else None)
+        out.append((i, len(w), *losses))
+    return out
+
+
+def same_losses(got, want):
+    assert len(got) == len(want)
+    order = lambda x: (x[0] is None, x[0], x[1], x[2] or 0.0)
+    for g, w in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert g[:2] == w[:2]
+        assert g[2:] == (None, None) if w[2] is None else all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(g[2:], w[2:], strict=True))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_cross_entropy_difference(spark, monkeypatch, small):
+    if small:  # many batches and ranges
+        monkeypatch.setattr(lm_scoring, "BATCH_BYTES", 700)
+        monkeypatch.setattr(lm_scoring, "RANGE_ENTRIES", 500)
     targets = spark.createDataFrame([(8,), (9,), (9,), (None,), (12,), (6,)], "doc_id long")
-    got = {(r["doc_id"], r["n_words"]): r for r in lm_scoring.cross_entropy_difference(frame(spark), targets).collect()}
-    rows = documents()
-    lists = [w.tolist() for w in lm_scoring.word_lists([r[1] for r in rows])]
-    wanted = {8, 9, 12, 6}
-    c = {True: (Counter(), Counter(), [0]), False: (Counter(), Counter(), [0])}
-    pairs = [lm_scoring.bigram_cells(np.array(w, dtype=np.int64)).tolist() for w in lists]
-    for r, w, b in zip(rows, lists, pairs, strict=True):
-        side = c[r[0] in wanted]
-        side[0].update(w)
-        side[1].update(b)
-        side[2][0] += bool(w)
-    n = {k: sum(v[0].values()) for k, v in c.items()}
-    for r, w, b in zip(rows, lists, pairs, strict=True):
-        g = got[(r[0], len(w))]
-        if not w:
-            assert g["score"] is None
-            continue
-        losses = {}
-        for target in (True, False):
-            uni, bi, docs = c[target]
-            own = (r[0] in wanted) == target
-            ow, ob = (Counter(w), Counter(b)) if own else (Counter(), Counter())
-            s = 1.0 if target else n[True] / n[False]
-            total = 0.0
-            for i, (x, y) in enumerate(zip(w, b, strict=True)):
-                p1 = (s * (uni[x] - ow[x]) + lm_scoring.ALPHA) / (s * (n[target] - len(w) * own) + lm_scoring.ALPHA * 2**lm_scoring.WORD_BITS)
-                before = docs[0] - own if i == 0 else uni[w[i - 1]] - ow[w[i - 1]]
-                total -= math.log((s * (bi[y] - ob[y]) + lm_scoring.MU * p1) / (s * before + lm_scoring.MU))
-            losses[target] = total / len(w)
-        assert g["is_target"] == (r[0] in wanted)
-        assert math.isclose(g["target_loss"], losses[True], rel_tol=1e-9) and math.isclose(g["score"], losses[True] - losses[False], rel_tol=1e-6, abs_tol=1e-9)
+    rows = documents() + [(900 + i, "The same text stands twice, of words that no other has: qqa qqb qqc", "en", "s", 1, "e") for i in range(2)]
+    out = lm_scoring.cross_entropy_difference(frame(spark, rows), targets).collect()
+    want = brute_losses([r[:2] for r in rows], {8, 9, 12, 6})
+    same_losses([(r["doc_id"], r["n_words"], r["target_loss"], r["background_loss"]) for r in out], want)
+    assert all(r["is_target"] == (r["doc_id"] in {8, 9, 12, 6}) for r in out)
+    assert all(r["score"] is None if not r["n_words"] else math.isclose(r["score"], r["target_loss"] - r["background_loss"], abs_tol=1e-9) for r in out)
     assert lm_scoring.cross_entropy_difference(frame(spark, []), targets).count() == 0
     assert lm_scoring.cross_entropy_difference(frame(spark), targets.limit(0)).where("is_target").count() == 0
 
 
 def test_cross_entropy_counts_exactly(spark):
-    """Losses from counts of the words themselves; so many pairs that a table of 2**21 cells would mix some, more words than 2**18."""
+    """So many words and pairs that any table of a fixed size would mix some."""
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 4000) % 3000) for _ in range(12)] + [" ".join(f"u{i}" for i in range(270_000)), "w1 w1 w2", "W1"]
-    rows = [(i, t) for i, t in enumerate(texts)]
+    rows = list(enumerate(texts))
     wanted = {0, 3, 13}
     out = lm_scoring.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(i,) for i in wanted], "doc_id long")).collect()
-    got = {r["doc_id"]: r for r in out}
-    assert len(out) == len(rows)
-    lists = [t.lower().split() for t in texts]
-    pairs = [list(zip([None, *w], w)) for w in lists]  # noqa: B905
-    v = len({x for w in lists for x in w}) + 1
-    assert v > 2**18
-    count = lambda side, of: Counter(x for i, xs in enumerate(of) if (i in wanted) == side for x in xs)
-    uni, bi = {k: count(k, lists) for k in (True, False)}, {k: count(k, pairs) for k in (True, False)}
-    total = {k: sum(uni[k].values()) for k in uni}
-    for i, (w, p) in enumerate(zip(lists, pairs, strict=True)):
-        losses = {}
-        for side in (True, False):
-            own = (i in wanted) == side
-            ow, op = (Counter(w), Counter(p)) if own else (Counter(), Counter())
-            s, docs = 1.0 if side else total[True] / total[False], len(wanted) if side else len(rows) - len(wanted)
-            loss = 0.0
-            for x, y in p:
-                p1 = (s * (uni[side][y] - ow[y]) + lm_scoring.ALPHA) / (s * (total[side] - own * len(w)) + lm_scoring.ALPHA * v)
-                prob = (s * (bi[side][x, y] - op[x, y]) + lm_scoring.MU * p1) / (s * (docs - own if x is None else uni[side][x] - ow[x]) + lm_scoring.MU)
-                assert 0 < prob <= 1
-                loss -= math.log(prob)
-            losses[side] = loss / len(w)
-        assert math.isclose(got[i]["target_loss"], losses[True], rel_tol=1e-9) and math.isclose(got[i]["background_loss"], losses[False], rel_tol=1e-9)
+    same_losses([(r["doc_id"], r["n_words"], r["target_loss"], r["background_loss"]) for r in out], brute_losses(rows, wanted))
 
 
 def brute_top(rows, k):
