@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 MONTHS = ["Январь", "Февраль", "Март", "Апрель", "Май", "Июнь", "Июль", "Август", "Сентябрь", "Октябрь", "Ноябрь", "Декабрь"]
 APPROVED_START, APPROVED_LAST_BEFORE_BREAK, APPROVED_RESUME = 2026, "2026-12-30", "2027-01-11"
 WEEKS = 36
+#: Month names after a day's number.
+MONTHS_OF = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]
 
 
 def academic_year(x: Column) -> Column:
@@ -40,6 +42,36 @@ def date_range(start: Column, end: Column) -> Column:
     return F.when(F.month(start) == F.month(end), F.concat(F.date_format(start, "dd"), F.lit("–"), F.date_format(end, "dd.MM"))).otherwise(F.concat(F.date_format(start, "dd.MM"), F.lit("–"), F.date_format(end, "dd.MM")))
 
 
+def clean_words(x: Column) -> Column:
+    """One space between words, none at the ends."""
+    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+
+
+def _month_of(day: Column) -> Column:
+    return F.get(F.array(*[F.lit(m) for m in MONTHS_OF]), F.month(day) - 1)
+
+
+def week_caption(start: Column, end: Column) -> Column:
+    """``7–13 сентября`` within a month, ``28 сентября — 4 октября`` across two."""
+    a, b = F.dayofmonth(start).cast("string"), F.dayofmonth(end).cast("string")
+    same = F.concat(a, F.lit("–"), b, F.lit(" "), _month_of(end))
+    return F.when(F.month(start) == F.month(end), same).otherwise(F.concat(a, F.lit(" "), _month_of(start), F.lit(" — "), b, F.lit(" "), _month_of(end)))
+
+
+def break_caption(start: Column, end: Column) -> Column:
+    """A break's days with the year, or both years where it crosses into the next."""
+    a, b, one, two = F.dayofmonth(start).cast("string"), F.dayofmonth(end).cast("string"), F.year(start).cast("string"), F.year(end).cast("string")
+    across = F.concat_ws(" ", a, _month_of(start), one, F.lit("—"), b, _month_of(end), two)
+    return F.when(one != two, across).otherwise(F.concat(week_caption(start, end), F.lit(" "), two))
+
+
+def adjacent_month(day: Column, delta: int) -> Column:
+    """The first day of the month so many months on, null outside the academic year of ``day``."""
+    first = F.make_date(start_year_of(day), F.lit(9), F.lit(1))
+    to = F.add_months(F.trunc(day, "month"), delta)
+    return F.when(to.between(first, F.add_months(first, 11)), to)
+
+
 def week_grid(years: DataFrame, start_year: str = "start_year", weeks: int = WEEKS) -> DataFrame:
     """Weeks 1 to 36 of each start year, one row each: first and last day, label and range.
 

@@ -57,10 +57,117 @@ def split_at_marker(x: Column, marker: str) -> tuple[Column, Column]:
     return F.when(at > 0, F.rtrim(F.substr(x, F.lit(1), at - 1))).otherwise(x), F.when(at > 0, F.ltrim(F.substr(x, at + len(marker))))
 
 
+#: Forms after one, two and five.
+HOURS, WEEKS = ("час", "часа", "часов"), ("неделя", "недели", "недель")
+
+
+def counted_word(n: Column, forms: tuple[str, str, str] = HOURS) -> Column:
+    """The Russian form of a word after a number."""
+    ten, hundred = n % 10, n % 100
+    return F.when((ten == 1) & (hundred != 11), forms[0]).when(ten.between(2, 4) & ~hundred.between(12, 14), forms[1]).otherwise(forms[2])
+
+
 def hours_word(n: Column) -> Column:
     """The Russian word for so many hours."""
-    ten, hundred = n % 10, n % 100
-    return F.when((ten == 1) & (hundred != 11), "час").when(ten.between(2, 4) & ~hundred.between(12, 14), "часа").otherwise("часов")
+    return counted_word(n)
+
+
+def short_hours_word(n: Column) -> Column:
+    """The form used in documents, which knows 1 and 2 to 4 alone."""
+    return F.when(n == 1, HOURS[0]).when(n.between(2, 4), HOURS[1]).otherwise(HOURS[2])
+
+
+def programme_number_and_title(x: Column) -> tuple[Column, Column]:
+    """As :func:`number_and_title`, but white space must part the number from a text."""
+    clean = clean_spaces(x)
+    number = F.nullif(F.regexp_extract(clean, r"^(\d+(?:\.\d+)*)\.?\s+.", 1), F.lit(""))
+    return number, F.when(number.isNotNull(), F.regexp_replace(clean, r"^\d+(?:\.\d+)*\.?\s+", "")).otherwise(clean)
+
+
+#: The markers that open the practice part, at the start of a line or, the first, anywhere.
+PRACTICE_AT_LINE, PRACTICE_BLOCK, PRACTICE_ANYWHERE = r"(?iuU)(?:^|\n)\s*(?:Практика\.|Практические занятия\.?)\s*", r"(?iuU)(?:^|\n)\s*Практические занятия\.?\s*", r"(?iuU)\bПрактика\.\s*"
+
+
+def split_explicit_practice(x: Column) -> tuple[Column, Column]:
+    """Theory and practice parted by the first marker at a line's start; nulls without one."""
+    parts = F.split(x, PRACTICE_AT_LINE, 2)
+    found = F.size(parts) == 2
+    return F.when(found, F.regexp_replace(parts[0], r"(?U)^\s+|\s+$", "")), F.when(found, F.regexp_replace(F.get(parts, F.lit(1)), r"(?U)^\s+|\s+$", ""))
+
+
+def practice_marker(x: Column) -> Column:
+    """Which display marker comes first: "block" at a line's start or "split" anywhere; null without one."""
+    at = lambda p: F.nullif(F.regexp_instr(x, F.lit(p)), F.lit(0))
+    block, split = at(PRACTICE_BLOCK), at(PRACTICE_ANYWHERE)
+    return F.when(block.isNull() & split.isNull(), F.lit(None)).when(split.isNull() | (block <= split), "block").otherwise("split")
+
+
+def sentences(x: Column) -> Column:
+    """Sentences of a text: parted after . ! ? and white space."""
+    return F.filter(F.split(clean_spaces(x), r"(?<=[.!?])\s+"), lambda p: p != "")
+
+
+def joined_sentences(parts: Column) -> Column:
+    """Sentences without their last dots, joined by dots."""
+    bare = F.transform(parts, lambda p: F.regexp_replace(F.trim(p), r"\.+$", ""))
+    return F.array_join(F.filter(bare, lambda p: p != ""), ". ")
+
+
+def cap_sentence(x: Column) -> Column:
+    """A first capital and a last dot; an abbreviation's dot is not the sentence's."""
+    clean = clean_spaces(x)
+    dot = F.regexp_like(clean, F.lit(r"(?iuU)\b(?:г|ул|пр|пер|обл|р-н)\.$")) | ~F.substring(clean, -1, 1).isin(".", "!", "?")
+    return F.concat(F.upper(F.substring(clean, 1, 1)), F.substring(clean, 2, 1 << 30), F.when(dot | (clean == ""), ".").otherwise(""))
+
+
+def output_filename(name: Column, year: Column) -> Column:
+    """A file name from a programme's name and its academic year."""
+    safe = F.regexp_replace(F.regexp_replace(F.coalesce(F.nullif(name, F.lit("")), F.lit("программа")), r'(?U)[<>:"/\\|?*\s]+', "_"), "^_+|_+$", "")
+    return F.concat(F.lit("Календарный_план_"), F.when(safe == "", "календарь").otherwise(safe), F.lit("_"), F.replace(year, F.lit("–"), F.lit("-")), F.lit(".docx"))
+
+
+def first_of_list(items: Column, most: int = 8) -> Column:
+    """A list for a message: at most so many items, and an ellipsis if there are more."""
+    return F.concat(F.array_join(F.slice(items, 1, most), ", "), F.when(F.size(items) > most, "…").otherwise(""))
+
+
+def unique_phrases(phrases: Column) -> Column:
+    """Phrases in order without those that are equal to or part of another; a longer later one takes the place of the first shorter one.
+
+    Case, spaces and last dots don't count.
+    """
+    bare = lambda p: F.lower(F.regexp_replace(p, r"[ .]+$", ""))
+
+    def step(kept: Column, p: Column) -> Column:
+        inside = F.exists(kept, lambda k: bare(k) == bare(p))
+        hit = F.array_position(F.transform(kept, lambda k: F.contains(bare(k), bare(p)) | F.contains(bare(p), bare(k))), F.lit(True))
+        at = F.get(kept, hit.cast("int") - 1)
+        swapped = F.transform(kept, lambda k, i: F.when((i == hit - 1) & ~F.contains(bare(k), bare(p)), p).otherwise(k))
+        return F.when(inside | (bare(p) == ""), kept).when(hit == 0, F.concat(kept, F.array(p))).when(at.isNotNull(), swapped).otherwise(kept)
+
+    return F.aggregate(F.transform(phrases, clean_spaces), F.array().cast("array<string>"), step)
+
+
+#: Openings that controls of one week may share, and the mark of a safe template.
+CONTROL_PREFIXES = ["устный опрос по ", "практическое задание по ", "педагогическое наблюдение за ", "педагогическое наблюдение ", "проверка "]
+SAFE_TEMPLATE = "по теме „"
+
+
+def _joined_and(parts: Column) -> Column:
+    bare = F.filter(F.transform(parts, lambda p: F.regexp_replace(clean_spaces(p), r"[ .]+$", "")), lambda p: p != "")
+    n = F.size(bare)
+    return F.when(n < 2, F.array_join(bare, "")).otherwise(F.concat(F.array_join(F.slice(bare, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(" и "), F.element_at(bare, -1)))
+
+
+def merged_controls(controls: Column) -> Column:
+    """A week's controls as one text: distinct ones joined by "; ", or one shared opening and its ends."""
+    safe = F.exists(controls, lambda c: F.contains(c, F.lit(SAFE_TEMPLATE)))
+    unique = unique_phrases(controls)
+    out = F.when(safe, F.array_join(F.array_distinct(F.filter(controls, lambda c: c != "")), "; ")).when(F.size(unique) < 2, F.array_join(unique, ""))
+    for prefix in CONTROL_PREFIXES:
+        ends = F.transform(unique, lambda c, p=prefix: F.trim(F.substring(c, len(p) + 1, 1 << 30)))
+        out = out.when(F.forall(unique, lambda c, p=prefix: F.startswith(F.lower(c), F.lit(p))), F.concat(F.lit(prefix), _joined_and(unique_phrases(ends))))
+    return out.otherwise(F.array_join(unique, "; "))
 
 
 def round_robin(items: Column, occurrence: Column) -> Column:

@@ -48,3 +48,9 @@ def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys on one side only, with the side that has them; both empty means the sets are equal."""
     a, b = left.select(key).distinct(), right.select(key).distinct()
     return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
+
+
+def filled_bins(bins: DataFrame, rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Aggregates of ``rows`` for every one of the ``bins``; 0 where a bin has none."""
+    sums = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in values.items()])
+    return bins.join(sums, keys, "left").select(*keys, *[F.coalesce(n, F.lit(0)).alias(n) for n in values])

@@ -49,10 +49,40 @@ def number_steps(df: DataFrame, keys: list[str], order_by: list[str], number: st
 
 
 def first_of_duplicates(df: DataFrame, same: Column, order_by: list[str], name: str = "keeps_value") -> DataFrame:
-    """Whether a row is the first with its value; ``copies`` counts the rows that share it. Null values are never duplicates."""
+    """Whether a row is the first with its value; ``copies`` counts the rows that share it. Null values are never duplicates.
+
+    Rows without a value keep out of the window, so they never meet in one task.
+    """
     w = Window.partitionBy("_same")
-    out = df.withColumn("_same", same).withColumn("copies", F.count("*").over(w)).withColumn(name, F.col("_same").isNull() | (F.row_number().over(w.orderBy(*order_by)) == 1))
-    return out.withColumn("copies", F.when(F.col("_same").isNull(), F.lit(1).cast("long")).otherwise(F.col("copies"))).drop("_same")
+    marked = df.withColumn("_same", same)
+    some = marked.where("_same IS NOT NULL").withColumn("copies", F.count("*").over(w)).withColumn(name, F.row_number().over(w.orderBy(*order_by)) == 1)
+    none = marked.where("_same IS NULL").withColumn("copies", F.lit(1).cast("long")).withColumn(name, F.lit(True))
+    return some.unionByName(none).drop("_same")
+
+
+def display_numbers(df: DataFrame, section: list[str], order_by: list[str], section_number: Column, number: Column, standalone: Column, name: str = "display_number") -> DataFrame:
+    """A topic's number without last dots; one without is its section's if it stands alone, else the section's with a count of such topics. ``?`` for a section without number."""
+    own = F.rtrim(number, F.lit("."))
+    of_section = F.coalesce(F.nullif(F.rtrim(section_number, F.lit(".")), F.lit("")), F.lit("?"))
+    bare = number.isNull() | (number == "")
+    k = F.sum(F.when(F.col("_bare") & ~F.col("_alone"), 1).otherwise(0)).over(_running(section, order_by))
+    marked = df.withColumns({"_bare": bare, "_alone": standalone})
+    return marked.withColumn(name, F.when(~F.col("_bare"), own).when(F.col("_alone"), of_section).otherwise(F.concat_ws(".", of_section, k.cast("string")))).drop("_bare", "_alone")
+
+
+def captured_after(df: DataFrame, keys: list[str], order_by: list[str], is_heading: Column, is_stop: Column, name: str = "captured") -> DataFrame:
+    """Whether a row lies after a heading and before the first stop that follows one; headings are not captured, and after that stop nothing is."""
+    w = _running(keys, order_by)
+    out = df.withColumns({"_heading": F.coalesce(is_heading, F.lit(False)), "_stop": F.coalesce(is_stop, F.lit(False))})
+    out = out.withColumn("_opened", F.max(F.col("_heading").cast("int")).over(w) == 1)
+    out = out.withColumn("_ended", F.max((F.col("_opened") & ~F.col("_heading") & F.col("_stop")).cast("int")).over(w) == 1)
+    return out.withColumn(name, F.col("_opened") & ~F.col("_ended") & ~F.col("_heading")).drop("_heading", "_stop", "_opened", "_ended")
+
+
+def marked_modes(df: DataFrame, keys: list[str], order_by: list[str], marker: Column, name: str = "mode") -> DataFrame:
+    """The last marker up to each row and whether the row is one itself; rows before the first have no mode."""
+    out = df.withColumn("_marker", marker)
+    return out.withColumns({name: F.last("_marker", ignorenulls=True).over(_running(keys, order_by)), f"is_{name}_marker": F.col("_marker").isNotNull()}).drop("_marker")
 
 
 def chunk_numbers(df: DataFrame, order_by: list[str], size: int, keys: list[str], name: str = "chunk") -> DataFrame:

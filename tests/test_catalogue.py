@@ -8,7 +8,7 @@ from datetime import date
 import duckdb
 import pytest
 
-from plansmith.plans import audit
+from plansmith.plans import audit, catalogue_more  # noqa: F401 (registers more queries)
 from plansmith.plans.catalogue import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
