@@ -124,15 +124,17 @@ def edit_distance(a, b):
 
 
 def features(line):
-    """The three kinds of features of a normalised line, as tuples of strings, and how many of them vote in a block."""
+    """The features of a normalised line by kind, as tuples of strings, and how many of them vote in a block."""
     words = line.split(" ")
     long_words = [w for w in words if len(w) >= 4]
     n = len(long_words)
     out = []
     if n < 8:
         out.append(({tuple(line[i : i + 3]) for i in range(len(line) - 2)}, 5))
-    if 6 <= n < 32:
+    if 6 <= n < 16:
         out.append(({(w,) for w in long_words}, 3))
+    if 12 <= n < 32:
+        out.append(({(w,) for w in long_words}, 5))
     if n >= 24:
         out.append((set(zip(long_words, long_words[1:])), 3))  # noqa: B905
     return out
