@@ -59,7 +59,7 @@ def capacity_allocation(spark, sf_dir):
     FROM ({_ALLOCATED}) GROUP BY l_orderkey, week
 """)
 def allocation_load_check(spark, sf_dir):
-    """Load of each bin against its capacity."""
+    """Load of each bin against its capacity."""
     return allocation.load_check(_allocated(spark, sf_dir), ["l_orderkey"], 20)
 
 
@@ -82,7 +82,7 @@ def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ({_GRID})
 """)
 def academic_week_grid(spark, sf_dir):
-    """36 weeks of each academic year."""
+    """36 weeks of each academic year."""
     return cal.week_grid(_years(spark, sf_dir)).drop("month_label")
 
 
@@ -235,7 +235,7 @@ def clause_units(spark, sf_dir):
     FROM conversations
 """)
 def marker_split(spark, sf_dir):
-    """Each turn before and after its first marker, here the line end."""
+    """Each turn before and after its first marker, here the line end."""
     before, after = tx.split_at_marker(F.col("text"), "\n")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", before.alias("theory_text"), after.alias("practice_text"))
 
@@ -250,7 +250,7 @@ _LABELS = {"en": "the", "de": "der", "fr": "les", "es": "los"}
     SELECT doc_id, CASE WHEN score >= 2 AND score > nxt THEN label END AS label, score AS top_score FROM r WHERE k = 1
 """)
 def form_scores_dominant(spark, sf_dir):
-    """The label whose marker word leads, none on a tie."""
+    """The label whose marker word leads, none on a tie."""
     text = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
     scores = F.array(*[F.struct(F.lit(k).alias("label"), (F.size(F.split(text, f" {w} ")) - 1).cast("long").alias("score")) for k, w in _LABELS.items()])
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(scores).alias("s")).select("doc_id", "s.label", "s.score")
@@ -437,7 +437,7 @@ def day_classification(spark, sf_dir):
     UNION ALL SELECT o_orderkey, 'within_load', CASE WHEN q IS NULL THEN 'not_checked' WHEN q <= 72 THEN 'pass' ELSE 'warning' END FROM j
 """)
 def verdict_union(spark, sf_dir):
-    """Several checks with three verdicts as rows."""
+    """Several checks with three verdicts as rows."""
     from .planning import verdict
 
     sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("n"))
@@ -467,7 +467,7 @@ def dedupe_latest_version(spark, sf_dir):
     SELECT source, doc_id, rank FROM (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY (lang = 'en')::INT DESC, (n_chars >= 500)::INT DESC, len(string_split(text, chr(10))) DESC, (text LIKE '%the%')::INT DESC, n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents) WHERE rank <= 3
 """)
 def six_key_ranking(spark, sf_dir):
-    """The best three of each source by six keys."""
+    """The best three of each source by six keys (O3)."""
     rank = F.row_number().over(Window.partitionBy("source").orderBy(*[F.col(f"k{i}").desc() for i in range(5)], "doc_id"))
     values = [(F.col("lang") == "en").cast("int"), (F.col("n_chars") >= 500).cast("int"), F.size(F.split("text", "\n")), F.contains("text", F.lit("the")).cast("int"), F.col("n_chars")]
     slim = table(spark, sf_dir, "documents").select("source", "doc_id", *[v.alias(f"k{i}") for i, v in enumerate(values)])
@@ -525,7 +525,7 @@ def consecutive_numbers_check(spark, sf_dir):
     FROM (SELECT o_orderkey, year(o_orderdate) - CASE WHEN month(o_orderdate) < 9 THEN 1 ELSE 0 END AS sy, o_orderkey % 130 AS h FROM orders)
 """)
 def plural_and_year_scalars(spark, sf_dir):
-    """Academic years as text and back, and plural forms."""
+    """Academic years as text and back, and plural forms."""
     sy = cal.start_year_of(F.col("o_orderdate"))
     raw = F.concat(F.lit("план на "), sy.cast("string"), F.lit(" - "), (sy + 1).cast("string"), F.lit(" учебный год"))
     return table(spark, sf_dir, "orders").select("o_orderkey", cal.academic_year(raw).alias("academic_year"), tx.hours_word(F.col("o_orderkey") % 130).alias("hours_word"))
@@ -535,7 +535,7 @@ def plural_and_year_scalars(spark, sf_dir):
     SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \\t\\r\\n]+', ' ', 'g')), '') AS title, CAST(coalesce(try_cast(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS INTEGER), 0) AS INTEGER) AS number FROM pages
 """)
 def page_title_extract(spark, sf_dir):
-    """Titles and numbers of pages."""
+    """Titles and numbers of pages."""
     title = F.nullif(tx.clean_spaces(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit(""))
     number = tx.lenient_integer(tx.first_capture(F.col("url"), r"/(\d+)"))
     return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), number.alias("number"))

@@ -15,9 +15,9 @@ from ..operators import rollups
 #: Patterns of a lower-case clause and the form that they mean, in order of precedence.
 FIRST_RULES = [
     (r"^(?:(?:дидактическ|ролев|подвижн)\w*\s+)?игр[аы]\b", "игра"),
-    (r"^экскурси", "экскурсия"),
+    (r"^экскурси(?:я|и|ю|ей|онн\w*)\b", "экскурсия"),
     (r"^прогул\w*\s+и\s+экскурси|экскурси.*(?:прогул|посещен)|(?:прогул|посещен).*экскурси", "экскурсия"),
-    (r"^(?:мероприяти|праздник)", "практическое занятие"),
+    (r"^(?:мероприятие|праздник)", "практическое занятие"),
     (r"практикум", "практикум"),
     (r"\b(?:тестирован|диагностик)", "тестирование"),
     (r"\bтренинг", "тренинг"),
