@@ -1,9 +1,10 @@
 """Quality rules on whole texts: plain counts and tokeniser fertility.
 
-Fertility says how well a public vocabulary fits a text: characters per token, the share of byte-fallback tokens, and
-the entropy of the text's tokens. Each measure has a band per language or script; a text outside any band is rejected.
+Fertility says how well public vocabularies fit a text: characters per token under two of them, the share of byte-fallback tokens, and
+the entropy of the text's tokens. Each measure has a band per language or script; a text outside any band is rejected. Bands are of two kinds: wide fixed ones, and,
+for characters per token, what is usual in the corpus itself: SPREAD quartile ranges around the median of all texts of the language that pass the plain counts.
 Words are runs of characters other than ASCII white space and are encoded one by one, so a worker keeps
-the tokens of words it has met (a bounded cache) and asks the vocabulary only about new ones.
+the tokens of words it has met (a bounded cache) and asks the vocabularies only about new ones.
 """
 
 from __future__ import annotations
@@ -14,15 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stage
 from .tokens import vocabulary_path
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 MAX_CACHED = 400_000
+#: How many quartile ranges a text may be off its language's median, the least such range as a share of the median, and the texts that a language needs for it.
+SPREAD, LEAST_RANGE, MIN_TEXTS = 4, 0.02, 200
 _AT_ONCE = 50_000
 
 
@@ -99,12 +104,17 @@ def repeated_words(hashes: np.ndarray, window: int = WINDOW) -> int:
 
 
 class Fertility:
-    """Token ids of words under a vocabulary with byte fallback."""
+    """Token ids of words under a vocabulary with byte fallback, and numbers of tokens under another."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, other: str):
         from sentencepiece import SentencePieceProcessor
+        from tokenizers import Tokenizer
 
         self.sp = SentencePieceProcessor(model_file=path)
+        self.other = Tokenizer.from_file(other)
+        self.other.no_truncation()
+        self.other.no_padding()
+        self.lengths: dict[bytes, int] = {}
         self.is_byte = np.array([self.sp.IsByte(i) for i in range(self.sp.vocab_size())])
         self.kind = "<u2" if len(self.is_byte) <= 1 << 16 else "<u4"
         self.words: dict[bytes, bytes] = {}
@@ -117,29 +127,34 @@ class Fertility:
             gaps = [i for i, x in enumerate(got) if x is None]
             new = list({words[i] for i in gaps})
             if len(self.words) + len(new) > MAX_CACHED:
-                self.words = {}
-            for w, ids in zip(new, self.sp.encode([w.decode() for w in new], num_threads=1), strict=True):
+                self.words, self.lengths = {}, {}
+            plain = [w.decode() for w in new]
+            for w, ids, own in zip(new, self.sp.encode(plain, num_threads=1), self.other.encode_batch_fast(plain, add_special_tokens=False), strict=True):
                 self.words[w] = np.array(ids, dtype=self.kind).tobytes()
-            for i in gaps:
-                got[i] = self.words[words[i]]
+                self.lengths[w] = len(own.ids)
+            got = [self.words.get(w) if x is None else x for w, x in zip(words, got, strict=True)]
+            if None in got:  # the cache was emptied
+                return self.ids(words)
+        self.n_other += sum(map(self.lengths.__getitem__, words))
         return np.frombuffer(b"".join(got), dtype=self.kind)
 
-    def measure(self, words: list[bytes], chars: int) -> tuple[float, float, float, int]:
-        """Characters per token, byte-fallback share, relative token entropy, number of tokens; a text without words has none."""
+    def measure(self, words: list[bytes], chars: int) -> tuple[float, float, float, float, int]:
+        """Characters per token under both vocabularies, byte-fallback share, relative token entropy, number of tokens; a text without words has none."""
+        self.n_other = 0
         ids = self.ids(words)
         n = len(ids)
         if not n:
-            return 0.0, 0.0, 0.0, 0
+            return 0.0, 0.0, 0.0, 0.0, 0
         counts = np.bincount(ids)
         counts = counts[counts > 0]
         p = counts / n
         bits = float(-(p * np.log2(p)).sum())
-        return chars / n, float(self.is_byte[ids].sum() / n), bits / np.log2(min(n, 4096)) if n > 1 else 0.0, n
+        return chars / n, chars / max(1, self.n_other), float(self.is_byte[ids].sum() / n), bits / np.log2(min(n, 4096)) if n > 1 else 0.0, n
 
 
-_FERTILITY: dict[str, Fertility] = {}
+_FERTILITY: dict[tuple[str, str], Fertility] = {}
 
-RULE_FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("n_pieces", "long"), ("chars_per_token", "double"), ("byte_share", "double"), ("token_entropy", "double"), ("band", "string"), ("kept", "boolean")]
+RULE_FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("n_pieces", "long"), ("chars_per_token", "double"), ("chars_per_other", "double"), ("byte_share", "double"), ("token_entropy", "double"), ("band", "string"), ("kept", "boolean")]
 
 
 def measure_text(text: str | None, lang: str | None, fertility: Fertility, bands: dict[str, Band]) -> tuple:
@@ -155,21 +170,36 @@ def measure_text(text: str | None, lang: str | None, fertility: Fertility, bands
     hashes = np.fromiter(map(hash, words), dtype=np.int64, count=n).view(np.uint64)
     repeat = repeated_words(hashes)
     failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
-    per_token, share, entropy, pieces = fertility.measure(words, chars)
+    per_token, per_other, share, entropy, pieces = fertility.measure(words, chars)
     name = lang if lang in bands else script_of(text)
     band = bands.get(name) or bands["other"]
     kept = not failed and band.low <= per_token <= band.high and share <= band.max_byte_share and entropy >= band.min_entropy
-    return n, chars, symbols, dup, repeat, failed, pieces, per_token, share, entropy, name, kept
+    return n, chars, symbols, dup, repeat, failed, pieces, per_token, per_other, share, entropy, name, kept
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", vocabulary: str | None = None, bands: dict[str, Band] | None = None, keep_text: bool = False) -> DataFrame:
+def usual_bands(measured: DataFrame) -> DataFrame:
+    """For each band and measure of characters per token the lowest and highest usual value: band, measure, lowest, highest.
+
+    From all texts that pass the other rules, as a histogram in steps of 0.01, which stays small whatever the corpus; bands with fewer than MIN_TEXTS texts have none.
+    """
+    measures = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.round(c, 2).alias("value")) for c in ("chars_per_token", "chars_per_other")])).alias("m")
+    counts = measured.where("kept").select("band", measures).groupBy("band", "m.measure", "m.value").agg(F.count("*").alias("n"))
+    of = Window.partitionBy("band", "measure")
+    at = counts.withColumns({"below": F.sum("n").over(of.orderBy("value")), "all": F.sum("n").over(of)}).where(f"all >= {MIN_TEXTS}")
+    quarter = {f"q{k}": F.min(F.when(F.col("below") * 4 >= F.col("all") * k, F.col("value"))) for k in (1, 2, 3)}
+    q = at.groupBy("band", "measure").agg(*[c.alias(k) for k, c in quarter.items()])
+    reach = F.greatest(F.col("q3") - F.col("q1"), F.col("q2") * LEAST_RANGE) * SPREAD
+    return q.select("band", "measure", (F.col("q2") - reach).alias("lowest"), (F.col("q2") + reach).alias("highest"))
+
+
+def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", vocabulary: str | None = None, other_vocabulary: str | None = None, bands: dict[str, Band] | None = None, keep_text: bool = False) -> DataFrame:
     """Each row with its counts, fertility, band and verdict (``kept``); the text itself goes unless ``keep_text``.
 
     A null text counts as empty, and a text without words fails the base rules. A language that is null or without band
     is judged by its text's script. Repeated rows each get a row, an empty table gives none, and other columns
-    pass through; columns named like the added ones are an error. Rows are not shuffled.
+    pass through; columns named like the added ones are an error. Rows are staged once, so that bands are known before the verdict, and not shuffled.
     """
-    path = vocabulary or vocabulary_path("piece_bpe_32k.model")
+    path, other = vocabulary or vocabulary_path("piece_bpe_32k.model"), other_vocabulary or vocabulary_path("byte_bpe_50k.json")
     table = bands or BANDS
     keep = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     names = [f.name for f in keep]
@@ -184,9 +214,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str | None
     types = [arrow[k.simpleString()] for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _FERTILITY:
-            _FERTILITY[path] = Fertility(path)
-        fertility = _FERTILITY[path]
+        if (path, other) not in _FERTILITY:
+            _FERTILITY[path, other] = Fertility(path, other)
+        fertility = _FERTILITY[path, other]
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 batch = whole.slice(i, 1000)
@@ -196,4 +226,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str | None
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + new, names + [n for n, _ in RULE_FIELDS])
 
     needed = list(dict.fromkeys([*names, text_col, *([lang] if lang else [])]))
-    return docs.select(*[f"`{c}`" for c in needed]).mapInArrow(run, schema)
+    measured, _ = stage(docs.select(*[f"`{c}`" for c in needed]).mapInArrow(run, schema), "measured")
+    usual = {(r["band"], r["measure"]): (r["lowest"], r["highest"]) for r in usual_bands(measured).collect()}  # two rows for each of the named bands
+    within = F.lit(True)
+    for (band, measure), (lowest, highest) in sorted(usual.items()):
+        within = within & ((F.col("band") != band) | F.col(measure).between(lowest, highest))
+    return measured.withColumn("kept", F.col("kept") & within)

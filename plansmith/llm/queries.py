@@ -64,7 +64,7 @@ def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, fertility and verdict of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = quality_rules(docs)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "token_entropy", "band")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "chars_per_other", "byte_share", "token_entropy", "band")
 
 
 def op8_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:

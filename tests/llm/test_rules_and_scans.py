@@ -14,6 +14,7 @@ from plansmith.llm import lm_scoring
 from plansmith.llm.license_scan import TEMPLATES, align, longest_increasing, make_templates, scan_licenses, scan_text
 from plansmith.llm.quality_rules import quality_rules, script_of
 from plansmith.llm.sharding import FeistelPermutation, shard_rows, write_shards
+from plansmith.llm.tokens import vocabulary_path
 from plansmith.llm.vector_files import ApproximationFile, exact_top_k
 
 from .data import documents, frame
@@ -49,6 +50,44 @@ def test_quality_rules(spark):
         quality_rules(frame(spark).withColumnRenamed("extra", "kept"))
 
 
+def test_fertility_against_the_libraries(spark):
+    """Characters per token of both vocabularies, byte share and entropy from encoding words one by one."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    pieces, other = SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model")), Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r for r in quality_rules(frame(spark)).where("doc_id IS NOT NULL").collect()}
+    for i, text, *_ in documents():
+        if i is None:
+            continue
+        words = WORD.findall(text or "")
+        ids = [x for w in words for x in pieces.encode(w)]
+        n_other = sum(len(other.encode(w, add_special_tokens=False).ids) for w in words)
+        chars = sum(map(len, words))
+        r = got[i]
+        assert r["n_pieces"] == len(ids)
+        if not ids:
+            assert (r["chars_per_token"], r["chars_per_other"], r["byte_share"], r["token_entropy"]) == (0, 0, 0, 0)
+            continue
+        shares = [n / len(ids) for n in Counter(ids).values()]
+        bits = -sum(p * math.log2(p) for p in shares)
+        assert math.isclose(r["chars_per_token"], chars / len(ids)) and math.isclose(r["chars_per_other"], chars / n_other)
+        assert math.isclose(r["byte_share"], sum(map(pieces.is_byte, ids)) / len(ids))
+        assert math.isclose(r["token_entropy"], bits / math.log2(min(len(ids), 4096)) if len(ids) > 1 else 0.0, abs_tol=1e-12)
+
+
+def test_usual_bands_reject_what_is_odd_in_its_language(spark):
+    rng = np.random.default_rng(6)
+    common = "the of and to in that for with this from have which their about there would people could other after first these water where through".split()
+    rows = [(i, " ".join(rng.choice(common, 60)), "en", "s", 1, "e") for i in range(240)]
+    rows += [(1000 + i, " ".join("".join(rng.choice(list("bcdfghjkmpqvwxz"), 9)) for _ in range(60)), "en", "s", 1, "e") for i in range(6)]
+    rows += [(2000 + i, " ".join("".join(rng.choice(list("bcdfghjkmpqvwxz"), 9)) for _ in range(60)), "de", "s", 1, "e") for i in range(6)]  # too few to tell what is usual
+    out = {r["doc_id"]: r for r in quality_rules(frame(spark, rows)).collect()}
+    assert all(not r["base_failed"] for r in out.values())
+    assert sum(out[i]["kept"] for i in range(240)) >= 238 and not any(out[1000 + i]["kept"] for i in range(6))
+    assert [out[2000 + i]["kept"] for i in range(6)] == [out[2000 + i]["chars_per_token"] >= 1.4 for i in range(6)]
+
+
 OTHER_SCRIPTS = {
     "greek": "Η βιβλιοθήκη της πόλης ανοίγει κάθε πρωί στις οκτώ και κλείνει αργά το βράδυ, όταν φεύγουν και οι τελευταίοι αναγνώστες. Πολλοί φοιτητές διαβάζουν εκεί για τις εξετάσεις τους.",
     "arabic": "تفتح مكتبة المدينة أبوابها كل صباح في الساعة الثامنة وتغلق في وقت متأخر من المساء عندما يغادر آخر القراء. يدرس هناك كثير من الطلاب استعدادا للامتحانات النهائية في نهاية كل عام",
@@ -92,6 +131,33 @@ def test_license_alignment():
     assert scan(None) == scan("") == scan("the public is licensed to work under version of this") == []
 
 
+def longest_common(a, b):
+    last = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b, 1):
+            row.append(last[j - 1] + 1 if x == y else max(last[j], row[-1]))
+        last = row
+    return last[-1]
+
+
+def test_alignment_against_the_longest_common_subsequence():
+    rng = np.random.default_rng(8)
+    for trial in range(60):
+        template = [f"w{x}" for x in rng.integers(0, [8, 40, 200][trial % 3], rng.integers(1, 60))]
+        kept = [w for w in template if rng.random() < 0.8]
+        text = [w for x in kept for w in ([x] if rng.random() < 0.7 else [x, f"other{rng.integers(0, 9)}"])]
+        pairs = align(text, tuple(template))
+        assert all(text[x] == template[y] for x, y in pairs)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))  # noqa: B905
+        best = longest_common(text, template)
+        assert len(pairs) <= best
+        if trial % 3 == 2:  # nearly all words are unique: the anchors are the longest common subsequence
+            assert len(pairs) >= 0.9 * best
+        whole = [w for x in dict.fromkeys(template) for w in (x, "between")]
+        assert len(align(whole, tuple(dict.fromkeys(template)))) == len(set(template))
+
+
 def test_license_names_must_match():
     templates = make_templates()
     vocabulary = frozenset(w for t in templates for w in t.words)
