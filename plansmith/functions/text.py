@@ -165,11 +165,16 @@ def merged_controls(controls: Column) -> Column:
     unique = unique_phrases(controls)
     out = F.when(safe, F.array_join(F.array_distinct(F.filter(controls, lambda c: c != "")), "; ")).when(F.size(unique) < 2, F.array_join(unique, ""))
     for prefix in CONTROL_PREFIXES:
-        ends = F.transform(unique, lambda c, p=prefix: F.trim(F.substring(c, len(p) + 1, 1 << 30)))
-        out = out.when(F.forall(unique, lambda c, p=prefix: F.startswith(F.lower(c), F.lit(p))), F.concat(F.lit(prefix), _joined_and(unique_phrases(ends))))
+        out = out.when(*_shared_opening(unique, prefix))
     return out.otherwise(F.array_join(unique, "; "))
 
 
+def _shared_opening(phrases: Column, prefix: str) -> tuple[Column, Column]:
+    """Whether all phrases open so, and one text of the opening and their ends."""
+    ends = F.transform(phrases, lambda c: F.trim(F.substring(c, len(prefix) + 1, 1 << 30)))
+    return F.forall(phrases, lambda c: F.startswith(F.lower(c), F.lit(prefix))), F.concat(F.lit(prefix), _joined_and(unique_phrases(ends)))
+
+
 def round_robin(items: Column, occurrence: Column) -> Column:
     """The item that is this occurrence's turn."""
     return F.when(F.size(items) > 0, F.get(items, (occurrence % F.size(items)).cast("int")))
