@@ -331,6 +331,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
+    if id_col in ("n_shingles", "component_id"):
+        raise ValueError(f"columns would clash: {id_col}")
+    docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))  # names of the caller can't meet ours
+    named, id_col, text_col = id_col, "_id", "_text"
     signed, signed_path = stage(_signatures(docs, id_col, text_col, size, percent, _sketch(docs, text_col, size)), "signatures")
     key = F.col(f"`{id_col}`")
     reps, reps_path = stage(signed.where(F.col("cls").isNotNull() & key.isNotNull()).groupBy("cls").agg(F.min(key).alias("rep")), "classes")
@@ -391,4 +395,4 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     drop_kept()
     for p in (reps_path, wanted_path, met_path, known_path, families_path, led_path, links_path):
         drop_path(spark, p)
-    return slim.select(key, F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left").select(key, "n_shingles", F.when(key.isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
+    return slim.select(key, F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left").select(key.alias(named), "n_shingles", F.when(key.isNotNull(), F.coalesce("component_id", key)).alias("component_id"))

@@ -266,6 +266,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     words, or with a null text, has null losses and score. Rows that repeat an id are all counted and scored; one
     without id is background. Without targets, or without background, that model knows its smoothing only. An empty table gives no rows.
     """
+    if id_col in (added := ("n_words", "is_target", "target_loss", "background_loss", "score")):
+        raise ValueError(f"columns would clash: {id_col} is one of {added}")
     key = F.col(f"`{id_col}`")
     spark = docs.sparkSession
     wanted, wanted_path = stage(targets.select(key.alias("_target")).where(F.col("_target").isNotNull()).distinct(), "targets")

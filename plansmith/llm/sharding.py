@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import new_path, number_rows
+from ..staging import free_name, new_path, number_rows
 
 ROUNDS = 6
 _M1, _M2, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -91,7 +91,8 @@ def shard_rows(df: DataFrame, order_by: list[str], shards: int = 24, seed: int =
             shard, slot = perm.place(r.to_numpy(), shards)
             yield pd.DataFrame({"shard": shard.astype(np.int32), "slot": slot})
 
-    return numbered.withColumn("_place", place("row_number")).withColumns({"shard": F.col("_place.shard"), "slot": F.col("_place.slot")}).drop("_place")
+    at = free_name(numbered, "place")
+    return numbered.withColumn(at, place("row_number")).withColumns({"shard": F.col(f"{at}.shard"), "slot": F.col(f"{at}.slot")}).drop(at)
 
 
 def write_shards(df: DataFrame, path: str | None = None) -> str:

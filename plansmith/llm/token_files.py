@@ -240,6 +240,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, id_col: str = "d
     entry of the vocabulary at most, reach the driver.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))  # names of the caller can't meet ours
+    id_col, text_col = "_id", "_text"
     vocabulary = vocabulary or vocabulary_path()
     path = path or new_path(spark, "token-files")
     staged, staged_path = stage(tokenise(docs, id_col, text_col, vocabulary, end_id), "tokens")

@@ -127,7 +127,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     count once a row. An empty table gives no rows; other columns are not read.
     """
     rows, _ = stage(integer_vectors(vectors, id_col, vec_col, scale), "vectors")
-    queries = rows.withColumnRenamed("id", id_col).where(is_query).groupBy(F.col(f"`{id_col}`").alias("id"), "dim").agg(F.min("ints").alias("ints")).groupBy("id").agg(F.min_by(F.struct("dim", "ints"), F.struct("dim", "ints")).alias("q")).select("id", "q.*")
+    queries = rows.select(F.col("id").alias(id_col), F.struct("dim", "ints").alias("_vector")).where(is_query).groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.min("_vector").alias("q")).select("id", "q.*")
     groups = max(LEAST_GROUPS, -(-rows.count() // GROUP_ROWS))
     blocks = _query_blocks(queries.coalesce(max(1, groups // 8))).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"), "id", "dim", "ints")
     own = rows.select(F.pmod(F.xxhash64("id", "ints"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), "id", "dim", "ints")

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plansmith.llm.packing import pack_documents, pack_window, piece_cost
@@ -138,3 +139,24 @@ def test_pack_window():
 
 def test_schema_is_that_of_documents():
     assert SCHEMA.startswith("doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_ids_of_any_name(spark):
+    """Columns of the caller that are named like inner ones."""
+    from plansmith.llm.jaccard_join import jaccard_groups
+    from plansmith.llm.lm_scoring import cross_entropy_difference
+    from plansmith.llm.sharding import shard_rows
+    from plansmith.llm.vector_files import exact_top_k
+
+    docs = spark.createDataFrame([(1, "a b c d e f g", 5), (2, "a b c d e f g", 6)], "tokens long, text string, _place int")
+    assert [(r[0], r["n_tokens"]) for r in sorted(read_token_files(spark, write_token_files(docs, id_col="tokens")).select("doc_id", "n_tokens").collect())] == [(1, 8), (2, 8)]
+    for name in ("n", "cls", "first", "bits", "_id"):
+        assert sorted(tuple(r) for r in jaccard_groups(docs.select(docs.tokens.alias(name), "text"), id_col=name).collect()) == [(1, 3, 1), (2, 3, 1)]
+    with pytest.raises(ValueError):
+        jaccard_groups(docs.withColumnRenamed("tokens", "n_shingles"), id_col="n_shingles")
+    with pytest.raises(ValueError):
+        cross_entropy_difference(docs.withColumnRenamed("tokens", "score"), docs.select(docs.tokens.alias("score")), id_col="score")
+    inner = docs.toDF("_part", "_at", "_first")
+    assert shard_rows(inner, ["_part"]).select("_part", "_at", "_first").count() == 2
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "dim long, embedding array<float>")
+    assert exact_top_k(vectors, F.col("dim") == 0, k=1, id_col="dim").select("query_id", "id").first()[:] == (0, 1)
