@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Abbreviations whose dot ends no clause.
 ABBREVIATIONS = ["г", "ул", "пр", "пер", "обл", "р-н", "с", "п", "д", "пос", "т", "пгт"]
-_MARK = "\u0001"
+_MARK, _CUT = "\u0001", "\u0002"
 
 
 def clean_spaces(x: Column) -> Column:
@@ -45,9 +45,10 @@ def preview(x: Column, size: int = 320) -> Column:
 
 def clause_units(x: Column) -> Column:
     """Clauses of a text: parted after . ! ? and white space, at line ends and semicolons, dots of abbreviations apart."""
-    protected = F.regexp_replace(x, rf"(?iuU)\b({'|'.join(ABBREVIATIONS)})\.(\s*)", f"$1{_MARK}$2")
-    parts = F.split(F.regexp_replace(protected, r"(?U)([.!;?])\s+", "$1\n"), r"[\n;]")
-    tidy = F.transform(parts, lambda p: F.regexp_replace(clean_spaces(F.replace(p, F.lit(_MARK), F.lit("."))), r"^[ .;:]+|[ .;:]+$", ""))
+    protected = F.regexp_replace(x, rf"(?iuU)\b(?=[г-уГ-У])({'|'.join(ABBREVIATIONS)})\.(\s*)", f"$1{_MARK}$2")
+    cut = F.regexp_replace(F.regexp_replace(protected, r"(?U)([.!;?])\s+", f"$1{_CUT}"), r"[\n;]", _CUT)
+    parts = F.split(F.regexp_replace(cut, r"(?U)\s+", " "), _CUT)
+    tidy = F.transform(parts, lambda p: F.btrim(F.replace(p, F.lit(_MARK), F.lit(".")), F.lit(" .;:")))
     return F.filter(tidy, lambda p: p != "")
 
 

@@ -54,13 +54,21 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> tuple[DataFrame,
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    name = f"_{base}"
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def number_rows(df: DataFrame, order_by: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
     """Add dense global row numbers in the order of ``order_by`` (nulls first) and return them with the number of rows.
 
     One range partitioning sorts the rows, which are staged so that both reads see the same order; only the count
     of each partition reaches the driver.
     """
-    at = f"_{name}_at"
+    at, part_col, first_col = (free_name(df, x) for x in ("at", "part", "first"))
     ordered, _ = stage(df.sort(*[F.col(f"`{c}`").asc_nulls_first() for c in order_by]).withColumn(at, F.monotonically_increasing_id()), "order")
     part = F.shiftright(at, 33)
     counts = {r["part"]: r["n"] for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
@@ -69,6 +77,6 @@ def number_rows(df: DataFrame, order_by: list[str], name: str = "row_number") ->
         starts.append((p, first))
         first += counts[p]
     spark = df.sparkSession
-    offsets = spark.createDataFrame(starts, "_part int, _first long")  # one row a partition
-    numbered = ordered.join(F.broadcast(offsets), part.cast("int") == F.col("_part")).withColumn(name, F.col("_first") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
-    return numbered.drop("_part", "_first", at), first
+    offsets = spark.createDataFrame(starts, f"`{part_col}` int, `{first_col}` long")  # one row a partition
+    numbered = ordered.join(F.broadcast(offsets), part.cast("int") == F.col(part_col)).withColumn(name, F.col(first_col) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    return numbered.drop(part_col, first_col, at), first
