@@ -20,7 +20,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def array_bytes(column: str, each: int, rest: int) -> Column:
