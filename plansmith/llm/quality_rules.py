@@ -126,15 +126,14 @@ class Fertility:
         if None in got:
             gaps = [i for i, x in enumerate(got) if x is None]
             new = list({words[i] for i in gaps})
-            if len(self.words) + len(new) > MAX_CACHED:
+            if self.words and len(self.words) + len(new) > MAX_CACHED:
                 self.words, self.lengths = {}, {}
+                return self.ids(words)  # those found before are gone too
             plain = [w.decode() for w in new]
             for w, ids, own in zip(new, self.sp.encode(plain, num_threads=1), self.other.encode_batch_fast(plain, add_special_tokens=False), strict=True):
                 self.words[w] = np.array(ids, dtype=self.kind).tobytes()
                 self.lengths[w] = len(own.ids)
             got = [self.words.get(w) if x is None else x for w, x in zip(words, got, strict=True)]
-            if None in got:  # the cache was emptied
-                return self.ids(words)
         self.n_other += sum(map(self.lengths.__getitem__, words))
         return np.frombuffer(b"".join(got), dtype=self.kind)
 

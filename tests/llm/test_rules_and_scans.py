@@ -76,6 +76,19 @@ def test_fertility_against_the_libraries(spark):
         assert math.isclose(r["token_entropy"], bits / math.log2(min(len(ids), 4096)) if len(ids) > 1 else 0.0, abs_tol=1e-12)
 
 
+def test_fertility_with_a_full_cache(monkeypatch):
+    """Emptying the cache of words changes no measure."""
+    from plansmith.llm import quality_rules as q
+
+    paths = vocabulary_path("piece_bpe_32k.model"), vocabulary_path("byte_bpe_50k.json")
+    texts = [[w.encode() for w in f"again and again word{i} other{i} and some{i}".split()] for i in range(20)]
+    whole = q.Fertility(*paths)
+    want = [whole.measure(t, 40) for t in texts]
+    monkeypatch.setattr(q, "MAX_CACHED", 9)
+    small = q.Fertility(*paths)
+    assert [small.measure(t, 40) for t in texts] == want and len(small.words) <= 9
+
+
 def test_usual_bands_reject_what_is_odd_in_its_language(spark):
     rng = np.random.default_rng(6)
     common = "the of and to in that for with this from have which their about there would people could other after first these water where through".split()
