@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,6 +134,11 @@ def first_of_list(items: Column, most: int = 8) -> Column:
     return F.concat(F.array_join(F.slice(items, 1, most), ", "), F.when(F.size(items) > most, "…").otherwise(""))
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(x), lambda v: body(v)), F.lit(0))
+
+
 def unique_phrases(phrases: Column) -> Column:
     """Phrases in order without those that are equal to or part of another; a longer later one takes the place of the first shorter one.
 
@@ -154,26 +161,31 @@ CONTROL_PREFIXES = ["устный опрос по ", "практическое 
 SAFE_TEMPLATE = "по теме „"
 
 
-def _joined_and(parts: Column) -> Column:
+def joined_and(parts: Column, joint: str = " и ") -> Column:
+    """Parts without their last dots, joined by commas and, before the last, a word."""
     bare = F.filter(F.transform(parts, lambda p: F.regexp_replace(clean_spaces(p), r"[ .]+$", "")), lambda p: p != "")
     n = F.size(bare)
-    return F.when(n < 2, F.array_join(bare, "")).otherwise(F.concat(F.array_join(F.slice(bare, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(" и "), F.element_at(bare, -1)))
+    return F.when(n < 2, F.array_join(bare, "")).otherwise(F.concat(F.array_join(F.slice(bare, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(joint), F.element_at(bare, -1)))
 
 
 def merged_controls(controls: Column) -> Column:
     """A week's controls as one text: distinct ones joined by "; ", or one shared opening and its ends."""
     safe = F.exists(controls, lambda c: F.contains(c, F.lit(SAFE_TEMPLATE)))
-    unique = unique_phrases(controls)
-    out = F.when(safe, F.array_join(F.array_distinct(F.filter(controls, lambda c: c != "")), "; ")).when(F.size(unique) < 2, F.array_join(unique, ""))
-    for prefix in CONTROL_PREFIXES:
-        out = out.when(*_shared_opening(unique, prefix))
-    return out.otherwise(F.array_join(unique, "; "))
+    as_they_are = F.array_join(F.array_distinct(F.filter(controls, lambda c: c != "")), "; ")
+
+    def joined(unique: Column) -> Column:
+        out = F.when(F.size(unique) < 2, F.array_join(unique, ""))
+        for prefix in CONTROL_PREFIXES:
+            out = out.when(*_shared_opening(unique, prefix))
+        return out.otherwise(F.array_join(unique, "; "))
+
+    return F.when(safe, as_they_are).otherwise(let(unique_phrases(controls), joined))
 
 
 def _shared_opening(phrases: Column, prefix: str) -> tuple[Column, Column]:
     """Whether all phrases open so, and one text of the opening and their ends."""
     ends = F.transform(phrases, lambda c: F.trim(F.substring(c, len(prefix) + 1, 1 << 30)))
-    return F.forall(phrases, lambda c: F.startswith(F.lower(c), F.lit(prefix))), F.concat(F.lit(prefix), _joined_and(unique_phrases(ends)))
+    return F.forall(phrases, lambda c: F.startswith(F.lower(c), F.lit(prefix))), F.concat(F.lit(prefix), let(unique_phrases(ends), joined_and))
 
 
 def round_robin(items: Column, occurrence: Column) -> Column:

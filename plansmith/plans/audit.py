@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import week_grid
+from ..operators import bags
 from .planning import in_force, verdict
 
 #: Stems that mark a lesson form as practical or as theoretical, and the winter break of the approved grid.
@@ -85,6 +87,40 @@ def attestation_check(programmes: DataFrame, traces: DataFrame) -> DataFrame:
     return _spread(programmes.join(found, "doc_id", "left"), {"attestation": F.when(states, F.coalesce("found", F.lit(False)))})
 
 
+def plan_checks(positions: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Whether a calendar has the hours of its plan's totals row and exactly its topics.
+
+    ``positions`` as parse_plans gives them, ``schedule`` as build_schedule does. Topics are compared as sets by number, title and section, nulls equal; a topic without parent is its own section.
+    Plans without a totals row or without a schedule are not checked. The topics of both sides go through one grouping.
+    """
+    h, kind = F.col("hours"), F.col("part_type")
+    totals = positions.where("kind = 'total'").groupBy("doc_id").agg(F.max_by(h, "pos").alias("t"))
+    done = schedule.groupBy("doc_id").agg(*[F.sum(F.when(kind == c, h).otherwise(0)).alias(c) for c in ("theory", "practice")])
+    topics = positions.where("kind = 'topic'").select("doc_id", "number", "title", F.coalesce("parent_section", "title").alias("section"))
+    same = bags.set_verdict(topics, schedule, ["doc_id"], ["number", "title", "section"])
+    j = totals.join(done, "doc_id", "full").join(same.select("doc_id", (F.col("verdict") == "pass").alias("same")), "doc_id", "full")
+    equal = (F.col("theory") == F.col("t.theory")) & (F.col("practice") == F.col("t.practice")) & (F.col("theory") + F.col("practice") == F.col("t.total"))
+    return _spread(j, {"plan_matches_utp": F.when(F.col("t").isNotNull() & F.col("theory").isNotNull(), equal & F.coalesce("same", F.lit(False)))})
+
+
+#: The approved year's first calendar year and number of weeks.
+APPROVED_YEAR, APPROVED_WEEKS = 2026, 36
+
+
+def grid_checks(weeks: DataFrame, plans: DataFrame, approved: int = APPROVED_YEAR) -> DataFrame:
+    """Whether a calendar's weeks are those of the approved grid, each once (P20).
+
+    ``weeks``: doc_id, start_day, end_day; ``plans``: doc_id, start_year. Other years warn, plans without weeks are not checked. The grid is made for each plan that is compared, and both sides
+    go through one grouping of bags.
+    """
+    grid = week_grid(plans.where(F.col("start_year") == approved).select("start_year").distinct()).select("start_year", "start_day", "end_day")
+    wanted = plans.where(F.col("start_year") == approved).join(F.broadcast(grid), "start_year").select("doc_id", "start_day", "end_day")  # one year's weeks
+    same = bags.bag_verdict(wanted, weeks.join(plans.where(F.col("start_year") == approved).select("doc_id"), "doc_id", "left_semi"), ["doc_id"], ["start_day", "end_day"])
+    some = weeks.select("doc_id").distinct().withColumn("some", F.lit(True))
+    j = plans.join(some, "doc_id", "left").join(same.select("doc_id", "verdict"), "doc_id", "left")
+    return _spread(j, {"academic_grid": F.when(F.col("some"), F.coalesce((F.col("start_year") == approved) & (F.col("verdict") == "pass"), F.lit(False)))})
+
+
 def report(*checks: DataFrame) -> DataFrame:
     """All checks as one table."""
     out = checks[0]

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import zipfile
+import zlib
+from collections.abc import Iterator
+from io import BytesIO
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most bytes, first bytes by extension, phrases of normative documents and of calendar forms.
 MOST_BYTES = 10 << 20
@@ -23,6 +30,78 @@ def upload_fault(name: Column, content: Column, allowed: dict[str, str] | None =
     return F.when(~suffix.isin(*first), "extension").when(size == 0, "empty").when(size > most, "size").when(~right, "content")
 
 
+#: Members that a document archive must have.
+MEMBERS = ["[Content_Types].xml", "word/document.xml"]
+_CHUNK = 1 << 16
+
+
+def _archive_fault(content: bytes | None, members: list[str], most: int) -> str | None:
+    try:
+        with zipfile.ZipFile(BytesIO(content or b"")) as archive:
+            found = archive.infolist()
+            if not set(members) <= {m.filename for m in found}:
+                return "members"
+            if sum(m.file_size for m in found) > most:
+                return "unpacked_size"
+            for m in found:
+                with archive.open(m) as stream:  # the library compares the member's CRC at its end
+                    while stream.read(_CHUNK):
+                        pass
+    except (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, RuntimeError, OSError, EOFError, NotImplementedError):
+        return "damaged"
+    return None
+
+
+def archive_faults(files: DataFrame, content: str = "content", members: list[str] | None = None, most: int = 20 * MOST_BYTES, name: str = "archive_fault") -> DataFrame:
+    """Adds the first fault of each file as a ZIP archive (S13): 'damaged' (no directory, or a member that can't be unpacked or whose checksum differs), 'members' (one that must be there is missing),
+    'unpacked_size' (the directory declares more than ``most`` bytes in all); null if it is sound.
+
+    Members are read in chunks in the task that has the file, and never past the size that the directory declares, so a small file that unpacks to a huge one costs no memory.
+    """
+    needed = members or MEMBERS
+    schema = T.StructType([*files.schema.fields, T.StructField(name, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(content)
+            faults = [_archive_fault(column[i].as_py(), needed, most) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(faults, pa.string())], schema.fieldNames())
+
+    return files.mapInArrow(run, schema)
+
+
+#: The shape of an organisation's template: columns, rows of the head, most rows, and words of its head.
+TEMPLATE_COLUMNS, HEAD_ROWS, MOST_ROWS = 8, 2, 3
+
+
+def template_faults(documents: DataFrame, cells: DataFrame, markers: list[str], columns: int = TEMPLATE_COLUMNS, head: int = HEAD_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
+    """The first rule of a template's shape that each document breaks (S18): doc_id, ``fault``: tables (not exactly one), columns, rows, markers (a word missing in the head), body (a cell below the head has
+    text); null if it has the shape.
+
+    ``cells``: doc_id, table, row and col from 0, text. ``documents``: doc_id; those without cells have no table. One grouping reads all rules.
+    """
+    text = F.coalesce("text", F.lit(""))
+    in_head = F.col("row") < head
+    has = [F.bool_or(in_head & F.contains(F.lower(text), F.lit(m))).alias(f"m{i}") for i, m in enumerate(markers)]
+    by = cells.groupBy("doc_id").agg(F.countDistinct("table").alias("tables"), (F.max("col") + 1).alias("columns"), (F.max("row") + 1).alias("rows"), F.bool_or(~in_head & (F.trim(text) != "")).alias("body"), *has)
+    every = F.lit(True)
+    for i in range(len(markers)):
+        every = every & F.col(f"m{i}")
+    fault = F.when(F.coalesce("tables", F.lit(0)) != 1, "tables").when(F.col("columns") != columns, "columns").when(~F.col("rows").between(head, most_rows), "rows").when(~every, "markers").when(F.col("body"), "body")
+    return documents.select("doc_id").join(by, "doc_id", "left").select("doc_id", fault.alias("fault"))
+
+
+def purpose_fault(purpose: Column, text: Column, n_topics: Column, n_sections: Column, n_items: Column, has_facts: Column) -> Column:
+    """Why a file doesn't serve its purpose (S15): 'normative' or 'calendar' where it is such a document instead, 'content' where it lacks what the purpose needs; null if it serves.
+
+    A plan needs topics and sections, a programme content items and a title, goal or tasks, a template the calendar form's phrases. Null counts are none.
+    """
+    some = lambda n: F.coalesce(n, F.lit(0)) > 0
+    form = F.coalesce(looks_like_calendar_form(text), F.lit(False))
+    serves = F.when(purpose == "plan", some(n_topics) & some(n_sections)).when(purpose == "programme", some(n_items) & F.coalesce(has_facts, F.lit(False))).otherwise(form)
+    return F.when(F.coalesce(looks_normative(text), F.lit(False)), "normative").when(form & (purpose != "template"), "calendar").when(~serves, "content")
+
+
 def looks_normative(text: Column) -> Column:
     """Whether a text has a phrase of normative documents, whatever the case."""
     low = F.lower(text)
