@@ -144,16 +144,19 @@ def unique_phrases(phrases: Column) -> Column:
 
     Case, spaces and last dots don't count.
     """
-    bare = lambda p: F.lower(F.regexp_replace(p, r"[ .]+$", ""))
+    tidy = F.transform(F.transform(phrases, clean_spaces), lambda p: F.struct(p.alias("text"), F.lower(F.regexp_replace(p, r"[ .]+$", "")).alias("bare")))
+
+    def put(kept: Column, p: Column, hit: Column) -> Column:
+        swapped = F.transform(kept, lambda k, i: F.when((i == hit - 1) & ~F.contains(k["bare"], p["bare"]), p).otherwise(k))
+        return F.when(hit == 0, F.concat(kept, F.array(p))).otherwise(swapped)
 
     def step(kept: Column, p: Column) -> Column:
-        inside = F.exists(kept, lambda k: bare(k) == bare(p))
-        hit = F.array_position(F.transform(kept, lambda k: F.contains(bare(k), bare(p)) | F.contains(bare(p), bare(k))), F.lit(True))
-        at = F.get(kept, hit.cast("int") - 1)
-        swapped = F.transform(kept, lambda k, i: F.when((i == hit - 1) & ~F.contains(bare(k), bare(p)), p).otherwise(k))
-        return F.when(inside | (bare(p) == ""), kept).when(hit == 0, F.concat(kept, F.array(p))).when(at.isNotNull(), swapped).otherwise(kept)
+        equal = F.exists(kept, lambda k: k["bare"] == p["bare"])
+        near = F.transform(kept, lambda k: F.contains(k["bare"], p["bare"]) | F.contains(p["bare"], k["bare"]))
+        return F.when(equal | (p["bare"] == "") | p["bare"].isNull(), kept).otherwise(let(F.array_position(near, F.lit(True)), lambda hit: put(kept, p, hit)))
 
-    return F.aggregate(F.transform(phrases, clean_spaces), F.array().cast("array<string>"), step)
+    none = F.array().cast("array<struct<text: string, bare: string>>")
+    return F.transform(F.aggregate(tidy, none, step), lambda k: k["text"])
 
 
 #: Openings that controls of one week may share, and the mark of a safe template.
