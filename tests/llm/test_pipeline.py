@@ -77,5 +77,5 @@ def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(SQL) <= set(QUERIES) and set(__spark_entry__.oracle_sql()) <= set(names)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plansmith.llm import lm_scoring
 from plansmith.llm.license_scan import TEMPLATES, align, longest_increasing, make_templates, scan_licenses, scan_text
-from plansmith.llm.quality_rules import quality_rules, script_of
+from plansmith.llm.quality_rules import fitted_lows, quality_rules, script_of
 from plansmith.llm.sharding import FeistelPermutation, shard_rows, write_shards
 from plansmith.llm.tokens import vocabulary_path
 from plansmith.llm.vector_files import ApproximationFile, exact_top_k
@@ -89,16 +89,27 @@ def test_fertility_with_a_full_cache(monkeypatch):
     assert [small.measure(t, 40) for t in texts] == want and len(small.words) <= 9
 
 
-def test_usual_bands_reject_what_is_odd_in_its_language(spark):
+def test_verdict_rests_on_the_text_alone(spark):
+    """Noise goes and prose stays in every language of the table, whether a text stands alone or among many."""
     rng = np.random.default_rng(6)
     common = "the of and to in that for with this from have which their about there would people could other after first these water where through".split()
+    noise = lambda: " ".join("".join(rng.choice(list("bcdfghjkmpqvwxz"), 9)) for _ in range(60))
     rows = [(i, " ".join(rng.choice(common, 60)), "en", "s", 1, "e") for i in range(240)]
-    rows += [(1000 + i, " ".join("".join(rng.choice(list("bcdfghjkmpqvwxz"), 9)) for _ in range(60)), "en", "s", 1, "e") for i in range(6)]
-    rows += [(2000 + i, " ".join("".join(rng.choice(list("bcdfghjkmpqvwxz"), 9)) for _ in range(60)), "de", "s", 1, "e") for i in range(6)]  # too few to tell what is usual
+    rows += [(1000 + i, noise(), ["en", "de", "fr", "es"][i % 4], "s", 1, "e") for i in range(8)]
+    prose = {"de": "Die Bibliothek der Stadt öffnet jeden Morgen um acht Uhr und schließt erst spät am Abend, wenn die letzten Leser gegangen sind und das Licht im Saal ausgeht.", "fr": "La bibliothèque de la ville ouvre tous les matins à huit heures et ferme tard le soir, quand les derniers lecteurs sont partis et que la lumière s'éteint dans la salle.", "es": "La biblioteca de la ciudad abre todas las mañanas a las ocho y cierra tarde por la noche, cuando se han ido los últimos lectores y se apaga la luz de la sala."}
+    rows += [(2000 + i, t, lang, "s", 1, "e") for i, (lang, t) in enumerate(prose.items())]
     out = {r["doc_id"]: r for r in quality_rules(frame(spark, rows)).collect()}
     assert all(not r["base_failed"] for r in out.values())
-    assert sum(out[i]["kept"] for i in range(240)) >= 238 and not any(out[1000 + i]["kept"] for i in range(6))
-    assert [out[2000 + i]["kept"] for i in range(6)] == [out[2000 + i]["chars_per_token"] >= 1.4 for i in range(6)]
+    assert all(out[i]["kept"] for i in range(240)) and not any(out[1000 + i]["kept"] for i in range(8)) and all(out[2000 + i]["kept"] for i in range(3))
+    for i in (0, 1000, 1001, 2000):
+        (alone,) = quality_rules(frame(spark, [r for r in rows if r[0] == i])).collect()
+        assert alone == out[i]
+
+
+def test_fitted_lows(spark):
+    rows = [("en", True, 3 + i / 100, 4.0) for i in range(101)] + [("en", False, 0.1, 0.1), ("fr", True, 2.0, 2.0)]
+    got = {(r["band"], r["measure"]): round(r["lowest"], 6) for r in fitted_lows(spark.createDataFrame(rows, "band string, kept boolean, chars_per_token double, chars_per_other double")).collect()}
+    assert got == {("en", "chars_per_token"): 1.5, ("en", "chars_per_other"): 3.68, ("fr", "chars_per_token"): 1.84, ("fr", "chars_per_other"): 1.84}
 
 
 OTHER_SCRIPTS = {
