@@ -26,7 +26,6 @@ from .token_counts import SEGMENT, WHITE, Vocabulary
 from .tokens import vocabulary_path
 
 BATCH_BYTES = 8 << 20
-MAX_CACHED, LONGEST_CACHED = 200_000, 200
 _ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 _SHIFT = 32
 
@@ -41,113 +40,138 @@ def byte_level() -> dict[str, int]:
     return out
 
 
-def components(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
-    """The connected components of overlapping tokens, in order: first and last place on side A and on side B, ends exclusive.
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of tokens whose byte ranges overlap, in order: no byte lies in more than one token of a side, so each stretch between neighbouring ends gives one pair."""
+    ends = np.union1d(a_ends, b_ends)
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
 
-    Both sides cover the bytes from 0 to the same end. Nodes are A's tokens and then B's.
-    """
-    parent = list(range(len(a_ends) + len(b_ends)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in overlaps(a_ends, b_ends):
-        parent[find(len(a_ends) + j)] = find(i)
-    out: list[list[int]] = []
-    at: dict[int, list[int]] = {}
-    for i in range(len(a_ends)):
-        root = find(i)
-        if root not in at:
-            out.append(at.setdefault(root, [i, i, -1, -1]))
-        at[root][1] = i + 1
-    for j in range(len(b_ends)):
-        group = at[find(len(a_ends) + j)]
-        group[2:] = [j if group[2] < 0 else group[2], j + 1]
-    return [tuple(x) for x in out]
-
-
-def overlaps(a_ends: list[int], b_ends: list[int]) -> Iterator[tuple[int, int]]:
-    """The pairs of tokens whose byte ranges overlap, in order."""
-    i = j = 0
-    while i < len(a_ends) and j < len(b_ends):
-        yield i, j
-        step = a_ends[i] - b_ends[j]
-        i += step <= 0
-        j += step >= 0
+
+def union_find(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node of its connected component, by hooking roots onto smaller roots of their neighbours and halving paths, for all edges at once."""
+    up = np.arange(n)
+    while True:
+        x, y = up[u], up[v]
+        apart = x != y
+        if not apart.any():
+            return up
+        np.minimum.at(up, np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart]))
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+
+
+def components(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The group of each token of A and of B, numbered in order, and the overlapping pairs. Both sides cover the bytes from 0 to the same end."""
+    i, j = overlaps(a_ends, b_ends)
+    root = union_find(len(a_ends) + len(b_ends), i, len(a_ends) + j)
+    first = np.flatnonzero(root[: len(a_ends)] == np.arange(len(a_ends)))  # a group's smallest node is its first token of A
+    return np.searchsorted(first, root[: len(a_ends)]), np.searchsorted(first, root[len(a_ends) :]), i, j
+
+
+class Places(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 class Aligned(NamedTuple):
-    """A word's tokens: their numbers, its groups as text, and its links as id pairs (A's id in the high half)."""
+    """The alignment of many words, one after the other."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: tuple[int, ...]
+    good: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    groups: list[str]
+    links: np.ndarray
+    n_links: np.ndarray
 
 
 class Aligner:
-    """Cuts and aligns words under both vocabularies; a bounded cache keeps the words it has met."""
+    """Cuts and aligns words under both vocabularies, many in one call of each library: a control character that no token joins to others stands between words."""
 
-    def __init__(self, a_path: str, b_path: str, links: str, max_cached: int = MAX_CACHED):
+    def __init__(self, a_path: str, b_path: str, links: str):
         import sentencepiece
+        from tokenizers import pre_tokenizers
 
         self.a = Vocabulary(a_path)
         self.a.tok.encode_special_tokens = True
         chars = byte_level()
-        self.a_bytes = {i: len(bytes(chars[c] for c in t)) if all(c in chars for c in t) else len(t.encode()) for t, i in self.a.tok.get_vocab().items()}
+        names = {i: t for t, i in self.a.tok.get_vocab().items()}
+        self.a_size = np.array([len(names[i]) if i in names and all(c in chars for c in names[i]) else len(names.get(i, "").encode()) for i in range(max(names) + 1)])
+        self.a.cut.encode_special_tokens = True
+        self.a.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(_BETWEEN, "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)])
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any(m.group() != "\r" for p in pieces for m in re.finditer(f"(?<=[^{WHITE}▁])[{WHITE}▁]", p)):
-            raise ValueError(f"{b_path}: pieces run over the start of white space")
-        if any(m.group() != "\r" for p in pieces for m in re.finditer(f"(?<=▁)[{WHITE}]", p)):
-            raise ValueError(f"{b_path}: pieces hold a space and other white space")
-        self.space = self.b.piece_to_id("▁")
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.all_links, self.max_cached = links == "overlap", max_cached
-        self.words: dict[str, Aligned | None] = {}
-
-    def b_ids(self, words: list[str]) -> list[list[int]]:
-        """The pieces of each word. The library puts a space before what it is given: the word's own first space, or one too many, which no piece joins to other white space."""
-        found = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
-        return [([self.space] if w == " " else b) if w[0] == " " else b[1:] for w, b in zip(words, found, strict=True)]
-
-    def align(self, words: list[str]) -> list[Aligned | None]:
-        """Each word's alignment; None where a side's tokens don't give the word's bytes."""
-        out: list[Aligned | None] = []
-        for word, e, b in zip(words, self.a.tok.encode_batch_fast(words, add_special_tokens=False), self.b_ids(words), strict=True):
-            a, raw = e.ids, word.encode()
-            a_ends = np.cumsum([self.a_bytes[i] for i in a]).tolist()
-            pieces = [self.b_bytes[i] for i in b]
-            if b"".join(pieces) != raw or not a_ends or a_ends[-1] != len(raw):
-                out.append(None)
-                continue
-            b_ends = np.cumsum([len(p) for p in pieces]).tolist()
-            if a_ends == b_ends:
-                spans = [(i, i + 1, i, i + 1) for i in range(len(a))]
-            else:
-                spans = components(a_ends, b_ends)
-            text = ";".join(",".join(map(str, a[p:q])) + "|" + ",".join(map(str, b[r:s])) for p, q, r, s in spans)
-            pairs = overlaps(a_ends, b_ends) if self.all_links else ((i, j) for p, q, r, s in spans for i in range(p, q) for j in range(r, s) if a_ends[i] == b_ends[j])
-            out.append(Aligned(len(a), len(b), len(spans), text, tuple(a[i] << _SHIFT | b[j] for i, j in pairs)))
-        return out
-
-    def of(self, words: list[str]) -> list[Aligned | None]:
-        found = {w: self.words[w] for w in words if w in self.words}
-        new = [w for w in words if w not in found]
-        learned: dict[str, Aligned | None] = {}
-        for i in range(0, len(new), 5000):
-            learned.update(zip(new[i : i + 5000], self.align(new[i : i + 5000]), strict=True))
-        keep = {w: x for w, x in learned.items() if len(w) <= LONGEST_CACHED}
-        if len(self.words) + len(keep) > self.max_cached:
-            self.words = {}
-        self.words.update(keep)
-        return [found[w] if w in found else learned[w] for w in words]
-
-
+        if any(m.group() != "\r" for p in pieces for m in re.finditer(f"(?<=[^{WHITE}▁])[{WHITE}▁]|(?<=▁)[{WHITE}]", p)) or any(_BETWEEN in p and p != _BETWEEN for p in pieces):
+            raise ValueError(f"{b_path}: pieces run over the start of white space, or hold a space and other white space")
+        self.b_bytes = np.array([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)], dtype=object)
+        self.b_size = np.array([len(x) for x in self.b_bytes])
+        self.space, self.between = self.b.piece_to_id("▁"), self.b.encode("a" + _BETWEEN)[-1]
+        self.all_links = links == "overlap"
+        self.numbers = np.array([str(i) for i in range(max(len(self.a_size), len(pieces)))], dtype=object)
+
+    def _a_ids(self, words: list[str]) -> np.ndarray:
+        """All words' tokens of A; a word with the control character is asked for alone."""
+        if any(_BETWEEN in w for w in words):
+            return np.array([i for w in words for i in self.a.tok.encode_batch_fast([w], add_special_tokens=False)[0].ids], dtype=np.int64)
+        return np.array(self.a.cut.encode_batch_fast([_BETWEEN.join(words)], add_special_tokens=False)[0].ids, dtype=np.int64)
+
+    def _b_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' tokens of B and how many each word has. The library puts a space before what it is given, which is left out again."""
+        if any(_BETWEEN in w for w in words):
+            each = [self.b.encode(_BETWEEN + w, num_threads=1)[2:] for w in words]
+            return np.array([i for e in each for i in e], dtype=np.int64), np.array([len(e) for e in each])
+        ids = np.array(self.b.encode(_BETWEEN + _BETWEEN.join(words), num_threads=1)[1:], dtype=np.int64)
+        at = np.flatnonzero(ids == self.between)
+        return np.delete(ids, at), np.diff(np.append(at, len(ids))) - 1
+
+    def align(self, words: list[str]) -> Aligned:
+        """The alignment of each word; one whose tokens don't give its bytes is not good and has no tokens, groups and links."""
+        parts = [self._align(words[i : i + _JOINED]) for i in range(0, len(words), _JOINED)]
+        joined = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for k in (0, 1, 2, 3, 5, 6)]
+        return Aligned(*joined[:4], [g for p in parts for g in p.groups], *joined[4:])
+
+    def _align(self, words: list[str]) -> Aligned:
+        raws = [w.encode() for w in words]
+        size = np.array([len(r) for r in raws])
+        a, (b, n_b) = self._a_ids(words), self._b_ids(words)
+        b_of = np.repeat(np.arange(len(words)), n_b)
+        good = np.bincount(b_of, weights=self.b_size[b], minlength=len(words)).astype(np.int64) == size
+        if not good.all() or b"".join(self.b_bytes[b].tolist()) != b"".join(raws):
+            at = np.append(0, np.cumsum(n_b))
+            good = np.array([b"".join(self.b_bytes[b[at[i] : at[i + 1]]].tolist()) == r for i, r in enumerate(raws)], dtype=bool)
+        a_of = np.searchsorted(np.cumsum(size), np.cumsum(self.a_size[a]))  # A gives back all bytes
+        a, a_of, b, b_of = a[good[a_of]], a_of[good[a_of]], b[good[b_of]], b_of[good[b_of]]
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        a_group, b_group, i, j = components(a_ends, b_ends)
+        if not self.all_links:
+            together = a_ends[i] == b_ends[j]
+            i, j = i[together], j[together]
+        count = lambda of: np.bincount(of, minlength=len(words))
+        last = np.append(a_group[1:] != a_group[:-1], True) if len(a) else np.zeros(0, dtype=bool)
+        return Aligned(good, count(a_of), count(b_of), count(a_of[last]), self._said(a, a_group, b, b_group, a_of, good), a[i] << _SHIFT | b[j], count(a_of[i]))
+
+    def _said(self, a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np.ndarray, a_of: np.ndarray, good: np.ndarray) -> list[str]:
+        """The groups of each word as text: every token's number and the sign after it, joined once for all words."""
+        ids, group = np.concatenate([a, b]), np.concatenate([a_group, b_group])
+        side = np.repeat([0, 1], [len(a), len(b)])
+        order = np.lexsort((np.arange(len(ids)), side, group))
+        group, side = group[order], side[order]
+        word = np.zeros(int(a_group[-1]) + 1 if len(a) else 0, dtype=np.int64)
+        word[a_group] = a_of
+        word = word[group]
+        same = lambda x: np.append(x[1:] == x[:-1], False) if len(x) else np.zeros(0, dtype=bool)
+        sign = np.where(same(word), np.where(same(group), np.where(same(side), 0, 1), 2), 3)
+        text = np.empty(2 * len(ids), dtype=object)
+        text[0::2] = self.numbers[ids[order]]
+        text[1::2] = _SIGNS[sign]
+        said = iter("".join(text.tolist()).split("\n"))
+        return [next(said) if g else "" for g in good]
+
+
+_BETWEEN, _JOINED = "\x01", 2000
+_SIGNS = np.array([",", "|", ";", "\n"], dtype=object)
 _ALIGNERS: dict[tuple, Aligner] = {}
 
 
@@ -157,10 +181,6 @@ def _aligner(*key: str) -> Aligner:
     return _ALIGNERS[key]
 
 
-def _ends(lengths: list[int]) -> bytes:
-    return np.cumsum(lengths, dtype=np.int64).astype("<i8").tobytes()
-
-
 _BATCH = "batch long, n_words array<int>, words binary, times binary, n_a binary, n_b binary, n_groups binary, groups array<string>, links binary, link_ends binary"
 
 
@@ -175,20 +195,17 @@ def _batches(rows: DataFrame, key: tuple[str, str, str], batch_bytes: int) -> Da
         from pyspark import TaskContext
 
         aligner, made = _aligner(*key), TaskContext.get().partitionId() << 32
-        place: dict[str, int] = {}
+        place = Places()
         ids, docs, held = [], [], 0
 
         def close() -> pa.RecordBatch:
-            found = aligner.of(list(place))
-            good = np.array([x is not None for x in found], dtype=bool)
-            n = [-1 if d is None or not good[d].all() else len(d) for d in docs]
+            found = aligner.align(list(place))
+            n = [-1 if d is None or not found.good[d].all() else len(d) for d in docs]
             words = np.concatenate([np.zeros(0, dtype="<u4"), *(d for d, k in zip(docs, n, strict=True) if k > 0)]).astype("<u4")
-            some = [x or Aligned(0, 0, 0, "", ()) for x in found]
-            links = np.fromiter((p for x in some for p in x.links), dtype="<i8")
             columns = [pa.array([ids], pa.list_(id_type)), pa.array([made], pa.int64()), pa.array([n], pa.list_(pa.int32()))]
-            columns += [pa.array([x], pa.binary()) for x in (words.tobytes(), np.bincount(words, minlength=len(some)).astype("<i8").tobytes())]
-            columns += [pa.array([np.array([x[k] for x in some], dtype="<i4").tobytes()], pa.binary()) for k in range(3)]
-            columns += [pa.array([[x.groups for x in some]], pa.list_(pa.string())), pa.array([links.tobytes()], pa.binary()), pa.array([_ends([len(x.links) for x in some])], pa.binary())]
+            columns += [pa.array([x], pa.binary()) for x in (words.tobytes(), np.bincount(words, minlength=len(place)).astype("<i8").tobytes())]
+            columns += [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (found.n_a, found.n_b, found.n_groups)]
+            columns += [pa.array([found.groups], pa.list_(pa.string())), pa.array([found.links.astype("<i8").tobytes()], pa.binary()), pa.array([np.cumsum(found.n_links).astype("<i8").tobytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
         for batch in batches:
@@ -203,7 +220,7 @@ def _batches(rows: DataFrame, key: tuple[str, str, str], batch_bytes: int) -> Da
                         place.clear()
                     ids.append(key_of)
                     held += size + 16
-                    docs.append(np.fromiter((place.setdefault(m.group(), len(place)) for m in SEGMENT.finditer(" " + text)), dtype="<u4") if text else None)
+                    docs.append(np.array([*map(place.__getitem__, SEGMENT.findall(" " + text))], dtype="<u4") if text else None)
         if ids:
             yield close()
 

@@ -16,7 +16,7 @@ import __spark_entry__
 from plansmith.llm import token_counts
 from plansmith.llm.divergence import best_terms, divergence, shares, source_divergence
 from plansmith.llm.queries import QUERIES, SQL
-from plansmith.llm.token_alignment import Aligner, align_tokens, byte_level, components
+from plansmith.llm.token_alignment import Aligner, align_tokens, byte_level, components, union_find
 from plansmith.llm.token_counts import Counting, count_tokens, cut_down, slices_of
 from plansmith.llm.tokens import vocabulary_path
 
@@ -208,7 +208,7 @@ def test_overlapping_links(spark):
     links, rows_of = Counter(), []
     for t in texts:
         a, b = aligner.a.tok.encode(" " + t, add_special_tokens=False).ids, aligner.b.encode(t)
-        a_end, b_end = np.cumsum([aligner.a_bytes[i] for i in a]), np.cumsum([len(aligner.b_bytes[j]) for j in b])
+        a_end, b_end = np.cumsum(aligner.a_size[a]), np.cumsum(aligner.b_size[b])
         pairs = [(a[i], b[j]) for i in range(len(a)) for j in range(len(b)) if max(a_end[i - 1] if i else 0, b_end[j - 1] if j else 0) < min(a_end[i], b_end[j])]
         links.update(pairs)
         rows_of.append(pairs)
@@ -218,9 +218,34 @@ def test_overlapping_links(spark):
 
 
 def test_components():
-    assert components([1, 3, 5], [2, 3, 5]) == [(0, 2, 0, 2), (2, 3, 2, 3)]
-    assert components([4], [1, 2, 4]) == [(0, 1, 0, 3)]
-    assert components([], []) == []
+    def groups(a, b):
+        x, y, *_ = components(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
+        return x.tolist(), y.tolist()
+
+    assert groups([1, 3, 5], [2, 3, 5]) == ([0, 0, 1], [0, 0, 1])
+    assert groups([4], [1, 2, 4]) == ([0], [0, 0, 0])
+    assert groups([], []) == ([], [])
+    rng = np.random.default_rng(2)
+    for _ in range(50):  # groups are what lies between the ends that both sides have
+        a, b = (sorted({*rng.integers(1, 60, 20).tolist(), 60}) for _ in range(2))
+        both = sorted(set(a) & set(b))
+        assert groups(a, b) == tuple([np.searchsorted(both, e) for e in x] for x in (a, b))
+    edges = rng.integers(0, 200, (150, 2))
+    up = list(range(200))
+    for _ in range(200):
+        for u, v in edges.tolist():
+            up[u] = up[v] = min(up[u], up[v])
+    assert union_find(200, edges[:, 0], edges[:, 1]).tolist() == up
+
+
+def test_words_with_the_sign_between_words():
+    aligner = Aligner(BYTES, PIECES, "end")
+    words = [" a", " b\x01c", "\n\x01", " ", " dé", "  \x01", " 日本"]
+    whole = aligner.align(words)
+    for k, w in enumerate(words):
+        one = aligner.align([w])
+        assert (one.groups[0], one.n_a[0], one.n_b[0], one.n_groups[0], one.n_links[0]) == (whole.groups[k], whole.n_a[k], whole.n_b[k], whole.n_groups[k], whole.n_links[k])
+    assert whole.good.all() and aligner.align([]).groups == []
 
 
 def test_registered():
