@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import free_name
+
 
 def _running(keys: list[str], order_by: list[str]):
     return Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
@@ -23,9 +25,10 @@ def heading_blocks(df: DataFrame, keys: list[str], order_by: list[str], is_headi
 def islands(df: DataFrame, keys: list[str], order_by: list[str], value: Column, name: str = "island") -> DataFrame:
     """Number the runs of equal neighbouring values from 1; nulls equal each other."""
     w = Window.partitionBy(*keys).orderBy(*order_by)
-    marked = df.withColumn("_v", value)
-    new = F.row_number().over(w).eqNullSafe(F.lit(1)) | ~F.lag("_v").over(w).eqNullSafe(F.col("_v"))
-    return marked.withColumn("_new", new.cast("int")).withColumn(name, F.sum("_new").over(_running(keys, order_by)).cast("long")).drop("_v", "_new")
+    own, opens = free_name(df, "value"), free_name(df, "opens")
+    marked = df.withColumn(own, value)
+    new = F.row_number().over(w).eqNullSafe(F.lit(1)) | ~F.lag(own).over(w).eqNullSafe(F.col(own))
+    return marked.withColumn(opens, new.cast("int")).withColumn(name, F.sum(opens).over(_running(keys, order_by)).cast("long")).drop(own, opens)
 
 
 def occurrences(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
@@ -44,8 +47,9 @@ def day_gaps(df: DataFrame, keys: list[str], day: str) -> DataFrame:
 def number_steps(df: DataFrame, keys: list[str], order_by: list[str], number: str, allowed: tuple[int, ...] = (0, 1)) -> DataFrame:
     """Per key: first and last number and how many steps between neighbours are not allowed."""
     step = F.col(number) - F.lag(number).over(Window.partitionBy(*keys).orderBy(*order_by))
-    bad = F.when(F.col("_step").isNotNull() & ~F.col("_step").isin(*allowed), 1).otherwise(0)
-    return df.withColumn("_step", step).groupBy(*keys).agg(F.min(number).cast("long").alias("first_number"), F.max(number).cast("long").alias("last_number"), F.sum(bad).cast("long").alias("bad_steps"))
+    at = free_name(df, "step")
+    bad = F.when(F.col(at).isNotNull() & ~F.col(at).isin(*allowed), 1).otherwise(0)
+    return df.withColumn(at, step).groupBy(*keys).agg(F.min(number).cast("long").alias("first_number"), F.max(number).cast("long").alias("last_number"), F.sum(bad).cast("long").alias("bad_steps"))
 
 
 def first_of_duplicates(df: DataFrame, same: Column, order_by: list[str], name: str = "keeps_value") -> DataFrame:
@@ -53,36 +57,45 @@ def first_of_duplicates(df: DataFrame, same: Column, order_by: list[str], name:
 
     Rows without a value keep out of the window, so they never meet in one task.
     """
-    w = Window.partitionBy("_same")
-    marked = df.withColumn("_same", same)
-    some = marked.where("_same IS NOT NULL").withColumn("copies", F.count("*").over(w)).withColumn(name, F.row_number().over(w.orderBy(*order_by)) == 1)
-    none = marked.where("_same IS NULL").withColumn("copies", F.lit(1).cast("long")).withColumn(name, F.lit(True))
-    return some.unionByName(none).drop("_same")
+    own = free_name(df, "same")
+    w = Window.partitionBy(own)
+    marked = df.withColumn(own, same)
+    some = marked.where(F.col(own).isNotNull()).withColumn("copies", F.count("*").over(w)).withColumn(name, F.row_number().over(w.orderBy(*order_by)) == 1)
+    none = marked.where(F.col(own).isNull()).withColumn("copies", F.lit(1).cast("long")).withColumn(name, F.lit(True))
+    return some.unionByName(none).drop(own)
 
 
 def display_numbers(df: DataFrame, section: list[str], order_by: list[str], section_number: Column, number: Column, standalone: Column, name: str = "display_number") -> DataFrame:
     """A topic's number without last dots; one without is its section's if it stands alone, else the section's with a count of such topics. ``?`` for a section without number."""
     own = F.rtrim(number, F.lit("."))
     of_section = F.coalesce(F.nullif(F.rtrim(section_number, F.lit(".")), F.lit("")), F.lit("?"))
-    bare = number.isNull() | (number == "")
-    k = F.sum(F.when(F.col("_bare") & ~F.col("_alone"), 1).otherwise(0)).over(_running(section, order_by))
-    marked = df.withColumns({"_bare": bare, "_alone": standalone})
-    return marked.withColumn(name, F.when(~F.col("_bare"), own).when(F.col("_alone"), of_section).otherwise(F.concat_ws(".", of_section, k.cast("string")))).drop("_bare", "_alone")
+    bare, alone = free_name(df, "bare"), free_name(df, "alone")
+    k = F.sum(F.when(F.col(bare) & ~F.col(alone), 1).otherwise(0)).over(_running(section, order_by))
+    marked = df.withColumns({bare: number.isNull() | (number == ""), alone: standalone})
+    return marked.withColumn(name, F.when(~F.col(bare), own).when(F.col(alone), of_section).otherwise(F.concat_ws(".", of_section, k.cast("string")))).drop(bare, alone)
+
 
+def captured_after(df: DataFrame, keys: list[str], order_by: list[str], is_heading: Column, is_stop: Column, name: str = "captured", heading_name: str | None = None) -> DataFrame:
+    """Whether a row lies after a heading and before the first stop that follows one; headings are not captured, and after that stop nothing is.
 
-def captured_after(df: DataFrame, keys: list[str], order_by: list[str], is_heading: Column, is_stop: Column, name: str = "captured") -> DataFrame:
-    """Whether a row lies after a heading and before the first stop that follows one; headings are not captured, and after that stop nothing is."""
+    ``heading_name`` adds whether a row is a heading before that stop.
+    """
     w = _running(keys, order_by)
-    out = df.withColumns({"_heading": F.coalesce(is_heading, F.lit(False)), "_stop": F.coalesce(is_stop, F.lit(False))})
-    out = out.withColumn("_opened", F.max(F.col("_heading").cast("int")).over(w) == 1)
-    out = out.withColumn("_ended", F.max((F.col("_opened") & ~F.col("_heading") & F.col("_stop")).cast("int")).over(w) == 1)
-    return out.withColumn(name, F.col("_opened") & ~F.col("_ended") & ~F.col("_heading")).drop("_heading", "_stop", "_opened", "_ended")
+    head, stop, opened, ended = (free_name(df, x) for x in ("heading", "stop", "opened", "ended"))
+    out = df.withColumns({head: F.coalesce(is_heading, F.lit(False)), stop: F.coalesce(is_stop, F.lit(False))})
+    out = out.withColumn(opened, F.max(F.col(head).cast("int")).over(w) == 1)
+    out = out.withColumn(ended, F.max((F.col(opened) & ~F.col(head) & F.col(stop)).cast("int")).over(w) == 1)
+    out = out.withColumn(name, F.col(opened) & ~F.col(ended) & ~F.col(head))
+    if heading_name:
+        out = out.withColumn(heading_name, F.col(head) & ~F.col(ended))
+    return out.drop(head, stop, opened, ended)
 
 
 def marked_modes(df: DataFrame, keys: list[str], order_by: list[str], marker: Column, name: str = "mode") -> DataFrame:
     """The last marker up to each row and whether the row is one itself; rows before the first have no mode."""
-    out = df.withColumn("_marker", marker)
-    return out.withColumns({name: F.last("_marker", ignorenulls=True).over(_running(keys, order_by)), f"is_{name}_marker": F.col("_marker").isNotNull()}).drop("_marker")
+    own = free_name(df, "marker")
+    out = df.withColumn(own, marker)
+    return out.withColumns({name: F.last(own, ignorenulls=True).over(_running(keys, order_by)), f"is_{name}_marker": F.col(own).isNotNull()}).drop(own)
 
 
 def chunk_numbers(df: DataFrame, order_by: list[str], size: int, keys: list[str], name: str = "chunk") -> DataFrame:
