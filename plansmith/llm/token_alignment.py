@@ -12,6 +12,7 @@ everywhere costs a batch one row, no document's links are shuffled, and nothing
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -181,13 +182,25 @@ def _aligner(*key: str) -> Aligner:
     return _ALIGNERS[key]
 
 
-_BATCH = "batch long, n_words array<int>, words binary, times binary, n_a binary, n_b binary, n_groups binary, groups array<string>, links binary, link_ends binary"
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 up in as few bytes each as hold the largest, byte by byte and compressed."""
+    width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * w)
+    return bytes([width]) + zlib.compress(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), 1)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw[1:]), dtype=np.uint8).reshape(raw[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel().astype(np.int64)
+
+
+_PACKED = ["words", "n_a", "n_b", "n_groups", "n_links", "links", "pairs"]
+_BATCH = "batch long, n_words array<int>, groups binary, " + ", ".join(f"{c} binary" for c in _PACKED)
 
 
 def _batches(rows: DataFrame, key: tuple[str, str, str], batch_bytes: int) -> DataFrame:
     """A row for each batch: its documents' ids and words, and each distinct word's alignment and how often it is there.
 
-    ``n_words`` is a document's number of words, -1 if it has no tokens.
+    ``n_words`` is a document's number of words, none if it has no tokens; ``links`` are places among the batch's distinct ``pairs``.
     """
     schema = T.StructType([T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), *T.StructType.fromDDL(_BATCH).fields])
 
@@ -200,12 +213,12 @@ def _batches(rows: DataFrame, key: tuple[str, str, str], batch_bytes: int) -> Da
 
         def close() -> pa.RecordBatch:
             found = aligner.align(list(place))
-            n = [-1 if d is None or not found.good[d].all() else len(d) for d in docs]
-            words = np.concatenate([np.zeros(0, dtype="<u4"), *(d for d, k in zip(docs, n, strict=True) if k > 0)]).astype("<u4")
+            n = [len(d) if d is not None and found.good[d].all() else 0 for d in docs]
+            words = np.concatenate([np.zeros(0, dtype="<u4"), *(d for d, k in zip(docs, n, strict=True) if k)])
+            pairs, links = np.unique(found.links, return_inverse=True)
+            packed = (words, found.n_a, found.n_b, found.n_groups, found.n_links, links, pairs)
             columns = [pa.array([ids], pa.list_(id_type)), pa.array([made], pa.int64()), pa.array([n], pa.list_(pa.int32()))]
-            columns += [pa.array([x], pa.binary()) for x in (words.tobytes(), np.bincount(words, minlength=len(place)).astype("<i8").tobytes())]
-            columns += [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (found.n_a, found.n_b, found.n_groups)]
-            columns += [pa.array([found.groups], pa.list_(pa.string())), pa.array([found.links.astype("<i8").tobytes()], pa.binary()), pa.array([np.cumsum(found.n_links).astype("<i8").tobytes()], pa.binary())]
+            columns += [pa.array([x], pa.binary()) for x in (zlib.compress("\n".join(found.groups).encode(), 1), *map(pack, packed))]
             return pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
         for batch in batches:
@@ -233,43 +246,36 @@ def _asked(batches: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for several in rows:
             for i in range(several.num_rows):
-                batch, links, ends, times = (several.column(c)[i].as_py() for c in range(4))
-                pairs, at = np.unique(np.frombuffer(links, dtype="<i8"), return_inverse=True)
-                each = np.diff(np.frombuffer(ends, dtype="<i8"), prepend=0)
-                n = np.bincount(at, weights=np.repeat(np.frombuffer(times, dtype="<i8"), each), minlength=len(pairs)).astype(np.int64)
-                for k in range(0, len(pairs), 100_000):
-                    part = slice(k, k + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs[part]), batch)), pa.array(pairs[part]), pa.array(n[part])], ["batch", "pair", "n"])
+                batch, (links, n_links, pairs, words) = several.column(0)[i].as_py(), (unpack(several.column(c)[i].as_py()) for c in range(1, 5))
+                times = np.bincount(words, minlength=len(n_links))
+                n = np.bincount(links, weights=np.repeat(times, n_links), minlength=len(pairs)).astype(np.int64)
+                some = np.flatnonzero(n)  # words of documents without tokens count for nothing
+                for k in range(0, len(some), 100_000):
+                    part = some[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch)), pa.array(pairs[part]), pa.array(n[part])], ["batch", "pair", "n"])
 
-    return batches.select("batch", "links", "link_ends", "times").mapInArrow(run, "batch long, pair long, n long")
+    return batches.select("batch", "links", "n_links", "pairs", "words").mapInArrow(run, "batch long, pair long, n long")
 
 
-def _finish(id_type: pa.DataType, names: list[str]):
+def _finish(names: list[str]):
     def run(held: pa.Table, answers: pa.Table) -> pa.Table:
         row = {c: held.column(c)[0] for c in held.column_names}
-        ids = pa.concat_arrays([row["ids"].values]) if row["ids"].values is not None else pa.array([], id_type)
-        n_words = np.array(row["n_words"].as_py(), dtype=np.int64)
-        words = np.frombuffer(row["words"].as_py(), dtype="<u4")
-        links = np.frombuffer(row["links"].as_py(), dtype="<i8")
-        each = np.diff(np.frombuffer(row["link_ends"].as_py(), dtype="<i8"), prepend=0)
-        of = np.repeat(np.arange(len(each)), each)
-        pairs, order = np.array(answers.column("pair")), np.argsort(np.array(answers.column("pair")))
-        at = order[np.searchsorted(pairs, links, sorter=order)] if len(links) else np.zeros(0, dtype=np.int64)
-        per_word = {c: np.frombuffer(row[c].as_py(), dtype="<i4").astype(np.int64) for c in ("n_a", "n_b", "n_groups")}
-        per_word["n_links"] = each
+        x = {c: unpack(row[c].as_py()) for c in _PACKED}
+        of = np.repeat(np.arange(len(x["n_links"])), x["n_links"])
+        place = np.searchsorted(x["pairs"], np.array(answers.column("pair")))
         for name, column in (("n_best", "best"), ("count_sum", "count")):
-            total = np.zeros(len(each), dtype=np.int64)
-            np.add.at(total, of, np.array(answers.column(column)).astype(np.int64)[at])
-            per_word[name] = total
-        sizes = np.maximum(n_words, 0)
+            value = np.zeros(len(x["pairs"]), dtype=np.int64)
+            value[place] = np.array(answers.column(column))
+            x[name] = np.zeros(len(x["n_links"]), dtype=np.int64)
+            np.add.at(x[name], of, value[x["links"]])
+        sizes = np.array(row["n_words"].as_py(), dtype=np.int64)
         ends = np.cumsum(sizes)
-        columns = [ids]
+        columns = [row["ids"].values]
         for name in names[1:-1]:
-            sums = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(per_word[name][words])])
+            sums = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(x[name][x["words"]])])
             columns.append(pa.array(sums[ends] - sums[ends - sizes]))
-        groups = row["groups"].as_py()
-        texts = [";".join([groups[w] for w in words[e - n : e].tolist()]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-        columns.append(pa.array(texts, pa.string()))
+        groups = np.array(zlib.decompress(row["groups"].as_py()).decode().split("\n"), dtype=object)
+        columns.append(pa.array([";".join(groups[x["words"][e - n : e]].tolist()) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.string()))
         return pa.Table.from_arrays(columns, names)
 
     return run
@@ -303,7 +309,7 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType().add("id", docs.schema[id_col].dataType)
     for c in _ADDED[:-1]:
         schema = schema.add(c, "long")
-    finish = _finish(None, schema.fieldNames() + ["groups"])
+    finish = _finish(schema.fieldNames() + ["groups"])
     out, _ = stage(batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, schema.add("groups", "string")), "alignment")
     for p in (batches_path, asked_path, counts_path, most_path, sums_path):
         drop_path(spark, p)
