@@ -200,3 +200,37 @@ def slot_text(parts: Column, continued: Column) -> Column:
     """A slot's units as one text, with the continuation prefix where the slot goes on with the last one's unit."""
     text = F.array_join(parts, " ")
     return F.when(continued & (text != ""), F.concat(F.lit("Продолжение. "), text)).otherwise(text)
+
+
+#: A place that a shortened phrase may end after, what may follow it, abbreviations and marks that no phrase ends with, and how far past the limit a place may lie.
+PLACE, MORE_PLACES = r"\bг\.\s*[А-ЯЁA-Z][\w\-]*(?:\s+[А-ЯЁA-Z][\w\-]*)*", r"(?:\s+и\s+[А-ЯЁа-яёA-Za-z\-]+)*"
+UNFINISHED = r"(?iuU)(?:\b(?:г|ул|пр|пер|обл|р-н|респ)\.\s*|[«(\-—])$"
+SEPARATORS, LEAST_LEFT, PLACE_PAST, MORE_PAST = [";", ", ", " — ", " - "], 24, 40, 60
+
+
+def clean_phrase(x: Column) -> Column:
+    """Single spaces, no marks at the ends and no dots of omission in front."""
+    tidy = F.btrim(clean_spaces(x), F.lit(" .;:"))
+    return F.regexp_replace(F.trim(F.regexp_replace(tidy, r"^[….]+", "")), r"^:\s*", "")
+
+
+def shortened(x: Column, most: int = 220, place: str = PLACE, more: str = MORE_PLACES) -> Column:
+    """A phrase of at most about ``most`` characters, cut from its end at a safe place; the whole phrase where there is none (F16).
+
+    Places in order: after the first place name, with others joined to it, if that ends a little past the limit at most; else the last semicolon, comma, long or short dash before the limit that leaves
+    enough. No cut leaves an abbreviation, an open bracket or a dash at the end, or begins with dots.
+    """
+
+    def cut(text: Column) -> Column:
+        sound = lambda c: ~F.regexp_like(c, F.lit(UNFINISHED)) & ~F.startswith(c, F.lit("…")) & ~F.startswith(c, F.lit("..."))
+        bare = lambda c: F.btrim(c, F.lit(" .;"))
+        named, whole = (F.regexp_extract(text, f"(?suU)^(.*?{p})", 1) for p in (place, place + more))
+        near = (named != "") & (F.length(named) <= most + PLACE_PAST) & (F.length(whole) <= most + MORE_PAST) & sound(bare(whole))
+        out = F.when(F.length(text) <= most, text).when(near, bare(whole))
+        head = F.substring(text, 1, most + 1)
+        for sep in SEPARATORS:
+            left = bare(F.substr(head, F.lit(1), F.length(head) - F.length(F.substring_index(head, sep, -1)) - len(sep)))
+            out = out.when(F.contains(head, F.lit(sep)) & (F.length(left) >= LEAST_LEFT) & sound(left), left)
+        return out.otherwise(text)
+
+    return let(clean_phrase(x), cut)

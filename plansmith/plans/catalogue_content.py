@@ -16,7 +16,8 @@ from ..functions import text as tx
 from ..operators import bags
 from ..session import table
 from ..sources import uploads
-from . import clauses, outcomes, weeks
+from ..staging import new_path
+from . import clauses, outcomes, practice, snapshots, weeks
 from .catalogue import query
 
 _WORD = "[a-zà-öø-ÿ]{4,}"
@@ -393,3 +394,100 @@ def upload_purposes(spark, sf_dir):
     rows = texts.withColumn("purpose", F.explode(F.array(*[F.lit(p) for p in ("plan", "programme", "template")])))
     fault = uploads.purpose_fault(F.col("purpose"), F.col("text"), F.col("topics"), F.col("sections"), F.col("items"), F.col("topics") > 1)
     return rows.select("conv_id", "purpose", fault.alias("fault"))
+
+
+_SAFE_PLACE, _SAFE_MORE = "er\\. [A-Z][a-z]*", "(?: and [a-z]+)*"
+
+
+def _sql_bare(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^[ .;]+', ''), '[ .;]+$', '')"
+
+
+def _sql_sound(x: str) -> str:
+    return f"NOT regexp_matches(lower({x}), '((^|[^a-zа-яё0-9_à-öø-ÿ])(г|ул|пр|пер|обл|р-н|респ)\\.\\s*|[«(—-])$') AND NOT starts_with({x}, '…') AND NOT starts_with({x}, '...')"
+
+
+@query(f"""
+    WITH l AS (SELECT conv_id, turn, ln, regexp_replace(regexp_replace(trim(regexp_replace(line, '[ \\t\\r\\n\\f\\v]+', ' ', 'g')), '^[ .;:]+', ''), '[ .;:]+$', '') AS a FROM ({_LINES})),
+    t AS (SELECT conv_id, turn, ln, regexp_replace(trim(regexp_replace(a, '^[….]+', '')), '^:\\s*', '') AS x FROM l),
+    p AS (SELECT *, regexp_extract(x, '^(.*?{_SAFE_PLACE})', 1) AS named, regexp_extract(x, '^(.*?{_SAFE_PLACE}{_SAFE_MORE})', 1) AS whole, left(x, 121) AS head FROM t),
+    c AS (SELECT *, {_sql_bare("whole")} AS w, {", ".join(f"CASE WHEN contains(head, '{s}') THEN " + _sql_bare(f"left(head, length(head) - length(string_split(head, '{s}')[-1]) - {len(s)})") + f" END AS c{i}" for i, s in enumerate(tx.SEPARATORS))} FROM p)
+    SELECT conv_id, turn, CAST(ln AS INTEGER) AS ln, CASE WHEN length(x) <= 120 THEN x WHEN named <> '' AND length(named) <= 160 AND length(whole) <= 180 AND {_sql_sound("w")} THEN w
+           {" ".join(f"WHEN c{i} IS NOT NULL AND length(c{i}) >= 24 AND {_sql_sound(f'c{i}')} THEN c{i}" for i in range(len(tx.SEPARATORS)))} ELSE x END AS short FROM c
+""")
+def shortened_phrases(spark, sf_dir):
+    """Lines of at most about 120 characters, cut at a safe place (F16)."""
+    return _lines(spark, sf_dir).select("conv_id", "turn", "ln", tx.shortened(F.col("line"), 120, _SAFE_PLACE, _SAFE_MORE).alias("short"))
+
+
+_DEALT = """
+    WITH a AS (SELECT conv_id, turn, text, role, CASE WHEN turn % 5 = 0 THEN text || chr(10) || 'Практика. ' || role || '; ' || text ELSE text END AS content, CASE WHEN turn % 5 = 3 THEN 2 ELSE 0 END AS th, CASE WHEN turn % 7 = 6 THEN 0 ELSE 1 END AS pr FROM conversations),
+    o AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY conv_id, role) AS n FROM a WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn)),
+    s AS (SELECT *, CASE WHEN pr = 0 THEN '' WHEN turn % 5 = 0 THEN role || '; ' || text WHEN th = 0 THEN content ELSE '' END AS own FROM o WHERE n > 1),
+    u AS (SELECT conv_id, turn, role, k, n, list_filter(list_transform(string_split(replace(regexp_replace(own, '([.!;?])[ \\t\\r\\n\\f\\v]+', '\\1' || chr(10), 'g'), ';', chr(10)), chr(10)), lambda p: regexp_replace(regexp_replace(trim(regexp_replace(p, '[ \\t\\r\\n\\f\\v]+', ' ', 'g')), '^[ .;:]+', ''), '[ .;:]+$', '')), lambda p: p <> '') AS units FROM s),
+    x AS (SELECT *, len(units) AS c, unnest(range(0, n)) AS slot FROM u),
+    d AS (SELECT conv_id, turn, role, k, n, slot, CASE WHEN c = 0 THEN [] WHEN c >= n THEN units[slot * c // n + 1:(slot + 1) * c // n]
+               ELSE [units[CASE WHEN slot < (c - n % c) * (n // c) THEN slot // (n // c) ELSE (c - n % c) + (slot - (c - n % c) * (n // c)) // (n // c + 1) END + 1]] END AS part FROM x),
+    e AS (SELECT *, lag(part) OVER (PARTITION BY conv_id, turn, role ORDER BY slot) AS before FROM d),
+    b AS (SELECT *, array_to_string(list_filter(list_transform(part, lambda q: regexp_replace(q, '[ .]+$', '')), lambda q: q <> ''), '. ') AS body FROM e WHERE slot = k)
+    SELECT conv_id, role, turn, CAST(k AS BIGINT) AS occurrence, n AS appearances, CASE WHEN k > 0 AND part = before AND body <> '' THEN 'Продолжение. ' || body ELSE body END AS practice FROM b
+"""
+
+
+def _appearances(spark, sf_dir):
+    """Turns as the weeks in which a role, the topic, comes up."""
+    turn, text = F.col("turn"), F.col("text")
+    content = F.when(turn % 5 == 0, F.concat(text, F.lit("\nПрактика. "), "role", F.lit("; "), text)).otherwise(text)
+    hours = {"theory_hours": F.when(turn % 5 == 3, 2).otherwise(0), "practice_hours": F.when(turn % 7 == 6, 0).otherwise(1)}
+    return table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", content.alias("content"), *[c.alias(n) for n, c in hours.items()], F.col("role").alias("topic_title"))
+
+
+@query(_DEALT)
+def dealt_practice_units(spark, sf_dir):
+    """Practice units of topics that come up in several weeks, dealt to these."""
+    return practice.dealt_practice(_appearances(spark, sf_dir), ["conv_id", "role"], "turn").where("appearances > 1")
+
+
+@query("""
+    WITH a AS (SELECT conv_id, turn, role, text, CASE WHEN turn % 3 = 0 THEN role || CASE WHEN turn % 2 = 0 THEN ' Практика. ' ELSE '. Практика. ' END || string_split(text, chr(10))[1] WHEN turn % 3 = 1 THEN 'x' || chr(10) || 'Практические занятия. ' || role || '. y' ELSE 'Изучение леса. ' || role || '. Обход!' END AS content, turn % 4 AS h FROM conversations),
+    s AS (SELECT *, CASE WHEN turn % 3 = 0 THEN list_filter(regexp_split_to_array(regexp_replace(trim(regexp_replace(string_split(text, chr(10))[1], '[ \\t\\r\\n\\f\\v]+', ' ', 'g')), '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)), lambda p: p <> '') END AS sents FROM a),
+    p AS (SELECT *, CASE WHEN turn % 3 = 0 THEN array_to_string(list_filter(list_transform(sents, lambda p: regexp_replace(trim(p), '\\.+$', '')), lambda p: p <> ''), '. ') WHEN turn % 3 = 1 THEN role || '. y' ELSE 'Изучение леса' END AS summary FROM s)
+    SELECT conv_id, turn, CASE WHEN h = 0 THEN '' WHEN turn % 3 = 0 THEN '1.2. assistant' || CASE WHEN contains('1.2. assistant', lower(CASE WHEN turn % 2 = 0 THEN role ELSE role || '.' END)) THEN '' ELSE '. ' || CASE WHEN turn % 2 = 0 THEN role ELSE role || '.' END END || ' (' || h || ')' ELSE '1.2. assistant (' || h || ')' END AS theory,
+           CASE WHEN h = 0 THEN '' WHEN turn % 5 = 4 THEN 'выбор (' || h || ')' WHEN summary = '' THEN '1.2. assistant (' || h || ')' WHEN turn % 3 = 0 AND NOT contains(lower(summary), 'assistant') THEN '1.2. assistant. ' || summary || ' (' || h || ')' ELSE summary || ' (' || h || ')' END AS practice FROM p
+""")
+def calendar_cells(spark, sf_dir):
+    """The theory and practice cells of a week."""
+    turn, role = F.col("turn"), F.col("role")
+    first = F.element_at(F.split("text", "\n"), 1)
+    content = F.when(turn % 3 == 0, F.concat(role, F.when(turn % 2 == 0, " Практика. ").otherwise(". Практика. "), first)).when(turn % 3 == 1, F.concat(F.lit("x\nПрактические занятия. "), role, F.lit(". y"))).otherwise(F.concat(F.lit("Изучение леса. "), role, F.lit(". Обход!")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", content.alias("content"), (turn % 4).alias("h"), F.when(turn % 5 == 4, "выбор .").alias("selected"))
+    number, title = F.lit("1.2"), F.lit("assistant")
+    return rows.select("conv_id", "turn", practice.theory_cell(number, title, F.col("content"), F.col("h")).alias("theory"), practice.practice_cell(number, title, F.col("content"), F.col("h"), F.col("selected")).alias("practice"))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, CAST(sum(t) OVER (PARTITION BY l_orderkey, l_returnflag) AS BIGINT) AS topic_theory, CAST(sum(p) OVER (PARTITION BY l_orderkey, l_returnflag) AS BIGINT) AS topic_practice
+    FROM (SELECT *, CAST(l_quantity % 3 AS BIGINT) AS t, CAST(l_quantity % 5 AS BIGINT) AS p FROM lineitem)
+""")
+def topic_hour_totals(spark, sf_dir):
+    """Hours of a topic over its scope beside each of its parts (A5)."""
+    parts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", *[(F.col("l_quantity") % m).cast("long").alias(f"{n}_hours") for n, m in (("theory", 3), ("practice", 5))])
+    return practice.topic_hours(parts, ["l_orderkey"], ["l_returnflag"]).drop("theory_hours", "practice_hours")
+
+
+@query("""
+    WITH a AS (SELECT o_custkey, o_orderkey, CASE WHEN o_custkey % 10 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders WHERE NOT (o_custkey % 10 = 4))
+    SELECT o_custkey, CASE WHEN o_custkey % 10 = 3 THEN 2 ELSE 1 END AS made_in, count(*) AS n, CAST(sum(CAST(price AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM a GROUP BY o_custkey
+""")
+def snapshot_refresh(spark, sf_dir):
+    """Totals kept by the digest of each customer's orders; a second run makes those of changed customers alone anew, and drops those that are gone."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+
+    def totals(run):
+        return lambda rows: rows.groupBy("o_custkey").agg(F.lit(run).alias("made_in"), F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+
+    path = new_path(spark, "snapshot")
+    snapshots.refresh(orders, "o_custkey", totals(1), path, 8)
+    k = F.col("o_custkey") % 10
+    later = orders.where(k != 4).withColumn("o_totalprice", F.when(k == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return snapshots.refresh(later, "o_custkey", totals(2), path, 8)
