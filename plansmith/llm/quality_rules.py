@@ -9,6 +9,7 @@ the tokens of words it has met (a bounded cache) and asks the vocabularies only
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -104,22 +105,54 @@ def repeated_words(hashes: np.ndarray, window: int = WINDOW) -> int:
     return int((np.cumsum(ends)[:-1] > 0).sum())
 
 
+#: A character that stands between words where many are encoded at once, and the pattern of the second vocabulary with it as a piece of its own.
+_BETWEEN, _JOINED = "\x01", 2000
+_PATTERN = r"\x01|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+(?![^\s\x01])|\s+"
+
+
 class Fertility:
-    """Token ids of words under a vocabulary with byte fallback, and numbers of tokens under another."""
+    """Token ids of words under a sentencepiece vocabulary with byte fallback, and numbers of tokens under a byte-level one, given as ranks."""
 
     def __init__(self, path: str, other: str):
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
         self.sp = SentencePieceProcessor(model_file=path)
-        self.other = Tokenizer.from_file(other)
-        self.other.no_truncation()
-        self.other.no_padding()
+        with open(other, "rb") as f:
+            ranks = {base64.b64decode(k): int(n) for k, n in map(bytes.split, f)}
+        self.other = tiktoken.Encoding("second", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        own = _PATTERN.removeprefix(r"\x01|").replace(r"(?![^\s\x01])", r"(?!\S)").replace(r"\x01", "")
+        self.alone = tiktoken.Encoding("own", pat_str=own, mergeable_ranks=ranks, special_tokens={})
+        pieces = [self.sp.id_to_piece(i) for i in range(self.sp.vocab_size())]
+        if any(_BETWEEN in p and p != _BETWEEN for p in pieces) or any(b"\x01" in k and k != b"\x01" for k in ranks):
+            raise ValueError("a vocabulary joins the control character between words to others")
+        self.between, self.other_between = self.sp.encode("a" + _BETWEEN)[-1], ranks[b"\x01"]
         self.lengths: dict[bytes, int] = {}
         self.is_byte = np.array([self.sp.IsByte(i) for i in range(self.sp.vocab_size())])
         self.kind = "<u2" if len(self.is_byte) <= 1 << 16 else "<u4"
         self.words: dict[bytes, bytes] = {}
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Ask both libraries for words, many in one text; a word with the control character is asked for alone."""
+        plain = [w.decode() for w in new]
+        odd = [i for i, w in enumerate(plain) if _BETWEEN in w]
+        for i in odd:
+            self.words[new[i]] = np.array(self.sp.encode(plain[i], num_threads=1), dtype=self.kind).tobytes()
+            self.lengths[new[i]] = len(self.alone.encode_ordinary(plain[i]))
+        left = [i for i in range(len(new)) if _BETWEEN not in plain[i]] if odd else range(len(new))
+        for a in range(0, len(left), _JOINED):
+            some = left[a : a + _JOINED]
+            sign = _BETWEEN + " "
+            ids = np.array(self.sp.encode(sign + sign.join(plain[i] for i in some), num_threads=1)[1:], dtype=self.kind)
+            at = np.flatnonzero(ids == self.between)
+            ends = np.append(at[1:], len(ids)) * ids.itemsize
+            own = np.array(self.other.encode_ordinary(_BETWEEN + _BETWEEN.join(plain[i] for i in some)))
+            counts = np.diff(np.append(np.flatnonzero(own == self.other_between), len(own))) - 1
+            raw = ids.tobytes()
+            for i, start, end, n in zip(some, ((at + 1) * ids.itemsize).tolist(), ends.tolist(), counts.tolist(), strict=True):
+                self.words[new[i]] = raw[start:end]
+                self.lengths[new[i]] = n
+
     def ids(self, words: list[bytes]) -> np.ndarray:
         if len(words) > _AT_ONCE:
             return np.concatenate([self.ids(words[i : i + _AT_ONCE]) for i in range(0, len(words), _AT_ONCE)])
@@ -130,10 +163,7 @@ class Fertility:
             if self.words and len(self.words) + len(new) > MAX_CACHED:
                 self.words, self.lengths = {}, {}
                 return self.ids(words)  # those found before are gone too
-            plain = [w.decode() for w in new]
-            for w, ids, own in zip(new, self.sp.encode(plain, num_threads=1), self.other.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(ids, dtype=self.kind).tobytes()
-                self.lengths[w] = len(own.ids)
+            self._learn(new)
             got = [self.words.get(w) if x is None else x for w, x in zip(words, got, strict=True)]
         self.n_other += sum(map(self.lengths.__getitem__, words))
         return np.frombuffer(b"".join(got), dtype=self.kind)
@@ -198,7 +228,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str | None
     is judged by its text's script. Repeated rows each get a row, an empty table gives none, and other columns
     pass through; columns named like the added ones are an error. One pass without a shuffle.
     """
-    path, other = vocabulary or vocabulary_path("piece_bpe_32k.model"), other_vocabulary or vocabulary_path("byte_bpe_50k.json")
+    path, other = vocabulary or vocabulary_path("piece_bpe_32k.model"), other_vocabulary or vocabulary_path("byte_bpe_50k.tiktoken")
     table = bands or BANDS
     keep = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     names = [f.name for f in keep]

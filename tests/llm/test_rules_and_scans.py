@@ -56,6 +56,7 @@ def test_fertility_against_the_libraries(spark):
     from tokenizers import Tokenizer
 
     pieces, other = SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model")), Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    other.encode_special_tokens = True  # their strings are plain text here
     got = {r["doc_id"]: r for r in quality_rules(frame(spark)).where("doc_id IS NOT NULL").collect()}
     for i, text, *_ in documents():
         if i is None:
@@ -76,11 +77,32 @@ def test_fertility_against_the_libraries(spark):
         assert math.isclose(r["token_entropy"], bits / math.log2(min(len(ids), 4096)) if len(ids) > 1 else 0.0, abs_tol=1e-12)
 
 
+def test_words_learned_together_are_as_alone():
+    """Many words in one call of each library, with odd ones among them."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    from plansmith.llm import quality_rules as q
+
+    pieces, other = SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model")), Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(5)
+    chars = [*"abcXYZ'st.,!-|1290", "é", "ß", "日", "\u00a0", "\u3000", "\x01", "\x00", "🎉", "▁"]
+    words = ["'sabc", "don't", "'", "\x01", "a\x01b", "\u00a0\u00a0", "x\u3000\u3000", "<|endoftext|>".replace("|", "!")]
+    words += ["".join(rng.choice(chars, rng.integers(1, 12))) for _ in range(3000)]
+    raw = [w.encode() for w in dict.fromkeys(words)]
+    f = q.Fertility(vocabulary_path("piece_bpe_32k.model"), vocabulary_path("byte_bpe_50k.tiktoken"))
+    f.n_other = 0
+    f.ids(raw)
+    for w in raw:
+        assert np.frombuffer(f.words[w], f.kind).tolist() == pieces.encode(w.decode()), w
+        assert f.lengths[w] == len(other.encode(w.decode(), add_special_tokens=False).ids), w
+
+
 def test_fertility_with_a_full_cache(monkeypatch):
     """Emptying the cache of words changes no measure."""
     from plansmith.llm import quality_rules as q
 
-    paths = vocabulary_path("piece_bpe_32k.model"), vocabulary_path("byte_bpe_50k.json")
+    paths = vocabulary_path("piece_bpe_32k.model"), vocabulary_path("byte_bpe_50k.tiktoken")
     texts = [[w.encode() for w in f"again and again word{i} other{i} and some{i}".split()] for i in range(20)]
     whole = q.Fertility(*paths)
     want = [whole.measure(t, 40) for t in texts]
