@@ -208,11 +208,13 @@ def fuzzy_match_topband(spark, sf_dir):
 
 
 @query("""
-    SELECT doc_id, trim(regexp_replace(replace(lower(string_split(text, chr(10))[1]), 'ё', 'е'), '[^a-zа-я0-9]+', ' ', 'g')) AS title_norm FROM documents
+    SELECT doc_id, CAST(line AS INTEGER) AS line, trim(regexp_replace(replace(lower(x), 'ё', 'е'), '[^a-zа-я0-9]+', ' ', 'g')) AS title_norm
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)
 """)
 def title_normalise(spark, sf_dir):
-    """Normalised first lines."""
-    return table(spark, sf_dir, "documents").select("doc_id", tx.normalise_title(F.element_at(F.split("text", "\n"), 1)).alias("title_norm"))
+    """Every line of each document normalised."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    return rows.select("doc_id", "line", tx.normalise_title(F.col("x")).alias("title_norm"))
 
 
 @query("""
