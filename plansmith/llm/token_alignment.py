@@ -298,19 +298,19 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     key = (a_vocabulary or vocabulary_path("byte_bpe_50k.json"), b_model or vocabulary_path("piece_bpe_32k.model"), links)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    batches, batches_path = stage(_batches(rows, key, batch_bytes), "aligned")
-    asked, asked_path = stage(_asked(batches), "pairs")
+    batches, _ = stage(_batches(rows, key, batch_bytes), "aligned")
+    asked, _ = stage(_asked(batches), "pairs")
     counts = asked.groupBy("pair").agg(F.sum("n").alias("count"))
     counts, counts_path = stage(counts.withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << _SHIFT) - 1))), "counts")
     most, most_path = stage(counts.groupBy("b").agg(F.max("count").alias("most")), "most")
     sums = counts.join(small_side(most, 24), "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
-    sums, sums_path = stage(sums, "sums")
+    sums, _ = stage(sums, "sums")
     answers = asked.select("batch", "pair").join(small_side(sums, 24), "pair")
     schema = T.StructType().add("id", docs.schema[id_col].dataType)
     for c in _ADDED[:-1]:
         schema = schema.add(c, "long")
     finish = _finish(schema.fieldNames() + ["groups"])
-    out, _ = stage(batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, schema.add("groups", "string")), "alignment")
-    for p in (batches_path, asked_path, counts_path, most_path, sums_path):
+    out = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, schema.add("groups", "string"))
+    for p in (counts_path, most_path):
         drop_path(spark, p)
     return out.select(F.col("id").alias(id_col), *_ADDED)
