@@ -76,6 +76,7 @@ TEMPLATES: dict[str, list[str]] = {
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
         _BSD + _NEITHER + _WARRANTY,
+        _BSD + "3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission. " + _WARRANTY,
     ],
     "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", _BSD + _WARRANTY],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
@@ -103,6 +104,8 @@ DISTINGUISHING: dict[str, list[str]] = {
     "CC-BY-SA-4.0": ["cc by sa 4 0", "commons attribution sharealike 4 0"],
     "CC-BY-NC-4.0": ["cc by nc 4 0", "commons attribution noncommercial 4 0"],
 }
+#: Places of a license's whole text where nothing of its own may stand but a list mark: another clause there makes it another license.
+NOTHING_BETWEEN: dict[str, list[str]] = {"BSD-2-Clause": ["distribution this software"]}
 MIN_COVERAGE = 0.8
 SPREAD = 2
 _WORD = re.compile(r"[a-z0-9]+")
@@ -117,11 +120,12 @@ class Template:
     counts: Counter
     need: int
     must: tuple[tuple[int, int], ...] = ()
+    tight: tuple[int, ...] = ()
 
     def named(self, pairs: list[tuple[int, int]]) -> bool:
-        """Whether the distinguishing words are matched, each run of them without a word between."""
+        """Whether the distinguishing words are matched, each run of them without a word between, and no clause stands where none may: a place is followed by the next after one word, a list mark, at most."""
         at = {y: x for x, y in pairs}
-        return all(a in at and all(at.get(y) == at[a] + y - a for y in range(a, b)) for a, b in self.must)
+        return all(a in at and all(at.get(y) == at[a] + y - a for y in range(a, b)) for a, b in self.must) and all(y in at and y + 1 in at and at[y + 1] - at[y] <= 2 for y in self.tight)
 
 
 def make_templates(notices: dict[str, list[str]] | None = None, min_coverage: float = MIN_COVERAGE) -> list[Template]:
@@ -133,7 +137,9 @@ def make_templates(notices: dict[str, list[str]] | None = None, min_coverage: fl
                 need = next(k for k in range(1, len(words) + 1) if k / len(words) >= min_coverage)
                 runs = [tuple(r.split()) for r in DISTINGUISHING.get(name, [])]
                 firsts = [next(((i, i + len(r)) for i in range(len(words)) if words[i : i + len(r)] == r), None) for r in runs]
-                out.append(Template(name, words, Counter(words), need, tuple(f for f in firsts if f)))
+                breaks = [r.split() for r in NOTHING_BETWEEN.get(name, [])]
+                tight = [i for r in breaks for i in range(len(words)) if list(words[i : i + len(r)]) == r]
+                out.append(Template(name, words, Counter(words), need, tuple(f for f in firsts if f), tuple(tight)))
     return out
 
 
