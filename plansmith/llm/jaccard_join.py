@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ SKETCH_BITS = 20
 TILE_ROWS = 4096
 FOLLOWERS = 512
 FAMILY_ROWS = 2048
+#: Nor more than about so many bytes of hashes in a block, so that a tile of two blocks of long texts fits in a worker.
+FAMILY_BYTES = 32 << 20
 TURNS, MORE_TURNS = 2, 6
 ROW_BITS = 2048
 WIDE = 4
@@ -239,8 +241,12 @@ def _strays(families: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _within_families(strays: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes of one family and different groups. Strays and others are dealt to blocks; each pair of blocks with strays is a tile."""
-    blocks = lambda stray: F.ceil(F.count_if(F.col("stray") == stray) / F.lit(FAMILY_ROWS)).cast("int")
+    """Links (a, b) between classes of one family and different groups. Strays (with ``n``, the size of the set) and others are dealt to blocks by number and bytes; each pair of blocks with strays is a tile."""
+
+    def blocks(stray: bool) -> Column:
+        mine = F.col("stray") == stray
+        return F.ceil(F.greatest(F.count_if(mine) / F.lit(FAMILY_ROWS), F.coalesce(F.sum(F.when(mine, F.col("n") * 8)), F.lit(0)) / F.lit(FAMILY_BYTES))).cast("int")
+
     sizes, _ = stage(strays.groupBy("family").agg(blocks(True).alias("stray_blocks"), blocks(False).alias("other_blocks")), "sizes")
     dealt = strays.join(small_side(sizes, 24), "family")
     own = F.when(F.col("stray"), F.pmod(F.xxhash64("cls"), F.col("stray_blocks"))).otherwise(F.col("stray_blocks") + F.pmod(F.xxhash64("cls"), F.col("other_blocks"))).cast("int")
@@ -377,7 +383,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     families, families_path = stage(families_of(alike), "families")
     sets = sets_of(families.select("cls"))
     led, led_path = stage(_verify(alike.distinct(), sets, percent), "links")
-    strays = kept(_strays(families, kept(connected_components(led), "groups")), "strays")
+    strays = kept(_strays(families, kept(connected_components(led), "groups")).join(known.select("cls", "n"), "cls"), "strays")
     links, links_path = stage(_within_families(strays, sets, percent), "links")
     links = links.unionByName(led)
     drop_kept()

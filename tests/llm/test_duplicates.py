@@ -83,6 +83,7 @@ def test_jaccard_groups(spark, monkeypatch, tile):
     monkeypatch.setattr(jaccard_join, "TILE_ROWS", tile)
     monkeypatch.setattr(jaccard_join, "FOLLOWERS", tile)
     monkeypatch.setattr(jaccard_join, "FAMILY_ROWS", tile)
+    monkeypatch.setattr(jaccard_join, "FAMILY_BYTES", 32 << 20 if tile == 4096 else 1000)  # a set of 56 shingles has 448 bytes
     rows = documents() + [(1000 + i, t, "en", "s", 1, "e") for i, t in enumerate(chain(25))]
     rng = np.random.default_rng(4)
     base = [f"b{i}" for i in range(60)]
