@@ -36,6 +36,25 @@ def compared(ours: DataFrame, theirs: DataFrame, keys: list[str], values: list[s
     return both.select(*keys, side.alias("side"), (F.col("_ours").isNotNull() & F.col("_ours").eqNullSafe(F.col("_theirs"))).alias("equal"))
 
 
+def matched_rows(ours: DataFrame, theirs: DataFrame, keys: list[str], message: str = "rows do not match") -> DataFrame:
+    """Rows of both sides side by side, where each key must stand once on either side (J8): keys, our columns, and theirs that ours lack.
+
+    A key that a side lacks, or has twice, fails the job with ``message`` and the key; the check is part of the one join, so no second pass counts rows.
+    """
+    others = [c for c in theirs.columns if c not in ours.columns]
+    sides = [df.groupBy(*keys).agg(F.first(F.struct(*[c for c in cols])).alias(name), F.count("*").alias(f"{name}_n")) for df, cols, name in ((ours, ours.columns, "_ours"), (theirs, theirs.columns, "_theirs"))]
+    both = sides[0].join(sides[1], keys, "full")
+    one = (F.coalesce("_ours_n", F.lit(0)) == 1) & (F.coalesce("_theirs_n", F.lit(0)) == 1)
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    checked = F.when(one, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{message}: "), key)).cast("boolean"))
+    return both.where(checked).select(*[F.col(f"_ours.`{c}`").alias(c) for c in ours.columns], *[F.col(f"_theirs.`{c}`").alias(c) for c in others])
+
+
+def zipped(first: Column, second: Column) -> Column:
+    """Two lists of a row as one of pairs (a, b), place by place; the shorter goes on with nulls."""
+    return F.transform(F.arrays_zip(first.alias("a"), second.alias("b")), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
+
+
 def shared_context(df: DataFrame, keys: list[str], context: list[str]) -> DataFrame:
     """Per key whether all its rows share one context; nulls are a value."""
     return df.groupBy(*keys).agg((F.countDistinct(F.to_json(F.struct(*context), {"ignoreNullFields": "false"})) == 1).alias("shared"))

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..operators import rounds
 from ..session import table
-from ..sources import programme
-from . import audit, schedule
+from ..sources import programme, uploads
+from . import audit, clauses, registry, schedule
 from .catalogue import _GRID, query
 
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
@@ -158,3 +159,43 @@ def programme_scan(spark, sf_dir):
     paragraphs = rows.select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 100_000 + F.col("ln")).alias("pos"), text.alias("text"), F.lit(False).alias("is_bold"), F.lit(None).cast("string").alias("alignment"))
     out = programme.programmes(paragraphs)
     return out.select("doc_id", "goal", "duration_years", *[F.array_join(c, "|").alias(n) for c, n in (("tasks", "tasks"), ("knowledge_outcomes", "knowledge"), ("skill_outcomes", "skills"))])
+
+
+@query("""
+    SELECT o_orderkey, o_custkey, n_lines, CAST(total AS DOUBLE) AS total FROM orders JOIN (SELECT l_orderkey, count(*) AS n_lines, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS total FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+""")
+def matched_orders(spark, sf_dir):
+    """Orders with their lines' totals, each of which must find the other."""
+    totals = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("total"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(totals.select("o_orderkey"), "o_orderkey", "left_semi")
+    return rounds.matched_rows(orders, totals, ["o_orderkey"])
+
+
+@query("""
+    WITH d AS (SELECT l_orderkey AS number, CASE WHEN l_partkey % 40 = 0 THEN NULL ELSE CAST(l_linenumber AS INTEGER) END AS version, CAST(l_shipdate AS DATE) AS effective_from FROM lineitem),
+    w AS (SELECT *, count(*) OVER (PARTITION BY number, version) AS n, max(effective_from) OVER (PARTITION BY number ORDER BY version RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM d)
+    SELECT number, version, 'no_version' AS rule FROM w WHERE version IS NULL UNION ALL SELECT number, version, 'repeated_version' FROM w WHERE version IS NOT NULL AND n > 1 UNION ALL SELECT number, version, 'order' FROM w WHERE version IS NOT NULL AND effective_from < latest
+""")
+def version_history(spark, sf_dir):
+    """Orders as documents with lines as versions: repeated versions and such as are in force before a lower one."""
+    version = F.when(F.col("l_partkey") % 40 != 0, F.col("l_linenumber").cast("int"))
+    return registry.history_faults(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("number"), version.alias("version"), F.to_date("l_shipdate").alias("effective_from")))
+
+
+@query("""
+    SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS i, a[i] AS word, b[i] AS line, CASE lower(a[i]) WHEN 'user' THEN 'asks' WHEN 'assistant' THEN 'answers' END AS verb
+    FROM (SELECT conv_id, turn, [role, 'x', upper(role)] AS a, string_split(text, chr(10)) AS b, unnest(range(1, greatest(3, len(string_split(text, chr(10)))) + 1)) AS i FROM conversations)
+""")
+def zipped_lookups(spark, sf_dir):
+    """Two lists of a row put side by side, and words looked up in a small table."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(rounds.zipped(F.array("role", F.lit("x"), F.upper("role")), F.split("text", "\n"))).alias("i", "p"))
+    return rows.select("conv_id", "turn", "i", F.col("p.a").alias("word"), F.col("p.b").alias("line"), clauses.looked_up(F.col("p.a"), {"user": "asks", "assistant": "answers"}).alias("verb"))
+
+
+@query("""
+    SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'docx' WHEN page_id % 4 = 1 THEN 'doc' END AS reader FROM pages
+""")
+def programme_readers(spark, sf_dir):
+    """Which reader each file needs by its name."""
+    name = F.concat("url", F.get(F.array(*map(F.lit, (".DOCX", ".doc", ".pdf", ".docx.txt"))), (F.col("page_id") % 4).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", uploads.programme_reader(name).alias("reader"))

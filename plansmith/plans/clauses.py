@@ -252,3 +252,20 @@ def dependent_catalogue(clause: Column, rules: list[ClassRule] | None = None) ->
     acts = lambda x: action_class(x, F.lit(False), rules) >= 2
     parts = F.filter(F.transform(F.split(clause, r",\s+"), F.trim), lambda p: p != "")
     return ~acts(clause) & (F.regexp_like(clause, F.lit(r'[«»"„“]')) | ((F.size(parts) >= 2) & ~F.exists(parts, acts)))
+
+
+#: Nouns of actions and the finite verbs that they become.
+VERB_OF_NOUN = {
+    "анализ": "анализирует", "выбор": "выбирает", "выполнение": "выполняет", "знакомство": "знакомится", "изготовление": "изготавливает", "измерение": "измеряет", "изучение": "изучает", "конструирование": "конструирует",
+    "наблюдение": "наблюдает", "оказание": "оказывает", "определение": "определяет", "организация": "организует", "ориентирование": "ориентирует", "отработка": "отрабатывает", "подбор": "подбирает", "подготовка": "подготавливает",
+    "подгонка": "подгоняет", "посещение": "посещает", "постановка": "ставит", "построение": "строит", "приготовление": "готовит", "применение": "применяет", "проверка": "проверяет", "проведение": "проводит",
+    "развертывание": "развертывает", "разжигание": "разжигает", "разработка": "разрабатывает", "разучивание": "разучивает", "расчет": "рассчитывает", "расчёт": "рассчитывает", "решение": "решает", "рисование": "рисует",
+    "свертывание": "свертывает", "смешивание": "смешивает", "составление": "составляет", "укладка": "укладывает", "упаковка": "упаковывает", "уход": "ухаживает", "участие": "участвует", "отыскание": "находит",
+    "фасовка": "фасует", "чтение": "читает", "закупка": "закупает", "ремонт": "ремонтирует", "ведение": "ведёт", "выступление": "выступает", "формирование": "формирует", "оценка": "оценивает", "отбор": "отбирает",
+    "заслушивание": "заслушивает",
+}
+
+
+def looked_up(x: Column, table: dict[str, str]) -> Column:
+    """The entry of a small fixed table for a word, whatever the case; null without one (J15). The table is part of the plan, so nothing is joined."""
+    return F.create_map(*[F.lit(v) for pair in table.items() for v in pair])[F.lower(x)]

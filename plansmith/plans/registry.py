@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -82,3 +82,16 @@ def registry_faults(documents: DataFrame) -> DataFrame:
 def latest_version(documents: DataFrame) -> DataFrame:
     """The documents of the highest version."""
     return documents.join(F.broadcast(documents.agg(F.max("version").alias("version"))), "version")  # one row
+
+
+def history_faults(documents: DataFrame, name: str = "number", version: str = "version", since: str = "effective_from") -> DataFrame:
+    """What is wrong with the history of each document, a row for each row and rule (P34): document, version, ``rule``.
+
+    A version must be given once ('repeated_version'), and a higher version must not be in force before a lower one ('order', at the higher one). Null versions are faults ('no_version'); null dates are
+    in no order. One window a document.
+    """
+    of = Window.partitionBy(name).orderBy(version)
+    latest = F.max(F.when(F.col(version).isNotNull(), F.col(since))).over(of.rangeBetween(Window.unboundedPreceding, -1))  # of all lower versions
+    rules = {"no_version": F.col(version).isNull(), "repeated_version": F.col(version).isNotNull() & (F.count("*").over(Window.partitionBy(name, version)) > 1), "order": F.col(version).isNotNull() & (F.col(since) < latest)}
+    found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
+    return documents.withColumn("_found", found).select(name, version, F.explode("_found").alias("rule"))

@@ -130,6 +130,11 @@ def calendar_rows(parts: DataFrame, workload: DataFrame) -> DataFrame:
     return rows.select("doc_id", "week", "date_range", F.col("month_label").alias("month"), first["section"].alias("section"), first["number"].alias("topic_number"), first["title"].alias("topic_title"), "theory_hours", "practice_hours", (F.col("theory_hours") + F.col("practice_hours")).alias("total_hours"), first["match_status"].alias("match_status"), first["program_section"].alias("program_section"), first["program_topic"].alias("program_topic"), content.alias("program_content_full"), tx.preview(content).alias("program_content_preview"), F.array_distinct(F.flatten(F.transform("parts", lambda p: p["warnings"]))).alias("warnings"), "parts")
 
 
+def ordered_calendar(rows: DataFrame) -> DataFrame:
+    """Calendar rows in the order of plans and weeks, for reading out (O8): a range sort, no single task."""
+    return rows.sort("doc_id", "week")
+
+
 def write_snapshot(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Publish calendar rows: nested as Parquet or JSON, or flat as CSV."""
     flat = rows.withColumn("warnings", F.array_join("warnings", "; ")).drop("parts") if fmt == "csv" else rows

@@ -102,6 +102,12 @@ def purpose_fault(purpose: Column, text: Column, n_topics: Column, n_sections: C
     return F.when(F.coalesce(looks_normative(text), F.lit(False)), "normative").when(form & (purpose != "template"), "calendar").when(~serves, "content")
 
 
+def programme_reader(name: Column) -> Column:
+    """Which reader a programme's file needs by the end of its name, whatever the case (S11): 'docx', 'doc', or null for any other."""
+    low = F.lower(name)
+    return F.when(F.endswith(low, F.lit(".docx")), "docx").when(F.endswith(low, F.lit(".doc")), "doc")
+
+
 def looks_normative(text: Column) -> Column:
     """Whether a text has a phrase of normative documents, whatever the case."""
     low = F.lower(text)
