@@ -188,10 +188,8 @@ def enrich_chosen(units: DataFrame, keys: list[str], pos: str, clause: str, chos
     carry the chosen clause to the others, so no clause is joined with another.
     """
     lesson = Window.partitionBy(*keys)
-    ordered = lesson.orderBy(pos)
-    frame = ordered.rowsBetween(-2, 1)  # the chosen one lies at most two before or one after
-    rows = units.select(*keys, F.col(pos).alias("_pos"), F.trim(clause).alias("_clause"), F.coalesce(F.col(chosen), F.lit(False)).alias("_marked"), F.row_number().over(ordered).alias("_at"))
-    ordered, frame = lesson.orderBy("_at"), lesson.orderBy("_at").rowsBetween(-2, 1)
+    frame = lesson.orderBy("_at").rowsBetween(-2, 1)  # the chosen one lies at most two before or one after
+    rows = units.select(*keys, F.trim(clause).alias("_clause"), F.coalesce(F.col(chosen), F.lit(False)).alias("_marked"), F.row_number().over(lesson.orderBy(pos)).alias("_at"))
     rows = rows.withColumn("_first", F.min(F.when(F.col("_marked"), F.col("_at"))).over(lesson)).where("_first IS NOT NULL")
     rows = rows.withColumn("_chosen", F.col("_at") == F.col("_first"))
     rows = rows.withColumns({"_selected": F.max(F.when(F.col("_chosen"), F.col("_clause"))).over(lesson), "_near": F.max("_chosen").over(frame)})
