@@ -285,6 +285,27 @@ def test_line_dedup_rounds_and_vast_lines(spark, monkeypatch):
     assert dedup_lines(clash, id_col="id").select("id", "of", "gone", "n_lines").first()[:] == (1, 2, "x", 1)
 
 
+def test_line_dedup_long_lines_by_letters(spark):
+    """Lines of some 5,200 letters count as those of some 3,200 do: many words with one letter changed are near, few words that hold most letters are not."""
+    rng = np.random.default_rng(17)
+    letters = list("abcdefghiklmnoprstu")
+    word = lambda n: "".join(rng.choice(letters, n))
+    rows, want = [], {}
+    for n in (400, 650):  # a letter of every fourth word, from the middle on: every block has voters that stay
+        words = [word(7) for _ in range(n)]
+        other = [w[:3] + "z" + w[4:] if i % 4 == 0 else w for i, w in enumerate(words)]
+        want[len(rows) + 1] = 1
+        rows += [" ".join(words), " ".join(other)]
+    for n, size in ((400, 80), (650, 130)):  # a tenth of the words have half of the letters
+        words = [word(size // 2) if i % 10 == 0 else word(4) for i in range(n)]
+        other = [word(len(w)) if i % 10 == 0 else w for i, w in enumerate(words)]
+        want[len(rows) + 1] = 0
+        rows += [" ".join(words), " ".join(other)]
+    assert [len(x) > 5000 for x in rows[:4]] == [False, False, True, True]
+    got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in want} == want
+
+
 def test_words_of(spark):
     rows = spark.createDataFrame([("  Ä-b  C3!",), ("***",), ("",), (None,)], "x string").select(words_of(F.col("x"))).collect()
     assert [r[0] for r in rows] == [["ä", "b", "c3"], [], [], None]
