@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plansmith.functions import calendar as cal
 from plansmith.functions import text as tx
-from plansmith.operators import allocation
+from plansmith.operators import allocation, matching
 from plansmith.plans import schedule as sch
 from plansmith.plans.catalogue import QUERIES
 from plansmith.plans.planning import in_force, verdict, workload_provenance
@@ -195,6 +195,40 @@ def test_fuzzy_match_all_pairs(spark, tmp_path):
     assert got == want and len(want) > 25 and len({v[2] for v in want.values()}) > 1
 
 
+def test_shared_letters():
+    rng = random.Random(9)
+    for _ in range(300):
+        x, y = ("".join(rng.choices("abcd e", k=rng.randint(0, 60))) for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for c in x:
+            old = row
+            row = [0]
+            for j, d in enumerate(y):
+                row.append(old[j] + 1 if c == d else max(old[j + 1], row[j]))
+        assert matching.shared_letters(x)(y) == row[-1] >= sum(b.size for b in SequenceMatcher(None, x, y).get_matching_blocks())
+
+
+def test_fuzzy_match_asks_difflib_for_few_pairs(spark):
+    """Lines with the same letters in another order: counts of letters let all pairs pass, the longest common subsequence hardly any."""
+    rng = random.Random(5)
+    lines = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz" * 3, 78)) for _ in range(40)]
+    topics, items = (spark.createDataFrame([(x,) for x in lines[a:b]], f"{c} string") for a, b, c in ((0, 20, "x"), (20, 40, "y")))
+    calls = spark.sparkContext.accumulator(0)
+    plain = matching.SequenceMatcher
+
+    def counting(*args):
+        calls.add(1)
+        return plain(*args)
+
+    f = matching.ratio_from(0.82).func
+    f.__globals__["SequenceMatcher"] = counting
+    try:
+        assert [r.isna().all() for r in f(iter([(topics.crossJoin(items).toPandas()["x"], topics.crossJoin(items).toPandas()["y"])]))] == [True]
+    finally:
+        f.__globals__["SequenceMatcher"] = plain
+    assert calls.value == 0
+
+
 def test_priority_match_sorts_in_many_tasks(spark, tmp_path):
     spark.createDataFrame([(i, f"part {i % 90}", f"type {i}", i % 60) for i in range(200)], "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     out = QUERIES["priority_match"](spark, str(tmp_path))
