@@ -11,11 +11,18 @@ SAFE_MESSAGE = "Часть текстов заменена нейтральны
 
 
 def visible_remarks(checks: DataFrame, keys: list[str]) -> DataFrame:
-    """Warnings and unchecked rows of ``checks`` (keys, check_id, verdict), but short weeks, and a missing duration if the study year is found and could not be compared."""
+    """Warnings and unchecked rows of ``checks`` (keys, check_id, verdict), but short weeks, and a missing duration if the study year is found and could not be compared.
+
+    Missing durations alone meet the keys that hide them, by a shuffled join: keys are as many as plans, too many to be sent whole through the driver.
+    """
     of = lambda name, verdict: (F.col("check_id") == name) & (F.col("verdict") == verdict)
-    hides = checks.groupBy(*keys).agg((F.max(of("study_year_found", "pass").cast("int")) + F.max(of("year_within_duration", "not_checked").cast("int")) == 2).alias("_hides"))
+    found, unsure = of("study_year_found", "pass"), of("year_within_duration", "not_checked")
+    hides = checks.where(found | unsure).groupBy(*keys).agg(F.bool_or(found).alias("_found"), F.bool_or(unsure).alias("_unsure")).where("_found AND _unsure")
     shown = checks.where(F.col("verdict").isin("warning", "not_checked") & ~of("short_week_full_load", "warning"))
-    return shown.join(hides, keys).where(~(of("duration_found", "warning") & F.col("_hides"))).drop("_hides")
+    missing = of("duration_found", "warning")
+    hidden = hides.select(*[F.col(k).alias(f"_{k}") for k in keys]).hint("merge")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return shown.where(~missing).unionByName(shown.where(missing).join(hidden, same, "left_anti"))
 
 
 def reader_warnings(warnings: Column, internal: list[str]) -> Column:
