@@ -110,15 +110,14 @@ APPROVED_YEAR, APPROVED_WEEKS = 2026, 36
 def grid_checks(weeks: DataFrame, plans: DataFrame, approved: int = APPROVED_YEAR) -> DataFrame:
     """Whether a calendar's weeks are those of the approved grid, each once (P20).
 
-    ``weeks``: doc_id, start_day, end_day; ``plans``: doc_id, start_year. Other years warn, plans without weeks are not checked. The grid is made for each plan that is compared, and both sides
-    go through one grouping of bags.
+    ``weeks``: doc_id, start_day, end_day; ``plans``: doc_id, start_year. Other years warn, plans without weeks are not checked. A plan's weeks are as many as the grid's and have
+    all of its bits, so tasks send one row for each of their plans into the grouping, not one for each week.
     """
-    grid = week_grid(plans.where(F.col("start_year") == approved).select("start_year").distinct()).select("start_year", "start_day", "end_day")
-    wanted = plans.where(F.col("start_year") == approved).join(F.broadcast(grid), "start_year").select("doc_id", "start_day", "end_day")  # one year's weeks
-    same = bags.bag_verdict(wanted, weeks.join(plans.where(F.col("start_year") == approved).select("doc_id"), "doc_id", "left_semi"), ["doc_id"], ["start_day", "end_day"])
-    some = weeks.select("doc_id").distinct().withColumn("some", F.lit(True))
-    j = plans.join(some, "doc_id", "left").join(same.select("doc_id", "verdict"), "doc_id", "left")
-    return _spread(j, {"academic_grid": F.when(F.col("some"), F.coalesce((F.col("start_year") == approved) & (F.col("verdict") == "pass"), F.lit(False)))})
+    grid = week_grid(plans.sparkSession.createDataFrame([(approved,)], "start_year int")).select("start_day", "end_day", F.expr("shiftleft(1L, week - 1)").alias("bit"))
+    found = weeks.join(F.broadcast(grid), ["start_day", "end_day"], "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.bit_or("bit").alias("bits"))  # one year's weeks
+    whole = (F.col("n") == APPROVED_WEEKS) & (F.col("bits") == (1 << APPROVED_WEEKS) - 1)
+    j = plans.join(found.hint("merge"), "doc_id", "left")
+    return _spread(j, {"academic_grid": F.when(F.col("n").isNotNull(), F.coalesce((F.col("start_year") == approved) & whole, F.lit(False)))})
 
 
 def report(*checks: DataFrame) -> DataFrame:

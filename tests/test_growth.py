@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from plansmith.plans import remarks
+import re
+
+from plansmith.functions.calendar import week_grid
+from plansmith.plans import audit, remarks
 
 
 def plan_of(df):
@@ -14,3 +17,12 @@ def test_remarks_send_no_keys_through_the_driver(spark):
     got = remarks.visible_remarks(spark.createDataFrame(rows, "k int, check_id string, verdict string"), ["k"])
     assert "Broadcast" not in plan_of(got)
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "year_within_duration", "not_checked"), (1, "topic_hours", "warning"), (2, "duration_found", "warning"), (2, "topic_hours", "warning"), (None, "year_within_duration", "not_checked"), (None, "topic_hours", "warning")], key=str)
+
+
+def test_grid_checks_shuffle_plans_not_weeks(spark):
+    days = week_grid(spark.createDataFrame([(2026,)], "start_year int")).select("start_day", "end_day").collect()
+    weeks = [(1, *d) for d in days] + [(2, *d) for d in [*days[1:], days[1]]] + [(3, None, None)] + [(4, *d) for d in days] + [(5, *d) for d in [*days, days[0]]]
+    plans = spark.createDataFrame([(i, 2025 if i == 4 else 2026) for i in range(1, 7)], "doc_id int, start_year int")
+    got = audit.grid_checks(spark.createDataFrame(weeks, "doc_id int, start_day date, end_day date"), plans)
+    assert not any("start_day" in x or "end_day" in x for x in re.findall(r"hashpartitioning\([^)]*\)", plan_of(got)) if "doc_id" in x)
+    assert {r["doc_id"]: r["verdict"] for r in got.collect()} == {1: "pass", 2: "warning", 3: "warning", 4: "warning", 5: "warning", 6: "not_checked"}
