@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
 
 def allocate(df: DataFrame, keys: list[str], order_by: list[str], amount: str, capacity: int, bin_name: str = "week", part_name: str = "hours") -> DataFrame:
     """Fill bins of one capacity in order, splitting an amount where a bin ends.
 
     A running sum e of the amounts places a row on [e - amount, e); it goes to every bin that this stretch touches, with the length
-    of its part in each. One window over ``keys`` and no loop. Rows without a positive amount are left out; bins count from 1.
+    of its part in each. One window over ``keys`` and no loop, in tasks of a bounded number of rows. Rows without a positive amount are left out; bins count from 1.
     """
     w = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    ends = df.where(F.col(amount) > 0).withColumn("_end", F.sum(amount).over(w)).withColumn("_start", F.col("_end") - F.col(amount))
+    ends = dealt(df.where(F.col(amount) > 0), keys).withColumn("_end", F.sum(amount).over(w)).withColumn("_start", F.col("_end") - F.col(amount))
     size = F.lit(capacity)
     first, last = F.floor(F.col("_start") / size), F.floor((F.col("_end") - 1) / size)
     spread = ends.withColumn("_bin", F.explode(F.sequence(first, last)))

@@ -12,6 +12,19 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str)
     return b.config(map=defaults | conf).getOrCreate()
 
 
+#: Rows that a task sorts or groups at most, but for those of one key.
+TASK_ROWS = 1 << 19
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` shuffled by ``keys`` into as many tasks as keep each near TASK_ROWS rows; as it is where the session's own number of tasks does.
+
+    So what a task holds in memory to sort or group its keys does not grow with the table.
+    """
+    tasks = -(-df.count() // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

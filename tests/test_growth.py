@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+from plansmith import session
 from plansmith.functions.calendar import week_grid
+from plansmith.operators import allocation
 from plansmith.plans import audit, remarks
 
 
@@ -26,3 +28,11 @@ def test_grid_checks_shuffle_plans_not_weeks(spark):
     got = audit.grid_checks(spark.createDataFrame(weeks, "doc_id int, start_day date, end_day date"), plans)
     assert not any("start_day" in x or "end_day" in x for x in re.findall(r"hashpartitioning\([^)]*\)", plan_of(got)) if "doc_id" in x)
     assert {r["doc_id"]: r["verdict"] for r in got.collect()} == {1: "pass", 2: "warning", 3: "warning", 4: "warning", 5: "warning", 6: "not_checked"}
+
+
+def test_allocation_deals_rows_to_bounded_tasks(spark, monkeypatch):
+    lines = spark.createDataFrame([(k, i, 7) for k in range(60) for i in range(5)], "k int, i int, amount int")
+    plain = sorted(map(tuple, allocation.allocate(lines, ["k"], ["i"], "amount", 20).collect()))
+    monkeypatch.setattr(session, "TASK_ROWS", 20)
+    out = allocation.allocate(lines, ["k"], ["i"], "amount", 20)
+    assert out.rdd.getNumPartitions() == 15 and sorted(map(tuple, out.collect())) == plain
