@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators import rounds
-from ..session import table
+from ..session import dealt, table
 from ..sources import programme, uploads
+from ..staging import stage
 from . import audit, clauses, registry, schedule
 from .catalogue import _GRID, query
 
@@ -25,7 +26,7 @@ _TOPICS = f"""
 
 def _plans(spark, sf_dir):
     """Positions and workload: every order a plan, its lines topics in the sections of their flags."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = dealt(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER.split(", ")))
     theory, practice = (F.col("l_quantity") % 4).cast("int"), (F.col("l_quantity") % 3).cast("int")
     total = theory + practice + F.when(F.col("l_partkey") % 50 == 0, 1).otherwise(0)
@@ -40,8 +41,9 @@ def _plans(spark, sf_dir):
     of_plan = topics.groupBy("doc_id").agg(*sums.values()).where("doc_id % 11 != 0")
     wrong = F.col("theory") + F.when(F.col("doc_id") % 9 == 0, 1).otherwise(0)
     last = of_plan.select("doc_id", F.lit(99_999).alias("pos"), F.lit("total").alias("kind"), text(None).alias("number"), F.lit("total").alias("title"), hours(wrong, F.col("practice"), F.col("theory") + F.col("practice")).alias("hours"), text(None).alias("parent_section"))
-    load = topics.select("doc_id").distinct().select("doc_id", F.lit(5).alias("study_weeks"), (2 + F.col("doc_id") % 3).cast("int").alias("hours_per_week"), F.lit(2026).alias("start_year"))
-    return topics.unionByName(sections).unionByName(last), load
+    positions, _ = stage(topics.unionByName(sections).unionByName(last), "positions")  # each check reads them anew
+    load = positions.where("kind = 'topic'").select("doc_id").distinct().select("doc_id", F.lit(5).alias("study_weeks"), (2 + F.col("doc_id") % 3).cast("int").alias("hours_per_week"), F.lit(2026).alias("start_year"))
+    return positions, load
 
 
 @query(f"WITH {_TOPICS} SELECT doc_id, CAST(seq AS INTEGER) AS seq, number, title, section, part_type, week, hours FROM schedule")

@@ -6,35 +6,58 @@ hours_per_week, start_year), ``items`` (doc_id, pos, number, title, content, par
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import text as tx
 from ..operators import matching
+from ..session import tasks_for
 
 _TOPIC = ["doc_id", "number", "title", "section"]
 
 
+def by_plan(df: DataFrame, tasks: int | None) -> DataFrame:
+    """``df`` shuffled by plan, once for all the windows and groupings that follow. Tables with the same number of tasks (tasks_for the positions) meet without another shuffle."""
+    return df.repartition(tasks, "doc_id") if tasks else df.repartition("doc_id")
+
+
+def _placed(positions: DataFrame, tasks: int | None) -> DataFrame:
+    """Topics in the order of their sections: doc_id, n (from 1), number, title, section, hours, and ``done``, the plan's hours before and with the topic.
+
+    Sections and topics meet in one window by plan and title, so positions are read and shuffled once.
+    """
+    section = F.col("kind") == "section"
+    rows = by_plan(positions.where("kind IN ('section', 'topic')"), tasks).withColumn("_of", F.when(section, F.col("title")).otherwise(F.col("parent_section"))).where("_of IS NOT NULL")
+    places = F.collect_list(F.when(section, F.col("pos"))).over(Window.partitionBy("doc_id", "_of"))
+    topics = rows.withColumn("_places", places).where("kind = 'topic'").select("doc_id", F.explode("_places").alias("section_pos"), "pos", "number", "title", F.col("parent_section").alias("section"), "hours")
+    order = Window.partitionBy("doc_id").orderBy("section_pos", "pos")
+    both = sum(F.when(F.col(f"hours.{c}") > 0, F.col(f"hours.{c}")).otherwise(0) for c in ("theory", "practice"))
+    return topics.withColumns({"n": F.row_number().over(order), "done": F.sum(both).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+
+
+def _parts(placed: DataFrame) -> DataFrame:
+    """A row for each part of the topics; ``e`` is the plan's hours at the end of the part."""
+    theory, practice = F.col("hours.theory"), F.col("hours.practice")
+    begun = F.col("done") - F.when(practice > 0, practice).otherwise(0)
+    parts = F.array(F.struct((2 * F.col("n") - 1).alias("seq"), F.lit("theory").alias("part_type"), theory.alias("amount"), begun.alias("e")), F.struct((2 * F.col("n")).alias("seq"), F.lit("practice").alias("part_type"), practice.alias("amount"), F.col("done").alias("e")))
+    return placed.select(*[c for c in placed.columns if c not in ("n", "hours", "done")], F.inline(parts))
+
+
 def ordered_parts(positions: DataFrame) -> DataFrame:
     """Theory and practice parts of the topics in the order of their sections: doc_id, seq, number, title, section, part_type, amount.
 
     A topic belongs to the sections of its parent's title; one whose parent is no section is in none and gets no part.
     """
-    sections = positions.where("kind = 'section'").select("doc_id", F.col("pos").alias("section_pos"), F.col("title").alias("parent_section"))
-    topics = positions.where("kind = 'topic'").join(sections, ["doc_id", "parent_section"])
-    parts = F.array(F.struct(F.lit("theory").alias("part_type"), F.lit(0).alias("p"), F.col("hours.theory").alias("amount")), F.struct(F.lit("practice").alias("part_type"), F.lit(1).alias("p"), F.col("hours.practice").alias("amount")))
-    spread = topics.select("doc_id", "section_pos", "pos", "number", "title", F.coalesce("parent_section", "title").alias("section"), F.inline(parts))
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("section_pos", "pos", "p"))
-    return spread.withColumn("seq", seq).select("doc_id", "seq", "number", "title", "section", "part_type", "amount")
+    return _parts(_placed(positions, tasks_for(positions))).select("doc_id", "seq", "number", "title", "section", "part_type", "amount")
 
 
 def build_schedule(positions: DataFrame, workload: DataFrame) -> DataFrame:
     """Hours of every part in weeks, by a running sum over each plan's parts: doc_id, seq, number, title, section, part_type, week, hours."""
-    order = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     load = F.col("hours_per_week")
-    parts = ordered_parts(positions).where("amount > 0").join(workload.select("doc_id", "hours_per_week"), "doc_id").where(load > 0)
-    ends = parts.withColumn("e", F.sum("amount").over(order)).withColumn("s", F.col("e") - F.col("amount"))
+    tasks = tasks_for(positions)
+    placed = _placed(positions, tasks).join(by_plan(workload.select("doc_id", "hours_per_week"), tasks).hint("merge"), "doc_id").where(load > 0)
+    ends = _parts(placed).where("amount > 0").withColumn("s", F.col("e") - F.col("amount"))
     spread = ends.withColumn("w", F.explode(F.sequence(F.floor(F.col("s") / load), F.floor((F.col("e") - 1) / load))))
     hours = F.least("e", (F.col("w") + 1) * load) - F.greatest("s", F.col("w") * load)
     return spread.select("doc_id", "seq", "number", "title", "section", "part_type", (F.col("w") + 1).cast("int").alias("week"), hours.cast("int").alias("hours"))
@@ -62,24 +85,62 @@ def validate_plan(positions: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.unionByName(of_sections).unionByName(of_total).unionByName(of_sum).unionByName(yearly)
 
 
+#: What a row of :func:`gathered` is about, and the bits of what stands on it.
+TOPIC, WEEK, TOTAL = 1, 2, 3
+OURS, THEIRS, GRID, LOADED, PLANNED, STATED = 1, 2, 4, 8, 16, 32
+_SLIM = dict(what="tinyint", at="int", number="string", title="string", section="string", bits="int", a="long", b="long", x="int", y="int", z="int")
+
+
+def gathered(schedule: DataFrame, positions: DataFrame, workload: DataFrame | None = None) -> DataFrame:
+    """Schedule and plan side by side in one grouping of few columns: doc_id, what, at, number, title, section, bits, a, b, x, y, z.
+
+    A topic (by number, title and section, nulls equal) has the bits OURS if it is scheduled and THEIRS if the plan has it, and in a and b its theory and practice in the schedule. A week (at), if a
+    workload is given, has GRID if it is one of the plan's, LOADED if it is scheduled, its load in a and the plan's hours a week in x; PLANNED is on some row of each plan of the workload. A totals
+    row (at: its place) has STATED and theory, practice and total in x, y and z. Each table is read once, and a plan's rows are grouped where they lie.
+    """
+    row = lambda **have: F.struct(*[(have[c] if isinstance(have.get(c), Column) else F.lit(have.get(c))).cast(t).alias(c) for c, t in _SLIM.items()])
+    h, part = F.col("hours"), F.col("part_type")
+    of = {c: F.when(part == k, h).otherwise(0) for c, k in (("a", "theory"), ("b", "practice"))}
+    rows = [row(what=TOPIC, number=F.col("number"), title=F.col("title"), section=F.col("section"), bits=OURS, **of)]
+    if workload is not None:
+        rows.append(row(what=WEEK, at=F.col("week"), bits=LOADED, a=h))
+    topic = row(what=TOPIC, number=F.col("number"), title=F.col("title"), section=F.coalesce("parent_section", "title"), bits=THEIRS)
+    total = row(what=TOTAL, at=F.col("pos"), bits=F.when(h.isNotNull(), STATED).otherwise(0), x=h["theory"], y=h["practice"], z=h["total"])
+    tasks = tasks_for(positions)
+    plan = by_plan(positions.where("kind IN ('topic', 'total')"), tasks)
+    every = schedule.select("doc_id", F.inline(F.array(*rows))).unionByName(plan.select("doc_id", F.when(F.col("kind") == "topic", topic).otherwise(total).alias("r")).select("doc_id", "r.*"))
+    if workload is not None:
+        weeks = by_plan(workload, tasks).select("doc_id", "hours_per_week", F.explode_outer(F.sequence(F.lit(1), F.col("study_weeks"))).alias("week"))
+        week = row(what=WEEK, at=F.col("week"), bits=F.when(F.col("week").isNull(), PLANNED).otherwise(PLANNED | GRID), x=F.col("hours_per_week"))
+        every = every.unionByName(weeks.select("doc_id", week.alias("r")).select("doc_id", "r.*"))
+    return every.groupBy("doc_id", "what", "at", "number", "title", "section").agg(F.bit_or("bits").alias("bits"), F.sum("a").alias("a"), F.sum("b").alias("b"), *[F.max(c).alias(c) for c in "xyz"])
+
+
+def has(*bits: int) -> Column:
+    """Whether a row of :func:`gathered` has all these bits."""
+    return F.col("bits").bitwiseAND(F.lit(sum(bits))) == sum(bits)
+
+
+def compared() -> list[Column]:
+    """Of a plan's rows of :func:`gathered`: ``theory`` and ``practice``, the scheduled hours, ``same``, whether both sides have the same topics, and ``stated``, ``t_theory``, ``t_practice`` and ``t_total`` of its last totals row."""
+    what = F.col("what")
+    last = F.when(what == TOTAL, F.col("at"))
+    hours = [F.sum(F.when((what == TOPIC) & has(OURS), F.col(c))).alias(k) for c, k in (("a", "theory"), ("b", "practice"))]
+    return [*hours, F.bool_and(F.when(what == TOPIC, has(OURS, THEIRS))).alias("same"), F.max_by(has(STATED), last).alias("stated"), *[F.max_by(c, last).alias(k) for c, k in (("x", "t_theory"), ("y", "t_practice"), ("z", "t_total"))]]
+
+
 def validate_schedule(schedule: DataFrame, positions: DataFrame, workload: DataFrame) -> DataFrame:
     """Whether each plan's schedule holds: doc_id and the failed check ids in order of precedence (an empty list passes).
 
-    Checks: total_row_missing, hours (theory, practice or all against the totals row), positions (the scheduled topics are the plan's), overload, empty_hours.
+    Checks: total_row_missing, hours (theory, practice or all against the totals row), positions (the scheduled topics are the plan's), overload, empty_hours. The workload has one row for each plan.
     """
-    sums = schedule.groupBy("doc_id").agg(F.coalesce(F.sum(F.when(F.col("part_type") == "theory", F.col("hours"))), F.lit(0)).alias("theory"), F.coalesce(F.sum(F.when(F.col("part_type") == "practice", F.col("hours"))), F.lit(0)).alias("practice"))
-    totals = positions.where("kind = 'total'").groupBy("doc_id").agg(F.max_by("hours", "pos").alias("t"))
-    ours = schedule.select(*_TOPIC).distinct().withColumn("side", F.lit(1))
-    theirs = positions.where("kind = 'topic'").select("doc_id", "number", "title", F.coalesce("parent_section", "title").alias("section")).distinct().withColumn("side", F.lit(2))
-    both = ours.unionByName(theirs).groupBy(*_TOPIC).agg(F.sum("side").alias("sides"))  # grouping takes nulls as equal
-    missing = both.where("sides < 3").select("doc_id").distinct().withColumn("missing", F.lit(True))
-    grid = workload.select("doc_id", "hours_per_week", F.explode(F.sequence(F.lit(1), F.col("study_weeks"))).alias("week"))
-    load = schedule.groupBy("doc_id", "week").agg(F.sum("hours").alias("load"))
-    loads = grid.join(load, ["doc_id", "week"], "full_outer").groupBy("doc_id").agg(F.bool_or(F.col("hours_per_week").isNull() | (F.col("load") > F.col("hours_per_week"))).alias("over"), F.bool_or(F.coalesce("load", F.lit(0)) < F.col("hours_per_week")).alias("under"))
-    j = workload.select("doc_id").join(sums, "doc_id", "left").fillna(0, ["theory", "practice"]).join(totals, "doc_id", "left").join(missing, "doc_id", "left").join(loads, "doc_id", "left")
-    wrong = (F.col("theory") != F.col("t.theory")) | (F.col("practice") != F.col("t.practice")) | (F.col("theory") + F.col("practice") != F.col("t.total"))
-    checks = [("total_row_missing", F.col("t").isNull()), ("hours", wrong), ("positions", F.col("missing")), ("overload", F.col("over")), ("empty_hours", F.col("under"))]
-    return j.select("doc_id", F.array_compact(F.array(*[F.when(c, n) for n, c in checks])).alias("failed"))
+    week, load, most = (F.col("what") == WEEK) & (has(GRID) | has(LOADED)), F.col("a"), F.when(has(GRID), F.col("x"))
+    over, under = F.when(week, most.isNull() | (load > most)), F.when(week, F.coalesce(load, F.lit(0)) < most)
+    by = gathered(schedule, positions, workload).groupBy("doc_id").agg(*compared(), F.bool_or(has(PLANNED)).alias("planned"), F.bool_or(over).alias("over"), F.bool_or(under).alias("under"))
+    theory, practice = (F.coalesce(c, F.lit(0)) for c in ("theory", "practice"))
+    wrong = F.col("stated") & ((theory != F.col("t_theory")) | (practice != F.col("t_practice")) | (theory + practice != F.col("t_total")))
+    checks = [("total_row_missing", ~F.coalesce("stated", F.lit(False))), ("hours", wrong), ("positions", ~F.col("same")), ("overload", F.col("over")), ("empty_hours", F.col("under"))]
+    return by.where("planned").select("doc_id", F.array_compact(F.array(*[F.when(c, n) for n, c in checks])).alias("failed"))
 
 
 def match_items(positions: DataFrame, items: DataFrame) -> DataFrame:

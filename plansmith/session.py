@@ -16,13 +16,19 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str)
 TASK_ROWS = 1 << 19
 
 
+def tasks_for(df: DataFrame) -> int | None:
+    """As many tasks as keep each near TASK_ROWS rows of ``df``; None where the session's own number of tasks does."""
+    tasks = -(-df.count() // TASK_ROWS)
+    return tasks if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` shuffled by ``keys`` into as many tasks as keep each near TASK_ROWS rows; as it is where the session's own number of tasks does.
 
     So what a task holds in memory to sort or group its keys does not grow with the table.
     """
-    tasks = -(-df.count() // TASK_ROWS)
-    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    tasks = tasks_for(df)
+    return df.repartition(tasks, *keys) if tasks else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from plansmith import session
 from plansmith.functions.calendar import week_grid
 from plansmith.operators import allocation
-from plansmith.plans import audit, remarks
+from plansmith.plans import audit, remarks, schedule
 
 
 def plan_of(df):
@@ -36,3 +36,29 @@ def test_allocation_deals_rows_to_bounded_tasks(spark, monkeypatch):
     monkeypatch.setattr(session, "TASK_ROWS", 20)
     out = allocation.allocate(lines, ["k"], ["i"], "amount", 20)
     assert out.rdd.getNumPartitions() == 15 and sorted(map(tuple, out.collect())) == plain
+
+
+HOURS = "struct<theory: int, practice: int, total: int>"
+POSITIONS = f"doc_id int, pos int, kind string, number string, title string, parent_section string, hours {HOURS}"
+
+
+def plans_of(spark):
+    """Plans with two sections of one title, a topic of no section, negative and missing hours, two totals rows, none, and one that is not in the workload."""
+    rows = [(1, 1, "section", "1", "A", None, (4, 2, 6)), (1, 2, "topic", None, "a", "A", (3, 1, 4)), (1, 3, "topic", "1.1", "b", "A", (1, -1, 0)), (1, 9, "total", None, "t", None, (9, 9, 9)), (1, 10, "total", None, "t", None, (4, 1, 5))]
+    rows += [(2, 1, "section", "1", "A", None, (1, 1, 2)), (2, 2, "topic", None, "a", "A", (1, None, 1)), (2, 5, "section", "2", "A", None, (0, 0, 0)), (2, 6, "topic", None, "lost", None, (1, 1, 2))]
+    rows += [(3, 1, "section", "1", "A", None, (9, 0, 9)), (3, 2, "topic", None, "a", "A", (9, 0, 9)), (3, 3, "total", None, "t", None, (9, 0, 9)), (4, 1, "topic", None, "a", "A", (1, 0, 1))]
+    return spark.createDataFrame(rows, POSITIONS), spark.createDataFrame([(1, 2, 3), (2, 1, 2), (3, 2, 3), (5, 1, 1), (6, None, 1)], "doc_id int, study_weeks int, hours_per_week int")
+
+
+def test_schedule_checks_read_the_schedule_once(spark, monkeypatch):
+    positions, load = plans_of(spark)
+    for rows in (session.TASK_ROWS, 2):
+        monkeypatch.setattr(session, "TASK_ROWS", rows)
+        made = schedule.build_schedule(positions, load)
+        assert sorted((r["doc_id"], r["seq"], r["title"], r["part_type"], r["week"], r["hours"]) for r in made.collect()) == [
+            (1, 1, "a", "theory", 1, 3), (1, 2, "a", "practice", 2, 1), (1, 3, "b", "theory", 2, 1), (2, 1, "a", "theory", 1, 1), (2, 3, "a", "theory", 1, 1), (3, 1, "a", "theory", 1, 3), (3, 1, "a", "theory", 2, 3), (3, 1, "a", "theory", 3, 3),
+        ]
+        got = schedule.validate_schedule(made, positions, load)
+        plan = plan_of(got)
+        assert {r["doc_id"]: r["failed"] for r in got.collect()} == {1: ["empty_hours"], 2: ["total_row_missing", "positions"], 3: ["overload"], 5: ["total_row_missing", "empty_hours"], 6: ["total_row_missing"]}
+        assert len(re.findall(r"\bWindow \[", plan)) == 2 and len(re.findall(r"\bExchange ", plan)) == 4
