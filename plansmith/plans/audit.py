@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import week_grid
-from ..operators import bags
 from .planning import in_force, verdict
+from .schedule import compared, gathered
 
 #: Stems that mark a lesson form as practical or as theoretical, and the winter break of the approved grid.
 PRACTICE_STEMS, THEORY_STEMS = ["практи", "тренировоч", "игра", "экскурси", "поход"], ["теорет", "лекци", "беседа"]
@@ -61,8 +61,10 @@ def hour_checks(positions: DataFrame) -> DataFrame:
     """Arithmetic of topics and of the totals row."""
     h = F.col("hours")
     topic = F.col("kind") == "topic"
-    sums = positions.groupBy("doc_id").agg(F.bool_and(F.when(topic, h["total"] == h["theory"] + h["practice"])).alias("rows_add_up"), F.sum(F.when(topic, h["theory"])).alias("theory"), F.sum(F.when(topic, h["practice"])).alias("practice"), F.max_by(h, F.when(F.col("kind") == "total", F.col("pos"))).alias("t"))
-    return _spread(sums, {"topic_hours": F.col("rows_add_up"), "theory_practice_hours": F.when(F.col("t").isNotNull(), (F.col("theory") == F.col("t.theory")) & (F.col("practice") == F.col("t.practice")))})
+    last = F.when(F.col("kind") == "total", F.col("pos"))
+    stated = [F.max_by(x, last).alias(n) for x, n in ((h.isNotNull(), "stated"), (h["theory"], "t_theory"), (h["practice"], "t_practice"))]
+    sums = positions.groupBy("doc_id").agg(F.bool_and(F.when(topic, h["total"] == h["theory"] + h["practice"])).alias("rows_add_up"), F.sum(F.when(topic, h["theory"])).alias("theory"), F.sum(F.when(topic, h["practice"])).alias("practice"), *stated)
+    return _spread(sums, {"topic_hours": F.col("rows_add_up"), "theory_practice_hours": F.when(F.col("stated"), (F.col("theory") == F.col("t_theory")) & (F.col("practice") == F.col("t_practice")))})
 
 
 def calendar_checks(rows: DataFrame, loads: DataFrame) -> DataFrame:
@@ -91,16 +93,11 @@ def plan_checks(positions: DataFrame, schedule: DataFrame) -> DataFrame:
     """Whether a calendar has the hours of its plan's totals row and exactly its topics.
 
     ``positions`` as parse_plans gives them, ``schedule`` as build_schedule does. Topics are compared as sets by number, title and section, nulls equal; a topic without parent is its own section.
-    Plans without a totals row or without a schedule are not checked. The topics of both sides go through one grouping.
+    Plans without a totals row or without a schedule are not checked. Both tables go through one grouping.
     """
-    h, kind = F.col("hours"), F.col("part_type")
-    totals = positions.where("kind = 'total'").groupBy("doc_id").agg(F.max_by(h, "pos").alias("t"))
-    done = schedule.groupBy("doc_id").agg(*[F.sum(F.when(kind == c, h).otherwise(0)).alias(c) for c in ("theory", "practice")])
-    topics = positions.where("kind = 'topic'").select("doc_id", "number", "title", F.coalesce("parent_section", "title").alias("section"))
-    same = bags.set_verdict(topics, schedule, ["doc_id"], ["number", "title", "section"])
-    j = totals.join(done, "doc_id", "full").join(same.select("doc_id", (F.col("verdict") == "pass").alias("same")), "doc_id", "full")
-    equal = (F.col("theory") == F.col("t.theory")) & (F.col("practice") == F.col("t.practice")) & (F.col("theory") + F.col("practice") == F.col("t.total"))
-    return _spread(j, {"plan_matches_utp": F.when(F.col("t").isNotNull() & F.col("theory").isNotNull(), equal & F.coalesce("same", F.lit(False)))})
+    by = gathered(schedule, positions).groupBy("doc_id").agg(*compared())
+    equal = (F.col("theory") == F.col("t_theory")) & (F.col("practice") == F.col("t_practice")) & (F.col("theory") + F.col("practice") == F.col("t_total"))
+    return _spread(by, {"plan_matches_utp": F.when(F.col("stated") & F.col("theory").isNotNull(), equal & F.col("same"))})
 
 
 #: The approved year's first calendar year and number of weeks.

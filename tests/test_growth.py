@@ -62,3 +62,11 @@ def test_schedule_checks_read_the_schedule_once(spark, monkeypatch):
         plan = plan_of(got)
         assert {r["doc_id"]: r["failed"] for r in got.collect()} == {1: ["empty_hours"], 2: ["total_row_missing", "positions"], 3: ["overload"], 5: ["total_row_missing", "empty_hours"], 6: ["total_row_missing"]}
         assert len(re.findall(r"\bWindow \[", plan)) == 2 and len(re.findall(r"\bExchange ", plan)) == 4
+
+
+def test_plan_checks_read_the_schedule_once(spark):
+    positions, load = plans_of(spark)
+    got = audit.plan_checks(positions, schedule.build_schedule(positions, load))
+    plan = plan_of(got)
+    assert {r["doc_id"]: r["verdict"] for r in got.collect()} == {1: "pass", 2: "not_checked", 3: "pass", 4: "not_checked"}
+    assert len(re.findall(r"\bWindow \[", plan)) == 2
