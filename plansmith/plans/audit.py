@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import week_grid
+from ..session import tasks_for
 from .planning import in_force, verdict
-from .schedule import compared, gathered
+from .schedule import by_plan, compared, gathered
 
 #: Stems that mark a lesson form as practical or as theoretical, and the winter break of the approved grid.
 PRACTICE_STEMS, THEORY_STEMS = ["практи", "тренировоч", "игра", "экскурси", "поход"], ["теорет", "лекци", "беседа"]
@@ -63,7 +64,7 @@ def hour_checks(positions: DataFrame) -> DataFrame:
     topic = F.col("kind") == "topic"
     last = F.when(F.col("kind") == "total", F.col("pos"))
     stated = [F.max_by(x, last).alias(n) for x, n in ((h.isNotNull(), "stated"), (h["theory"], "t_theory"), (h["practice"], "t_practice"))]
-    sums = positions.groupBy("doc_id").agg(F.bool_and(F.when(topic, h["total"] == h["theory"] + h["practice"])).alias("rows_add_up"), F.sum(F.when(topic, h["theory"])).alias("theory"), F.sum(F.when(topic, h["practice"])).alias("practice"), *stated)
+    sums = by_plan(positions, tasks_for(positions)).groupBy("doc_id").agg(F.bool_and(F.when(topic, h["total"] == h["theory"] + h["practice"])).alias("rows_add_up"), F.sum(F.when(topic, h["theory"])).alias("theory"), F.sum(F.when(topic, h["practice"])).alias("practice"), *stated)
     return _spread(sums, {"topic_hours": F.col("rows_add_up"), "theory_practice_hours": F.when(F.col("stated"), (F.col("theory") == F.col("t_theory")) & (F.col("practice") == F.col("t_practice")))})
 
 

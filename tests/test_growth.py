@@ -70,3 +70,12 @@ def test_plan_checks_read_the_schedule_once(spark):
     plan = plan_of(got)
     assert {r["doc_id"]: r["verdict"] for r in got.collect()} == {1: "pass", 2: "not_checked", 3: "pass", 4: "not_checked"}
     assert len(re.findall(r"\bWindow \[", plan)) == 2
+
+
+def test_hour_checks_deal_plans_to_bounded_tasks(spark, monkeypatch):
+    positions, _ = plans_of(spark)
+    monkeypatch.setattr(session, "TASK_ROWS", 2)
+    got = audit.hour_checks(positions)
+    plan = plan_of(got)
+    assert {(r["doc_id"], r["check_id"]): r["verdict"] for r in got.collect()} == {(d, c): v for d, *both in ((1, "pass", "warning"), (2, "pass", "not_checked"), (3, "pass", "pass"), (4, "pass", "not_checked")) for c, v in zip(("topic_hours", "theory_practice_hours"), both)}
+    assert re.findall(r"hashpartitioning\(doc_id#\d+, (\d+)\)", plan) == ["7"]
