@@ -309,3 +309,25 @@ def test_line_dedup_long_lines_by_letters(spark):
 def test_words_of(spark):
     rows = spark.createDataFrame([("  Ä-b  C3!",), ("***",), ("",), (None,)], "x string").select(words_of(F.col("x"))).collect()
     assert [r[0] for r in rows] == [["ä", "b", "c3"], [], [], None]
+
+
+def test_line_dedup_pairs_and_rounds(spark, monkeypatch):
+    """Lines that share a block but whose lengths alone part them make no pair, and a crowd in which no two are near is done in few rounds."""
+    rng = np.random.default_rng(23)
+    word = lambda n: "".join(rng.choice(list("abcdefghiklmnoprstu"), n))
+    head = [word(8) for _ in range(60)]
+    crowd = [" ".join([*head, *(word(8) for _ in range(30))]) for _ in range(24)]
+    lines = [*crowd, " ".join(head), " ".join(head[2:])]
+    asked, verified = [], line_dedup._verified
+
+    def seen(pairs, texts, least):
+        x, y = (texts.select(F.col("node").alias(c), F.length("norm").alias(f"n{c}")) for c in "ab")
+        asked.append(pairs.join(x, "a").join(y, "b").select("na", "nb").collect())
+        return verified(pairs, texts, least)
+
+    monkeypatch.setattr(line_dedup, "_verified", seen)
+    out = dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)).collect()
+    assert [r["doc_id"] for r in out if r["n_removed"]] == [25]
+    lengths = [tuple(r) for some in asked for r in some]
+    assert len(lengths) > 100 and all(abs(a - b) <= int(0.2 * max(a, b) + 1e-9) for a, b in lengths)
+    assert len(asked) <= 5
