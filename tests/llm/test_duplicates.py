@@ -331,3 +331,40 @@ def test_line_dedup_pairs_and_rounds(spark, monkeypatch):
     lengths = [tuple(r) for some in asked for r in some]
     assert len(lengths) > 100 and all(abs(a - b) <= int(0.2 * max(a, b) + 1e-9) for a, b in lengths)
     assert len(asked) <= 5
+
+
+def test_line_dedup_verifies_by_bounds(spark):
+    """Heads, words and narrow bands save comparisons and never change a verdict: edits at either end, words put in, taken out or moved, heads alike and tails not."""
+    rng = np.random.default_rng(29)
+    word = lambda: "".join(rng.choice(list("abcdefghiklmnoprstuéß"), rng.integers(2, 9)))
+    rows = []
+    for n in (5, 12, 40, 90):
+        for share in (0.05, 0.15, 0.2, 0.25, 0.4):
+            x = [word() for _ in range(n)]
+            k = max(1, int(share * n))
+            at = set(rng.choice(n, k, replace=False).tolist())
+            new = [word() for _ in range(k)]
+            for y in ([*new, *x[k:]], [*x[:-k], *new], [*new, *x], x[k:], [*x[k:], *x[:k]], [w for i, w in enumerate(x) if i not in at], [word() if i in at else w for i, w in enumerate(x)], [word() for _ in x]):
+                rows.append((" ".join(x), " ".join(y)))
+            rows.append((" ".join(x), mistyped(rng, " ".join(x), share)))
+    rows = [r for r in rows if r[1]]
+    texts = spark.createDataFrame([(2 * i + j, t) for i, r in enumerate(rows) for j, t in enumerate(r)], "node long, norm string")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1, 2 * i, 2 * i + 1) for i in range(len(rows))], "a long, b long, la long, lb long")
+    got = {r["a"] // 2 for r in line_dedup._verified(pairs, texts, 0.8)[0].collect()}
+    want = {i for i, r in enumerate(rows) if near(*r)}
+    assert got == want and 0.2 * len(rows) < len(want) < 0.8 * len(rows)
+
+
+def test_line_dedup_reads_documents_once_to_find_lines(spark):
+    """Lines are cut and normalised once, not again for those that share blocks."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    rows = [(i, f"alpha beta gamma delta epsilon {i % 7}\nthis line stands in many documents or nearly {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", counted.asNondeterministic()("text").alias("text"))
+    assert line_dedup.line_groups(docs, "doc_id", "text").count() > 30
+    assert read.value == len(rows)
