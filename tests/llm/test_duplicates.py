@@ -368,3 +368,19 @@ def test_line_dedup_reads_documents_once_to_find_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", counted.asNondeterministic()("text").alias("text"))
     assert line_dedup.line_groups(docs, "doc_id", "text").count() > 30
     assert read.value == len(rows)
+
+
+def test_line_dedup_words_of_unlike_length(spark):
+    """Long words written for short ones in half of the places and short for long in the others cost more than the longest words of either line."""
+    rng = np.random.default_rng(31)
+    x = ["".join(rng.choice(list("abcdefghiklmnop"), 6)) for _ in range(174)]
+    y = list(x)
+    for i in range(24):
+        a, b = ("z" * 12, "qq") if i % 2 else ("vv", "w" * 12)
+        x[7 * i + 3], y[7 * i + 3] = a, b
+    x, y = " ".join(x), " ".join(y)
+    most = int(0.2 * max(len(x), len(y)) + 1e-9)
+    assert len(x) > 1000 and most < edit_distance(x, y) < 1.3 * most
+    texts = spark.createDataFrame([(0, x), (1, y)], "node long, norm string")
+    pairs = spark.createDataFrame([(0, 1, 0, 1)], "a long, b long, la long, lb long")
+    assert line_dedup._verified(pairs, texts, 0.8)[0].count() == 0
